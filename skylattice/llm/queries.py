@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .minhash_dedup import minhash_dedup
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +41,73 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (
+  SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM d)
+), hit AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win) WHERE r > 1
+), byte AS (
+  SELECT doc_id, substr(h, 2 * p + 1, 2) AS b, p
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)
+), seen AS (
+  SELECT byte.doc_id, b, p,
+         coalesce(p - max(hit.s) OVER (PARTITION BY byte.doc_id ORDER BY p) < 100, false) AS gone
+  FROM byte LEFT JOIN hit ON byte.doc_id = hit.doc_id AND byte.p = hit.s
+), runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM seen
+), per_doc AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+         string_agg(b, '' ORDER BY p) FILTER (NOT gone) AS kept
+  FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN per_doc USING (doc_id)
+"""
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS s FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM sh AS a JOIN sh AS b ON a.k = b.k AND a.doc_id <> b.doc_id
+  JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM w
+  UNION
+  SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other
+)
+SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, min(other) = w.doc_id AS kept
+FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
+    "op4_suffix_array_dedup": OP4_SQL,
+    "op10_minhash_near_dedup": OP10_SQL,
 }
