@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import decontaminate
+from .lexical_packing import lexical_packing
+from .license_scan import BLOCK, STRIDE, TEMPLATES, license_scan
 from .minhash_dedup import minhash_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -79,7 +82,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws
   FROM documents
 ), sh AS (
   SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS k
@@ -100,14 +104,94 @@ SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id
 """
 
+#: The word cut of the two scans below, as DuckDB SQL.
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_packing(table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(TEMPLATES))
+OP5_SQL = f"""
+WITH w AS (
+  SELECT doc_id, {WORDS_SQL} AS ws FROM documents
+), phrase(label, ps) AS (
+  VALUES ('mit', ['mit', 'license']), ('apache', ['apache', 'license']), ('gpl', ['general', 'public', 'license'])
+), pos AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+), place AS (
+  SELECT doc_id, label, i - 1 AS i FROM pos JOIN phrase ON ws[i:i + len(ps) - 1] = ps
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM place GROUP BY doc_id
+), template(t, label, tokens) AS (
+  SELECT t, label, list_distinct(tokens) FROM (VALUES {TEMPLATE_ROWS}) AS v(t, label, tokens)
+), block AS (
+  SELECT doc_id, ws[b + 1:b + {BLOCK}] AS held FROM (SELECT doc_id, ws, unnest(range(0, len(ws), {STRIDE})) AS b FROM w)
+), match AS (
+  SELECT doc_id, label, len(list_intersect(tokens, held)) / len(tokens) AS share
+  FROM block, template WHERE len(list_intersect(tokens, held)) >= ceil(0.8 * len(tokens) - 1e-9)
+), best AS (
+  SELECT doc_id, max(share) AS best FROM match GROUP BY doc_id
+), named AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM match UNION SELECT doc_id, label FROM place) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(best, 0) END AS DOUBLE) AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = f"""
+WITH w AS (
+  SELECT doc_id, {WORDS_SQL} AS ws FROM documents
+), item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, {WORDS_SQL} AS ws FROM benchmark
+), run AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS span, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS k
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM item WHERE len(ws) > 0)
+), win AS (
+  SELECT doc_id, i, span, array_to_string(ws[i:i + span - 1], ' ') AS k
+  FROM (SELECT doc_id, ws, span, unnest(range(1, len(ws) - span + 2)) AS i FROM w, (SELECT DISTINCT span FROM run))
+), hit AS (
+  SELECT doc_id, i, run.span, item_id FROM win JOIN run ON win.k = run.k AND win.span = run.span
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + span)) AS p FROM hit) GROUP BY doc_id
+), met AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hit GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_lexical_packing": op3_lexical_packing,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op4_suffix_array_dedup": OP4_SQL,
+    "op5_license_scan": OP5_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
 }
