@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .words import every_run, words
+from .words import by_text, every_run, words
 
 #: Fingerprints of a benchmark up to this number are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -51,7 +51,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
         split = docs.select("doc_id", "th", words(F.col("text")).alias("words"))
         marked = fingerprints(split, span, k).select("doc_id", "th", F.explode(F.array_distinct("fp")).alias("fp")).join(known, "fp")
         marked = marked.groupBy("doc_id", "th").agg(F.collect_set("fp").alias("met"))
-        near = docs.join(marked, docs["doc_id"].eqNullSafe(marked["doc_id"]) & (docs["th"] == marked["th"])).select(docs["doc_id"], docs["th"], words(F.col("text")).alias("words"), "met")
+        near = by_text(docs, marked, "inner").select("doc_id", "th", words(F.col("text")).alias("words"), "met")
         near = fingerprints(near, span, k).select("doc_id", "th", "words", "met", F.posexplode("fp").alias("i", "fp")).where(F.array_contains("met", F.col("fp")))
         near = near.select("doc_id", "th", "i", F.slice("words", F.col("i") + 1, span).alias("run")).join(runs, "run").select("doc_id", "th", "i", F.lit(span).alias("span"), "item_id")
         hits = near if hits is None else hits.unionByName(near)
@@ -61,10 +61,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     else:
         places = hits.select("doc_id", "th", F.explode(F.sequence("i", F.expr("i + span - 1"))).alias("p"), "item_id")
         found = places.groupBy("doc_id", "th").agg(F.size(F.collect_set("p")).cast("long").alias("n_hit"), F.collect_set("item_id").alias("items"))
-    same = base["doc_id"].eqNullSafe(found["doc_id"]) & (base["th"] == found["th"])
     none = F.array().cast("array<string>")
-    return base.join(found, same, "left").select(
-        base["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    return by_text(base, found, "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.coalesce("items", none)), ",").cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .words import words
+from .words import by_text, words
 
 #: Phrases of the base scan and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -84,9 +84,8 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
         "doc_id", "th", "n_words", F.concat(*starts).alias("all"),
         F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(p) > 0, F.lit(x)) for p, x in zip(starts, PHRASES.values(), strict=True))), lambda x: x.isNotNull()))).alias("named"),
     )
-    same = base["doc_id"].eqNullSafe(found["doc_id"]) & (base["th"] == found["th"])
-    return base.join(found, same, "left").select(
-        base["doc_id"], "n_words", F.size("all").cast("long").alias("n_base"),
+    return by_text(base, found, "left").select(
+        "doc_id", "n_words", F.size("all").cast("long").alias("n_base"),
         F.array_min("all").cast("long").alias("first_word"), F.array_max("all").cast("long").alias("last_word"),
         F.array_join("named", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("named", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),

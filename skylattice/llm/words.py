@@ -39,3 +39,9 @@ def every_run(df: DataFrame, column: str, n: int, f: Callable[[Column, Column],
             df = df.withColumn(f"_{out}r{p}", F.col(name) if have is None else both(F.col(have), F.col(name), done, f))
             have, done = f"_{out}r{p}", done + p
     return df.withColumn(out, F.col(have)).drop(*(x for x in df.columns if x.startswith(f"_{out}")))
+
+
+def by_text(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Join on (doc_id, th), where a null doc_id equals itself; the other side's keys go."""
+    other = other.withColumnsRenamed({"doc_id": "_doc", "th": "_th"})
+    return df.join(other, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("th").eqNullSafe(F.col("_th")), how).drop("_doc", "_th")
