@@ -42,17 +42,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     for span in spans:
         k = gram if span > gram else span
         own = items.where(F.size("words") >= window if span == window else F.size("words") == span)
-        own = fingerprints(own, span, k).select("item_id", F.posexplode("fp").alias("i", "fp"), "words")
+        # outer generators: the filter Spark infers for inner ones would be pushed through, and
+        # so repeat, every step of the fingerprint expressions
+        own = fingerprints(own, span, k).select("item_id", F.posexplode_outer("fp").alias("i", "fp"), "words")
         own = own.select("item_id", "fp", F.slice("words", F.col("i") + 1, span).alias("run"))
         known = own.select("fp").distinct()
         runs = own.select("item_id", "run").distinct()
         if known.count() <= BROADCAST_ROWS:
             known, runs = F.broadcast(known), F.broadcast(runs)
         split = docs.select("doc_id", "th", words(F.col("text")).alias("words"))
-        marked = fingerprints(split, span, k).select("doc_id", "th", F.explode(F.array_distinct("fp")).alias("fp")).join(known, "fp")
+        marked = fingerprints(split, span, k).select("doc_id", "th", F.explode_outer(F.array_distinct("fp")).alias("fp")).join(known, "fp")
         marked = marked.groupBy("doc_id", "th").agg(F.collect_set("fp").alias("met"))
         near = by_text(docs, marked, "inner").select("doc_id", "th", words(F.col("text")).alias("words"), "met")
-        near = fingerprints(near, span, k).select("doc_id", "th", "words", "met", F.posexplode("fp").alias("i", "fp")).where(F.array_contains("met", F.col("fp")))
+        near = fingerprints(near, span, k).select("doc_id", "th", "words", "met", F.posexplode_outer("fp").alias("i", "fp")).where(F.array_contains("met", F.col("fp")))
         near = near.select("doc_id", "th", "i", F.slice("words", F.col("i") + 1, span).alias("run")).join(runs, "run").select("doc_id", "th", "i", F.lit(span).alias("span"), "item_id")
         hits = near if hits is None else hits.unionByName(near)
     base = docs.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
