@@ -124,6 +124,73 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(task, "a long, b long")
 
 
+#: Documents of one block of the comparison across components.
+BLOCK = 512
+
+
+def linked(x: list[np.ndarray], y: list[np.ndarray], xid: np.ndarray, yid: np.ndarray, percent: int) -> np.ndarray:
+    """Boolean matrix: the pairs of sets with 100 * intersection >= percent * union."""
+    sets, (_, again) = [*x, *y], np.unique(np.concatenate([xid, yid]), return_index=True)
+    size = np.array([len(s) for s in sets])
+    tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    once = np.isin(row, again)  # a document on both sides counts once
+    shared = np.flatnonzero(np.bincount(column[once], minlength=len(tokens)) > 1)
+    place = np.full(len(tokens), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column, both = row[order], column[order], np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(shared), 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        m = np.zeros((len(sets), min(4096, len(shared) - at)), np.float32)
+        m[row[a:b], column[a:b] - at] = 1
+        both += m[: len(x)] @ m[len(x) :].T
+    return 100 * both >= percent * (size[: len(x), None] + size[None, len(x) :] - both)
+
+
+def across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket that lie in different components so far.
+
+    Buckets with the same largest component form a cluster. The members outside that component
+    are compared with all members, exactly, in blocks of bounded size: a block pair is a unit of
+    work of its own and returns one link for each two components it joins, never its pairs.
+    """
+    sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("m.c").alias("main"))
+    mixed = cut(named.join(main, "bucket").select("main", "rep", "c").distinct())
+    count = mixed.groupBy("main").agg(F.ceil(F.sum(F.expr("int(c <> main)")) / BLOCK).cast("int").alias("nx"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ny"))
+    full = mixed.join(count, "main").join(sets, mixed["rep"] == sets["id"])
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = full.where("c <> main").select("main", own("nx").alias("bx"), every("ny").alias("by"), F.lit(0).alias("side"), "rep", "c", "shingles")
+    y = full.where("nx > 0").select("main", every("nx").alias("bx"), own("ny").alias("by"), F.lit(1).alias("side"), "rep", "c", "shingles")
+    slots = 8 * int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def task(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("main", "bx", "by", "side", "rep")]).combine_chunks()
+        key = np.stack([table[c].to_numpy() for c in ("main", "bx", "by", "side")])
+        rep, comp = table["rep"].to_numpy(), table["c"].to_numpy()
+        lists = table["shingles"].chunk(0) if table.num_rows else None
+        starts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        ends = np.append(np.flatnonzero((key[:3, 1:] != key[:3, :-1]).any(0)) + 1, table.num_rows)
+        out, at = [np.zeros((0, 2), np.int64)], 0
+        for to in ends.tolist():
+            mid = at + int(np.searchsorted(key[3, at:to], 1))
+            if at < mid < to:
+                s = [values[starts[i] : starts[i + 1]] for i in range(at, to)]
+                i, j = np.nonzero(linked(s[: mid - at], s[mid - at :], rep[at:mid], rep[mid:to], percent) & (comp[at:mid, None] != comp[None, mid:to]))
+                if len(i):
+                    _, first = np.unique(np.stack([comp[at + i], comp[mid + j]], 1), axis=0, return_index=True)
+                    out.append(np.stack([rep[at + i[first]], rep[mid + j[first]]], 1))
+            at = to
+        a, b = np.concatenate(out).T
+        return pa.table({"a": a, "b": b})
+
+    return x.unionByName(y).groupBy(F.pmod(F.xxhash64("main", "bx", "by"), F.lit(slots)).alias("slot")).applyInArrow(task, "a long, b long")
+
+
 def minhash_dedup(docs: DataFrame, threshold_percent: int = 75, shingle: int = SHINGLE, bands: int = 40) -> DataFrame:
     """Components of documents linked by shingle-set similarity >= threshold.
 
@@ -133,8 +200,9 @@ def minhash_dedup(docs: DataFrame, threshold_percent: int = 75, shingle: int = S
 
     Equal sets are one class. Each class sends its registers in ``bands`` bands of four; classes
     that share a band value are compared with the least class of that bucket, confirmed pairs
-    are joined to components, and then every pair of one bucket that lies in different
-    components is compared too, so a large bucket of near copies costs a star, not all pairs.
+    are joined to components, and then members of one bucket that lie in different components
+    are compared in blocks (``across``), so a large bucket of near copies costs a star, and no
+    pairs are made of it.
     A pair at the threshold misses all bands with probability (1 - 0.75**4)**40 < 3e-7. Pairs
     go on unless the joint likelihood of both register vectors rules the threshold out by
     e**-14; links are confirmed on full sets.
@@ -162,12 +230,7 @@ def minhash_dedup(docs: DataFrame, threshold_percent: int = 75, shingle: int = S
     links = cut(confirmed(star))
     label = components(links)
     named = cut(member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")))
-    sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("m.c").alias("main"))
-    mixed = named.join(main, "bucket")
-    minor = mixed.where("c <> main").select("bucket", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    cross = minor.join(mixed, "bucket").where("c <> cx and (c = main or x < rep)").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    links = links.unionByName(confirmed(cross.join(star, ["a", "b"], "left_anti")))
+    links = links.unionByName(across(named, sets, threshold_percent))
     label = components(links)
     by_class = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     # a class of very many copies is joined to one row; Spark splits its side where it is large
