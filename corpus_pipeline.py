@@ -1,30 +1,69 @@
-"""Corpus pipeline: a chain of stages over documents, each by one operator of ``skylattice.llm``."""
+"""Corpus pipeline: a chain of stages over documents, each by one operator of ``skylattice.llm``.
+
+Every stage but the last takes and returns the columns of documents; each works on all rows its
+predecessor kept. Rows without a doc_id cannot be referred to and leave at the second stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skylattice.llm.decontamination import decontaminate
+from skylattice.llm.language_id import language_id
+from skylattice.llm.lexical_packing import lexical_packing
+from skylattice.llm.minhash_dedup import minhash_dedup
 from skylattice.llm.substring_dedup import substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a language (null, or no letter); fills in a missing lang."""
+    named = language_id(docs, keep=COLUMNS).where("lang_pred <> 'und'")
+    return named.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the least doc_id."""
+    kept = minhash_dedup(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that stand in an earlier document; emptied documents go."""
-    kept = substring_dedup(docs, keep_text=True)
-    rest = docs.join(kept.where("n_removed > 0").select("doc_id", "kept_text"), "doc_id", "left")
+    kept = substring_dedup(docs, keep_text=True).where("n_removed > 0").select("doc_id", "kept_text")
     text = F.coalesce("kept_text", "text")
-    return rest.where(text != "").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return docs.join(kept, "doc_id", "left").where(text != "").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
-STAGES = [("substring_dedup", substring_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    bad = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
+    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lexical_packing(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("lexical_packing", packing_stage),
+]
 
 #: Language ID, registers and packing have no SQL form; tests compare with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each written to the shared folder before the next."""
+    from skylattice.llm.components import cut
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = cut(docs) if i + 1 < len(STAGES) else docs
     return docs

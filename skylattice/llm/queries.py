@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import decontaminate
+from .language_id import language_id
 from .lexical_packing import lexical_packing
 from .license_scan import BLOCK, STRIDE, TEMPLATES, license_scan
 from .minhash_dedup import minhash_dedup
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -180,6 +185,7 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_lexical_packing": op3_lexical_packing,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
