@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import decontaminate
+from .embedding_dedup import embedding_dedup
 from .language_id import language_id
 from .lexical_packing import lexical_packing
 from .license_scan import BLOCK, STRIDE, TEMPLATES, license_scan
@@ -81,6 +82,32 @@ FROM d LEFT JOIN per_doc USING (doc_id)
 """
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+  SELECT vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good AS a JOIN good AS b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v
+  UNION
+  SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.other
+), n AS (
+  SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a
+)
+SELECT reach.vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(other) AS component_id, min(other) = reach.vec_id AS kept
+FROM reach LEFT JOIN n USING (vec_id) GROUP BY reach.vec_id
+"""
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -191,6 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_license_scan": op5_license_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
@@ -199,5 +227,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_suffix_array_dedup": OP4_SQL,
     "op5_license_scan": OP5_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "op9_embedding_near_dedup": OP9_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
 }
