@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ END = 1
 K1, SATURATION_B = 1.2, 0.75
 #: A space that a pre-token can begin with; cutting there never changes what is merged.
 CUT = re.compile(r" (?=\S)")
+#: A space that no word follows.
+ODD_SPACE = re.compile(r" (?:\s|$)")
 #: Encoded words kept by a Python worker.
 CACHE_WORDS = 400_000
 _encoders: dict[str, Encoder] = {}
@@ -32,45 +35,50 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        """known: a word's number; its ids are flat[ends[number - 1]:ends[number]]."""
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        """Numbers of the words, from 1; new ones are encoded and kept."""
+        known = self.known
+        new = [w for w in names if w not in known]
+        if new:
+            new = list(dict.fromkeys(new))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            known.update(zip(new, range(len(self.ends), len(self.ends) + len(new)), strict=True))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by END, and the offset of each text."""
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
         words, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            parts = text.split(" ")
-            if "" in parts or len(parts) > 1 and any(p[0].isspace() for p in parts[1:]):
-                parts = CUT.split(text)
+            parts = CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
             words += parts
             counts[i] = len(parts)
         first = np.cumsum(counts) - counts
         # the first word of a text has no space before it; every text has one part at least
         coded = pc.dictionary_encode(pa.array(words, pa.large_string()))
         index, entries = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        spaced = np.ones(len(words), bool)
-        spaced[first] = False
         bare, place = np.unique(index[first], return_inverse=True)
-        names = [" " + w for w in entries] + [entries[i] for i in bare]
+        number = self.numbers([" " + w for w in entries] + [entries[i] for i in bare])
         index[first] = len(entries) + place
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = [w for w in dict.fromkeys(names) if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint16 if max(e.ids, default=0) < 1 << 16 else np.uint32)
-        ids = [self.known[w] for w in names]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.uint16)])
-        begin = np.cumsum(sizes) - sizes
-        per_word = sizes[index]
-        end_of = np.add.reduceat(np.append(per_word, 0), first) if len(texts) else counts
-        offsets = np.concatenate([[0], np.cumsum(end_of + 1)])
+        number = number[index]
+        begin, per_word = self.ends[number - 1], self.ends[number] - self.ends[number - 1]
+        before = np.cumsum(per_word) - per_word
+        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(np.append(per_word, 0), first) + 1)]) if len(texts) else np.zeros(1, np.int64)
         # a word's ids start after those of all words before it and one END per text before it
-        text_of = np.repeat(np.arange(len(texts)), counts)
-        at = np.cumsum(per_word) - per_word + text_of
-        out = np.full(offsets[-1], END, np.uint32)
-        source = np.repeat(begin[index] - (np.cumsum(per_word) - per_word), per_word) + np.arange(per_word.sum())
-        target = np.repeat(at - (np.cumsum(per_word) - per_word), per_word) + np.arange(per_word.sum())
-        out[target] = flat[source]
+        out, step = np.full(offsets[-1], END, np.uint32), np.arange(per_word.sum())
+        out[np.repeat(np.repeat(np.arange(len(texts)), counts), per_word) + step] = self.flat[np.repeat(begin - before, per_word) + step]
         return out, offsets
 
 
