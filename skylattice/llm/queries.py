@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .components import cut
 from .decontamination import decontaminate
 from .embedding_dedup import embedding_dedup
 from .language_id import language_id
 from .lexical_packing import lexical_packing
 from .license_scan import BLOCK, STRIDE, TEMPLATES, license_scan
+from .lm_scoring import lm_scores
 from .minhash_dedup import minhash_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .warc_fixity import audit, damaged, warc_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,6 +186,59 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN nam
 """
 
 
+def op6_warc_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = cut(warc_records(table(spark, sf_dir, "pages")))
+    return audit(records, damaged(records))
+
+
+OP6_LEVELS = "".join(
+    f""", l{i + 1} AS (
+  SELECT s, warc, node // 16 AS node, sha256(string_agg(node || ':' || hash, chr(10) ORDER BY node)) AS hash
+  FROM (SELECT s, warc, node, hash FROM l{i}) GROUP BY s, warc, node // 16
+)"""
+    for i in range(4)
+)
+CRLF = "chr(13) || chr(10)"
+OP6_SQL = f"""
+WITH page AS (
+  SELECT page_id, 'part-' || lpad(CAST(page_id // 512 AS VARCHAR), 8, '0') || '.warc' AS warc,
+    'WARC/1.1' || {CRLF} || 'WARC-Type: response' || {CRLF} || 'WARC-Record-ID: <urn:page:' || page_id
+    || '>' || {CRLF} || 'WARC-Target-URI: ' || coalesce(url, '') || {CRLF}
+    || 'Content-Type: text/html' || {CRLF} || 'Content-Length: ' || strlen(coalesce(html, ''))
+    || {CRLF} || {CRLF} || coalesce(html, '') || {CRLF} || {CRLF} AS record
+  FROM pages
+), sized AS (
+  SELECT page_id, warc, strlen(record) AS length, sha256(record) AS digest FROM page
+), rec AS (
+  SELECT warc, length, digest, CAST(coalesce(sum(length) OVER (
+    PARTITION BY warc ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM sized
+), side AS (
+  SELECT 'p' AS s, warc, pos, length, digest FROM rec
+  UNION ALL
+  SELECT 'r', warc, pos, length, CASE WHEN mark < '04' THEN sha256(digest || '!') ELSE digest END
+  FROM (SELECT *, substr(md5(warc || ':' || pos), 1, 2) AS mark FROM rec) WHERE mark < '04' OR mark >= '08'
+), l0 AS (
+  SELECT s, warc, pos // 262144 AS node,
+         sha256(string_agg(pos || ':' || length || ':' || digest, chr(10) ORDER BY pos, length, digest)) AS hash
+  FROM side GROUP BY s, warc, pos // 262144
+){OP6_LEVELS}, root AS (
+  SELECT s, warc, sha256(string_agg(node || ':' || hash, chr(10) ORDER BY node)) AS hash FROM l4 GROUP BY s, warc
+)
+SELECT p.warc, p.pos AS "offset", CAST(p.length AS BIGINT) AS length,
+       CASE WHEN r.warc IS NULL THEN 'missing' ELSE 'corrupt' END AS status,
+       p.digest AS primary_digest, r.digest AS replica_digest, a.hash AS primary_root, b.hash AS replica_root
+FROM (SELECT * FROM side WHERE s = 'p') AS p
+LEFT JOIN (SELECT * FROM side WHERE s = 'r') AS r ON p.warc = r.warc AND p.pos = r.pos
+JOIN root AS a ON a.warc = p.warc AND a.s = 'p' LEFT JOIN root AS b ON b.warc = p.warc AND b.s = 'r'
+WHERE r.digest IS DISTINCT FROM p.digest
+"""
+
+
+def op8_masked_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -217,7 +273,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lexical_packing": op3_lexical_packing,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_warc_merkle_fixity": op6_warc_merkle_fixity,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_masked_lm_scoring": op8_masked_lm_scoring,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
@@ -226,6 +284,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op4_suffix_array_dedup": OP4_SQL,
     "op5_license_scan": OP5_SQL,
+    "op6_warc_merkle_fixity": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
