@@ -1,43 +1,5 @@
-"""Connected components by alternating large-star and small-star steps, all in joins."""
+"""Connected components and lineage cuts, as the rest of the library has them."""
 
-from __future__ import annotations
+from ..operators.graph import components, cut
 
-import tempfile
-
-from pyspark.sql import DataFrame, functions as F
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without lineage, in the folder of ``spark.checkpoint.dir``.
-
-    Only a session without that setting (as in tests) gets a temporary folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(id, component) for every id in ``edges`` (a, b); component is the least id reachable.
-
-    Each step groups with partial aggregation and joins back, so a vertex with very many
-    neighbours never meets in one task. Ends when a round changes nothing.
-    """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    for _ in range(most):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    own = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own).groupBy("id").agg(F.min("component").alias("component"))
+__all__ = ["components", "cut"]
