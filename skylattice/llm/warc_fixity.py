@@ -75,10 +75,10 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         both = x.withColumnRenamed("hash", "p").join(y.withColumnRenamed("hash", "r"), ["warc", "node"], "full_outer")
         return both.where(~F.col("p").eqNullSafe(F.col("r")))
 
-    bad = roots = differing(up[-1], down[-1], None, 0)
+    # each level is small and read by both sides of the next one, so its lineage ends here
+    bad = roots = cut(differing(up[-1], down[-1], None, 0))
     for i in range(len(up) - 2, -1, -1):
-        bad = differing(up[i], down[i], bad, 0 if i == len(up) - 2 else FAN).select("warc", "node")
-    bad = cut(bad)
+        bad = cut(differing(up[i], down[i], bad, 0 if i == len(up) - 2 else FAN).select("warc", "node"))
     side = lambda df, c: df.withColumn("node", F.expr(f"offset div {RANGE}")).join(bad, ["warc", "node"], "left_semi").groupBy("warc", "offset").agg(F.array_sort(F.collect_list(F.struct("digest", "length"))).alias(c))
     both = side(a, "p").join(side(b, "r"), ["warc", "offset"], "full_outer").where(~F.col("p").eqNullSafe(F.col("r")))
     text = lambda c: F.array_join(F.col(f"{c}.digest"), ",")
