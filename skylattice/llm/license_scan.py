@@ -33,7 +33,7 @@ def phrase_starts(array: str, phrase: str) -> Column:
     return F.when(F.array_contains(array, parts[0]) & (n >= 0), F.filter(F.sequence(F.lit(0), n), there)).otherwise(F.array().cast("array<int>"))
 
 
-def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """Licences named in each text.
 
     Base: every place where the words of a phrase stand consecutively. Method: every block of

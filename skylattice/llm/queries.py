@@ -171,7 +171,7 @@ WITH w AS (
   SELECT doc_id, ws[b + 1:b + {BLOCK}] AS held FROM (SELECT doc_id, ws, unnest(range(0, len(ws), {STRIDE})) AS b FROM w)
 ), match AS (
   SELECT doc_id, label, len(list_intersect(tokens, held)) / len(tokens) AS share
-  FROM block, template WHERE len(list_intersect(tokens, held)) >= ceil(0.8 * len(tokens) - 1e-9)
+  FROM block, template WHERE len(list_intersect(tokens, held)) >= ceil(0.9 * len(tokens) - 1e-9)
 ), best AS (
   SELECT doc_id, max(share) AS best FROM match GROUP BY doc_id
 ), named AS (
