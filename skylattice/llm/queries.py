@@ -60,14 +60,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), segment AS (  -- of 512 bytes and what windows reach beyond; substr on a long string is slow
+  SELECT doc_id, c * 512 AS base, length(h) // 2 AS n, substr(h, 1024 * c + 1, 1024 + 198) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, (length(h) + 1023) // 1024)) AS c FROM d)
 ), win AS (
-  SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS k
-  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM d)
+  SELECT doc_id, base + i AS s, md5_number(substr(g, 2 * i + 1, 200)) AS k
+  FROM (SELECT *, unnest(range(0, greatest(least(512, n - 99 - base), 0))) AS i FROM segment)
+), least_place AS (
+  SELECT k, min({'d': doc_id, 's': s}) AS m FROM win GROUP BY k HAVING count(*) > 1
 ), hit AS (
-  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win) WHERE r > 1
+  SELECT doc_id, s FROM win JOIN least_place USING (k) WHERE m.d <> doc_id OR m.s <> s
 ), byte AS (
-  SELECT doc_id, substr(h, 2 * p + 1, 2) AS b, p
-  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)
+  SELECT doc_id, base + i AS p, substr(g, 2 * i + 1, 2) AS b FROM (SELECT *, unnest(range(0, least(512, n - base))) AS i FROM segment)
 ), seen AS (
   SELECT byte.doc_id, b, p,
          coalesce(p - max(hit.s) OVER (PARTITION BY byte.doc_id ORDER BY p) < 100, false) AS gone
