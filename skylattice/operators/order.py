@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import hypot
+from .graph import cut
 
 
 def ordered(rows: DataFrame, columns: list[str], key: str = "image_id", by: list[str] | None = None) -> DataFrame:
@@ -17,7 +18,9 @@ def ordered(rows: DataFrame, columns: list[str], key: str = "image_id", by: list
     if by:
         return rows.withColumn("order", F.row_number().over(Window.partitionBy(*by).orderBy(*sort)).cast("long") - 1)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the bounds of the ranges are sampled anew each time, so one numbering is kept for both uses
     marked = rows.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id() % (1 << 33))
+    marked = cut(marked)
     before = marked.groupBy("_p").agg(F.count("*").alias("_n"))
     start = before.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_start")
     return marked.join(F.broadcast(start), "_p").withColumn("order", F.col("_start") + F.col("_m")).drop("_p", "_m", "_start")

@@ -86,14 +86,14 @@ def geometric_differences(predicted: DataFrame, true: DataFrame, key: str = "ima
     return out.select(key, *(v.alias(k) for k, v in diff.items()), (0.5 * hypot(x, y)).alias("center_diff"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
     """For each query vector the nearest other row (Euclidean), ties to the least key.
 
-    Queries are grouped in blocks of bounded size and every task compares one block with its part
-    of the rows, so results are per (query, part) and the best is found by an aggregation.
+    Queries are grouped in blocks of about ``block``; a task compares whole blocks with its part of the
+    rows, and the best of all parts is found by an aggregation with partial results.
     """
     q = queries.select(F.col(key).alias("src"), F.col(vector).alias("_q"))
-    q = q.withColumn("_b", F.floor(F.pmod(F.xxhash64("src"), F.lit(1 << 20)) / F.lit(1 << 20) * 16))
+    q = q.withColumn("_b", F.pmod(F.xxhash64("src"), F.lit(-(-max(q.count(), 1) // block))))
     packed = q.groupBy("_b").agg(F.collect_list(F.struct("src", "_q")).alias("_qs"))
     pairs = rows.select(F.col(key).alias("dst"), F.col(vector).alias("_v")).crossJoin(packed).select("dst", "_v", F.explode("_qs").alias("_s"))
     d = F.sqrt(F.aggregate(F.zip_with("_s._q", "_v", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
