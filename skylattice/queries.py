@@ -122,9 +122,9 @@ def s9_gps_log(t):
     return rounded(lg.gps_log(raw, keep=["event_id"]).select("event_id", "sensor_x", "sensor_y"), "sensor_x", "sensor_y", digits=3)
 
 
-@query("SELECT event_id, 10.0 * (event_id % 36) - 180 AS west, 10.0 * (event_id % 36) - 170 AS east, 80 - 10.0 * (event_id % 18) AS south, 90 - 10.0 * (event_id % 18) AS north FROM events")
+@query("SELECT event_id, CAST(10 * (event_id % 36) - 180 AS DOUBLE) AS west, CAST(10 * (event_id % 36) - 170 AS DOUBLE) AS east, CAST(80 - 10 * (event_id % 18) AS DOUBLE) AS south, CAST(90 - 10 * (event_id % 18) AS DOUBLE) AS north FROM events")
 def s14_tile_bounds(t):
-    return t("events").select("event_id", *(v.cast("decimal(20,1)").alias(k) for k, v in geo.tile_bounds(c("event_id") % 36, c("event_id") % 18).items()))
+    return t("events").select("event_id", *(v.cast("double").alias(k) for k, v in geo.tile_bounds(c("event_id") % 36, c("event_id") % 18).items()))
 
 
 PIX = "SELECT vec_id, label, i AS i, vec_id * 7 % 57 + i % 8 AS x, vec_id * 13 % 57 + i // 8 AS y, label * 1000000 + vec_id AS ord, px[i + 1] AS v FROM (SELECT vec_id, label, px, unnest(range(0, len(px))) AS i FROM grey)"
@@ -523,7 +523,7 @@ def w1_order(t):
 
 @query(f"""WITH {RECT_SQL}, q AS (SELECT image_id, camera_num, (x_min + x_max) / 2 AS x, (y_min + y_max) / 2 AS y FROM rect), f AS (SELECT arg_min(x, image_id) AS x0, arg_min(y, image_id) AS y0 FROM q),
 s AS (SELECT image_id, CASE camera_num WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS so, sqrt((x - x0) ** 2 + (y - y0) ** 2) AS d FROM q, f)
-SELECT so AS sensor_order, count(*) AS n, min(o) AS first, max(o) AS last, round(sum(d), 1) AS distance FROM (SELECT *, row_number() OVER (ORDER BY so, d, image_id) - 1 AS o FROM s) GROUP BY so""")
+SELECT CAST(so AS BIGINT) AS sensor_order, count(*) AS n, min(o) AS first, max(o) AS last, round(sum(d), 1) AS distance FROM (SELECT *, row_number() OVER (ORDER BY so, d, image_id) - 1 AS o FROM s) GROUP BY so""")
 def w2_sensor_and_distance(t):
     rows = od.sensor_and_distance(centred(t), {0: 1, 1: 0, 2: 2})
     return rows.groupBy("sensor_order").agg(F.count("*").alias("n"), F.min("order").alias("first"), F.max("order").alias("last"), F.round(F.sum("distance_to_starting_image"), 1).alias("distance"))
@@ -656,10 +656,10 @@ def x12_to_pixels(t):
     return mo.pixel_rectangles(rects(t), RASTER).select("image_id", "x_off", "y_off", "x_size", "y_size")
 
 
-@query(f"WITH {RECT_SQL}, {PIXEL_SQL} SELECT image_id, x_off * 0.5 AS x_min, (x_off + x_size) * 0.5 AS x_max, 2100 - y_off * 0.5 AS y_max, 2100 - (y_off + y_size) * 0.5 AS y_min FROM pixel")
+@query(f"WITH {RECT_SQL}, {PIXEL_SQL} SELECT image_id, CAST(x_off AS DOUBLE) / 2 AS x_min, CAST(x_off + x_size AS DOUBLE) / 2 AS x_max, 2100 - CAST(y_off AS DOUBLE) / 2 AS y_max, 2100 - CAST(y_off + y_size AS DOUBLE) / 2 AS y_min FROM pixel")
 def x13_to_bounds(t):
     p = mo.pixel_rectangles(rects(t), RASTER).select("image_id", "x_off", "y_off", "x_size", "y_size")
-    return p.select("image_id", *(v.cast("decimal(20,1)").alias(k) for k, v in geo.to_bounds(RASTER).items()))
+    return p.select("image_id", *(v.alias(k) for k, v in geo.to_bounds(RASTER).items()))
 
 
 @query(f"WITH {RECT_SQL} SELECT image_id, round(x_min - padding, 4) AS x_min, round(x_max + padding, 4) AS x_max, round(y_min - padding, 4) AS y_min, round(y_max + padding, 4) AS y_max FROM rect")
@@ -715,7 +715,7 @@ def x22_rescale(t):
 
 @query(f"WITH {PIX_SQL} SELECT vec_id, i, CASE WHEN r > 0 THEN 255 ELSE 0 END AS alpha FROM pix")
 def x23_alpha(t):
-    return contributions(t).select("vec_id", "i", px.alpha(c("r")).alias("alpha"))
+    return contributions(t).select("vec_id", c("i").cast("long").alias("i"), px.alpha(c("r")).alias("alpha"))
 
 
 @query("SELECT event_id, round((value - 10) / 490.0 * 99, 6) AS px, round(10 + event_id % 100 * 490.0 / 99, 6) AS x FROM events")
