@@ -23,8 +23,10 @@ K1, SATURATION_B = 1.2, 0.75
 CUT = re.compile(r" (?=\S)")
 #: A space that no word follows.
 ODD_SPACE = re.compile(r" (?:\s|$)")
+#: Marks that often end a word.
+MARKS = ".,;:!?*#&%$)|"
 #: Encoded words kept by a Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -70,15 +72,20 @@ class Encoder:
         coded = pc.dictionary_encode(pa.array(words, pa.large_string()))
         index, entries = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
         bare, place = np.unique(index[first], return_inverse=True)
-        number = self.numbers([" " + w for w in entries] + [entries[i] for i in bare])
+        names = [" " + w for w in entries] + [entries[i] for i in bare]
         index[first] = len(entries) + place
-        number = number[index]
-        begin, per_word = self.ends[number - 1], self.ends[number] - self.ends[number - 1]
-        before = np.cumsum(per_word) - per_word
+        # marks after a letter or digit are pre-tokens of their own, so far fewer words are new
+        cores = [w.rstrip(MARKS) for w in names]
+        cores = [k if k and k[-1].isalnum() else w for k, w in zip(cores, names, strict=True)]
+        tails = [w[len(k) :] for k, w in zip(cores, names, strict=True)]
+        number = np.stack([self.numbers(cores), self.numbers(tails)], 1)[index].ravel()
+        begin, per_part = self.ends[number - 1], self.ends[number] - self.ends[number - 1]
+        per_word = per_part.reshape(-1, 2).sum(1)
+        before = np.cumsum(per_part) - per_part
         offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(np.append(per_word, 0), first) + 1)]) if len(texts) else np.zeros(1, np.int64)
         # a word's ids start after those of all words before it and one END per text before it
         out, step = np.full(offsets[-1], END, np.uint32), np.arange(per_word.sum())
-        out[np.repeat(np.repeat(np.arange(len(texts)), counts), per_word) + step] = self.flat[np.repeat(begin - before, per_word) + step]
+        out[np.repeat(np.repeat(np.arange(len(texts)), counts), per_word) + step] = self.flat[np.repeat(begin - before, per_part) + step]
         return out, offsets
 
 
