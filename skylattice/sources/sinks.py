@@ -83,3 +83,10 @@ def with_georeference(images: DataFrame) -> DataFrame:
     """Pixel size from bounds and shape, beside the pixels."""
     c = F.col
     return images.withColumns({"pixel_width": (c("x_max") - c("x_min")) / c("columns"), "pixel_height": (c("y_min") - c("y_max")) / c("rows")})
+
+
+def progress_images(progress: DataFrame, codes: list[str], directory: str, bands: int = 3) -> DataFrame:
+    """Writes the warped images of the rows whose return code is listed, named by order and image."""
+    kept = progress.where(F.col("return_code").isin(codes) & F.col("data").isNotNull())
+    name = F.format_string("%06d_%d.tif", "order", "image_id")
+    return save_images(kept.select(name.alias("name"), F.col("y_size").alias("rows"), F.col("x_size").alias("columns"), F.lit(bands).cast("long").alias("bands"), "data"), directory)

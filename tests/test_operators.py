@@ -159,3 +159,19 @@ def test_sequential_mosaic_places_images(spark):
     got = {r["image_id"]: r for r in sq.sequential_mosaic(df).collect()}
     assert got[1]["return_code"] == "success" and got[4]["return_code"] == "dark_frame" and got[3]["return_code"] == "success"
     assert got[2]["return_code"] == "success" and abs(got[2]["x_off"] - 30) <= 1 and abs(got[2]["y_off"] - 20) <= 1
+
+
+def test_bounds_there_and_back(spark):
+    df = spark.createDataFrame([(-87.5, -87.1, 40.0, 40.3), (0.0, 1.0, 0.0, 1.0)], "x_min double, x_max double, y_min double, y_max double")
+    there = df.select(*(v.alias(k) for k, v in geo.reprojected("EPSG:4326", "EPSG:3857").items()))
+    back = there.select(*(v.alias(k) for k, v in geo.reprojected("EPSG:3857", "EPSG:4326").items()))
+    assert np.allclose(back.toPandas(), df.toPandas(), atol=1e-9) and abs(there.first()["x_min"]) > 1e6
+    with pytest.raises(ValueError):
+        geo.reprojected("EPSG:4326", "EPSG:32616")
+
+
+def test_progress_images(spark, tmp_path):
+    from skylattice.sources import sinks
+
+    df = spark.createDataFrame([(1, 0, "success", 2, 3, bytearray(18)), (2, 1, "bad_det", None, None, None), (3, 2, "success", 1, 1, bytearray(3))], "image_id long, order long, return_code string, x_size long, y_size long, data binary")
+    assert sorted(r["name"] for r in sinks.progress_images(df, ["success", "bad_det"], str(tmp_path)).collect()) == ["000000_1.tif", "000002_3.tif"]
