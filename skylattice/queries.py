@@ -154,10 +154,10 @@ def log_rows(t: Callable, where: str) -> DataFrame:
 
 
 def file_rows(t: Callable) -> DataFrame:
-    return t("events").where("event_id % 2 = 0").selectExpr("event_id AS file_id", "concat('/d/', CASE WHEN event_id % 4 = 0 THEN concat('Geo ', event_id, '_', event_id % 3, '.tif') ELSE concat('id', event_id, 'x.tif') END) AS filepath")
+    return t("events").selectExpr("event_id AS file_id", "concat('/d/', CASE WHEN event_type IN ('view', 'error') THEN concat('Geo ', event_id, '_', event_id % 3, '.tif') ELSE concat('id', event_id, 'x.tif') END) AS filepath")
 
 
-FILES_SQL = "f AS (SELECT event_id AS file_id, '/d/' || CASE WHEN event_id % 4 = 0 THEN 'Geo ' || event_id || '_' || event_id % 3 || '.tif' ELSE 'id' || event_id || 'x.tif' END AS filepath FROM events WHERE event_id % 2 = 0)"
+FILES_SQL = "f AS (SELECT event_id AS file_id, '/d/' || CASE WHEN event_type IN ('view', 'error') THEN 'Geo ' || event_id || '_' || event_id % 3 || '.tif' ELSE 'id' || event_id || 'x.tif' END AS filepath FROM events)"
 
 
 @query(f"WITH {FILES_SQL}, l AS ({LOG_SQL} WHERE event_type <> 'error') SELECT file_id, value FROM f JOIN l ON regexp_extract(filepath, '[^/]*$') = filename")
@@ -215,10 +215,10 @@ def j5_columnwise_join(t):
     return rounded(one.join(two, "image_id"), "a", "b")
 
 
-@query("SELECT a.event_id AS image_id, '/b/img_' || b.event_id || '.tif' AS filepath FROM events a JOIN events b ON a.event_id = b.event_id WHERE a.event_type = 'view' AND b.event_id % 2 = 0")
+@query("SELECT a.event_id AS image_id, '/b/img_' || b.event_id || '.tif' AS filepath FROM events a JOIN events b ON a.event_id = b.event_id WHERE a.event_type = 'view' AND b.value > 30")
 def j6_catalogue_join(t):
-    meta = t("events").where("event_type = 'view' or event_id % 10 = 1").selectExpr("event_id AS image_id", "CASE WHEN event_type = 'view' THEN concat('/a/img_', event_id, '.tif') END AS output_filepath")
-    files = t("events").where("event_id % 2 = 0").selectExpr("concat('/b/img_', event_id, '.tif') AS filepath")
+    meta = t("events").selectExpr("event_id AS image_id", "CASE WHEN event_type = 'view' THEN concat('/a/img_', event_id, '.tif') END AS output_filepath")
+    files = t("events").where("value > 30").selectExpr("concat('/b/img_', event_id, '.tif') AS filepath")
     return co.catalogue(meta, files).select("image_id", "filepath")
 
 
@@ -247,10 +247,10 @@ def j9_camera_error(t):
     return rounded(model.transform(rows, {0: 0.0, 1: 30.0, 2: 30.0}).select("image_id", "spatial_error"), "spatial_error", digits=3)
 
 
-@query("SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.value, b.value) AS value FROM (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value END AS value FROM events WHERE event_id % 2 = 0) a FULL JOIN (SELECT event_id, -value AS value FROM events WHERE event_id % 5 < 3) b ON a.event_id = b.event_id")
+@query("SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.value, b.value) AS value FROM (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value END AS value FROM events WHERE event_type <> 'view') a FULL JOIN (SELECT event_id, -value AS value FROM events WHERE value > 30) b ON a.event_id = b.event_id")
 def j10_combine_first(t):
-    a = t("events").where("event_id % 2 = 0").selectExpr("event_id", "CASE WHEN event_id % 3 > 0 THEN value END AS value")
-    return sc.combine_first(a, t("events").where("event_id % 5 < 3").selectExpr("event_id", "-value AS value"), ["event_id"])
+    a = t("events").where("event_type <> 'view'").selectExpr("event_id", "CASE WHEN event_id % 3 > 0 THEN value END AS value")
+    return sc.combine_first(a, t("events").where("value > 30").selectExpr("event_id", "-value AS value"), ["event_id"])
 
 
 @query("SELECT event_id, event_type, value * 2 AS doubled, props FROM events")
@@ -806,9 +806,9 @@ def i14_same_image(t):
     return s.select("vec_id", (c("score") > 0.99).alias("same"))
 
 
-@query(f"WITH {PIX_SQL} SELECT x, y, coalesce(arg_min(r, ord) FILTER (r > 0), 0) AS r, 255 AS alpha FROM pix WHERE label < 5 GROUP BY x, y")
+@query(f"WITH {PIX_SQL} SELECT x, y, coalesce(arg_min(r, vec_id) FILTER (r > 0), 0) AS r, 255 AS alpha FROM pix GROUP BY x, y")
 def i16_mosaic(t):
-    return mo.blend(contributions(t).where("label < 5"), ["r"])
+    return mo.blend(contributions(t).withColumn("order", c("vec_id")), ["r"])
 
 
 @query(REG_SQL + ' SELECT camera_num, count(*) AS n, round(avg(coalesce(mean_error, "mAltitude" * tan(radians(35.0)))), 3) AS spatial_error, round(avg(1.5 * coalesce(mean_error, "mAltitude" * tan(radians(35.0)))), 3) AS padding FROM rect LEFT JOIN err USING (camera_num) GROUP BY camera_num')
