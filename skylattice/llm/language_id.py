@@ -19,7 +19,7 @@ LETTERS = T.byte_table((0x61, 0x7A), (0x80, 0xFF))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Word scores kept by a Python worker.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -178,7 +178,7 @@ def language_id(docs: DataFrame, vocabulary_path: str | None = None, per_languag
         known, scores = np.zeros(0, T.U64), np.zeros((0, len(langs)))
         for batch in batches:
             preds, shares = [], []
-            for _, data, offsets in T.blocks(np.arange(batch.num_rows), batch["text"], 4 << 20):
+            for _, data, offsets in T.blocks(np.arange(batch.num_rows), batch["text"], 1 << 20):
                 raw = data
                 data = LOWER[data]
                 starts, ends, bounds = T.word_bounds(data, offsets, LETTERS)

@@ -26,7 +26,7 @@ ODD_SPACE = re.compile(r" (?:\s|$)")
 #: Marks that often end a word.
 MARKS = ".,;:!?*#&%$)|"
 #: Encoded words kept by a Python worker.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -162,7 +162,7 @@ def pack(ids: np.ndarray, offsets: np.ndarray, window: int, terms: int) -> Itera
                 break
 
 
-def lexical_packing(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, shard_bytes: int = 8 << 20, terms: int = 12) -> DataFrame:
+def lexical_packing(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, shard_bytes: int = 4 << 20, terms: int = 12) -> DataFrame:
     """Pack all documents into sequences of ``window`` tokens, neighbours by BM25 together.
 
     A document is its ids by ``tokenizer`` and then id 1; null text is empty, so it is one piece

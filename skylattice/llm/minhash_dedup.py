@@ -85,7 +85,7 @@ def sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
         for batch in batches:
             rows = np.arange(batch.num_rows)
             cols: dict[str, list] = {c: [] for c in ("n", "s1", "s2", "regs")}
-            for ids, data, offsets in T.blocks(rows, batch["text"], 2 << 20):
+            for ids, data, offsets in T.blocks(rows, batch["text"], 1 << 20):
                 for _, h in shingle_sets(ids, data, offsets, size):
                     cols["n"].append(len(h))
                     s1, s2 = T.mix(h).sum(dtype=T.U64), T.mix(h ^ T.U64(T.BASE_A)).sum(dtype=T.U64)
@@ -100,7 +100,7 @@ def sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
 def shingle_arrays(docs: DataFrame, size: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in T.blocks(np.arange(batch.num_rows), batch["text"], 2 << 20):
+            for rows, data, offsets in T.blocks(np.arange(batch.num_rows), batch["text"], 1 << 20):
                 sets = [h for _, h in shingle_sets(rows, data, offsets, size)]
                 cut = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
                 values = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)

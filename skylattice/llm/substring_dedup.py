@@ -53,6 +53,6 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, keep_tex
                 rows["kept_text"].append(kept.decode())
         return pa.table(rows, schema=schema)
 
-    plan = repeats.Plan(window=window, k=min(anchor, window), words=True, within=False, block_bytes=4 << 20)
+    plan = repeats.Plan(window=window, k=min(anchor, window), words=True, within=False, block_bytes=2 << 20)
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     return repeats.find(docs.select("doc_id", "text"), plan, finish, kinds)

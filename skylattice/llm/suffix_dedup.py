@@ -162,5 +162,5 @@ def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 40) -> DataFr
                 rows[c].append(v)
         return pa.table(rows, schema=SCHEMA)
 
-    plan = repeats.Plan(window=length, k=min(anchor, length), words=False, within=True, block_bytes=2 << 20)
+    plan = repeats.Plan(window=length, k=min(anchor, length), words=False, within=True, block_bytes=1 << 20)
     return repeats.find(docs.select("doc_id", "text"), plan, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", (send_suffixes, answer_suffixes))
