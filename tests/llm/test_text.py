@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.llm import language_id as li, lm_scoring as lm, warc_fixity as wf
+from skylattice.llm import language_id as li, lexical_packing as packing, lm_scoring as lm, warc_fixity as wf
 from skylattice.llm.decontamination import decontaminate
 from skylattice.llm.language_id import language_id
 from skylattice.llm.lexical_packing import Encoder, lexical_packing
@@ -106,6 +106,27 @@ def test_neighbours_share_a_window(spark):
     assert same / total > 0.6
 
 
+def test_neighbours_of_other_splits_share_a_window(spark):
+    r = np.random.default_rng(4)
+    words = [["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(25)] for _ in range(60)]
+    # each topic's documents stand in four splits, which in turn hold all topics
+    docs = spark.createDataFrame([(60 * i + t, " ".join(r.choice(words[t], 60))) for i in range(4) for t in range(60)], "doc_id long, text string").repartitionByRange(4, "doc_id")
+    for size in (4 << 20, 1 << 14):  # one shard and several
+        got = lexical_packing(docs, window=1024, shard_bytes=size).collect()
+        assert len({x["doc_id"] for x in got}) == 240
+        pairs = [(a, b) for a, b in itertools.pairwise(sorted(got, key=lambda x: (x["sequence_id"], x["offset"]))) if a["sequence_id"] == b["sequence_id"]]
+        assert sum(a["doc_id"] % 60 == b["doc_id"] % 60 for a, b in pairs) / len(pairs) > 0.5
+
+
+def test_windows_go_on_past_64_neighbours():
+    ids, offsets = np.ones(201, np.uint32), np.arange(202)
+    corpus = packing.Corpus(201, 1.0, np.array([0.0, 201.0]))
+    got = list(packing.pack(ids, offsets, 150, corpus))
+    assert [p[3] for p in got] == [0] * 150 + [1] * 51
+    score = np.array([float(i * 7919 % 201) for i in range(201)])
+    assert list(packing.falling(score, score != 5)) == [i for i in np.argsort(-score, kind="stable").tolist() if score[i] != 5]
+
+
 def test_license_scan(spark, odd, no_docs):
     texts = ["Released under the MIT License.", "MIT license mit LICENSE apache license", "licensed under\tthe Apache License, version 2", "general public\nlicense", "mit licenses", None, "", "Licensed under CC BY-NC 4.0", "été MIT License ÉTÉ", "license " * 3000 + "mit license", "under the license of the mit"]
     df = spark.createDataFrame([(i, t, "c", 2) for i, t in enumerate(texts)], "doc_id long, text string, words string, th int")
