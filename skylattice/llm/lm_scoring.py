@@ -10,56 +10,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textops as T
+from .components import cut
 from .minhash_dedup import LOWER
 
-#: Context words on each side, hashed word buckets, word vector, hidden units, word classes.
+#: Context words on each side, words told apart, word vector, hidden units, word classes.
 SIDE, BUCKETS, DIM, HIDDEN, CLASSES = 2, 1 << 13, 12, 32, 64
-NAMES = ("words", "mix", "bias", "out", "out_bias")
+NAMES = ("words", "mix", "bias", "out", "out_bias", "within", "within_bias")
+#: The bucket of words outside the vocabulary.
+UNKNOWN = BUCKETS - 1
 
 
 @dataclass
 class Network:
-    """P(word | both sides) = P(class | context) * P(word | class).
+    """P(word | both sides) = P(class | context) * P(word | class, context).
 
-    The context's word vectors, one place each, pass a tanh layer and a softmax over classes.
-    A word's class is the slice of the corpus frequency order it lies in, so classes have
-    about equal mass; P(word | class) is its share of the counts of the class.
+    The context's word vectors, one place each, pass a tanh layer, a softmax over classes and one
+    over the words of the class. A word's class is the slice of the corpus frequency order it lies
+    in, so classes have about equal mass and BUCKETS / CLASSES words are scored for a window on
+    average. ``rank`` is a word's place in that order, ``cut`` where each class starts, and
+    ``unknown`` the number of different words that share the bucket UNKNOWN, each an equal part.
     """
 
     params: dict[str, np.ndarray]
-    word_class: np.ndarray
-    within: np.ndarray
+    rank: np.ndarray
+    cut: np.ndarray
+    unknown: int = 0
 
     @classmethod
-    def new(cls, counts: np.ndarray, seed: int) -> Network:
+    def new(cls, counts: np.ndarray, seed: int, unknown: int = 0) -> Network:
         rng, counts = np.random.default_rng(seed), counts + 0.5
         order = np.argsort(-counts, kind="stable")
-        mass = np.cumsum(counts[order]) - counts[order] / 2
-        word_class = np.empty(BUCKETS, np.int64)
-        word_class[order] = np.minimum(mass / counts.sum() * CLASSES, CLASSES - 1).astype(np.int64)
-        within = np.log(counts / np.bincount(word_class, counts, CLASSES)[word_class])
-        shape = {"words": (BUCKETS + 1, DIM), "mix": (2 * SIDE * DIM, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "out_bias": (CLASSES,)}
+        sorted_counts = counts[order]
+        mass = np.cumsum(sorted_counts) - sorted_counts / 2
+        word_class = np.minimum(mass / counts.sum() * CLASSES, CLASSES - 1).astype(np.int64)
+        rank = np.empty(BUCKETS, np.int64)
+        rank[order] = np.arange(BUCKETS)
+        start = np.bincount(word_class, sorted_counts, CLASSES)
+        shape = {"words": (BUCKETS + 1, DIM), "mix": (2 * SIDE * DIM, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "out_bias": (CLASSES,), "within": (BUCKETS, HIDDEN), "within_bias": (BUCKETS,)}
         scale = {"words": 0.3, "mix": (2 * SIDE * DIM) ** -0.5, "out": HIDDEN**-0.5}
         params = {k: (rng.standard_normal(s) * scale.get(k, 0)).astype(np.float32) for k, s in shape.items()}
-        start = np.bincount(word_class, counts, CLASSES)
         params["out_bias"] = np.log(np.maximum(start, 0.5) / start.sum()).astype(np.float32)
-        return cls(params, word_class, within.astype(np.float32))
+        params["within_bias"] = np.log(sorted_counts / start[word_class]).astype(np.float32)
+        return cls(params, rank, np.searchsorted(word_class, np.arange(CLASSES + 1)), unknown)
+
+    def copy(self) -> Network:
+        return Network({k: v.copy() for k, v in self.params.items()}, self.rank, self.cut, self.unknown)
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = self.params
         x = p["words"][context].reshape(len(context), -1)
         h = np.tanh(x @ p["mix"] + p["bias"])
-        z = h @ p["out"] + p["out_bias"]
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return x, h, z
+        return x, h, log_softmax(h @ p["out"] + p["out_bias"])
+
+    def by_class(self, rank: np.ndarray, word_class: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+        """(windows, words of their class, place of each window's word among them)."""
+        order = np.argsort(word_class, kind="stable")
+        ends = np.searchsorted(word_class[order], np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            rows = order[ends[c] : ends[c + 1]]
+            yield rows, slice(self.cut[c], self.cut[c + 1]), rank[rows] - self.cut[c]
+
+    def target(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank = self.rank[word]
+        return rank, np.searchsorted(self.cut, rank, "right") - 1
 
     def log_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        out = np.empty(len(word), np.float32)
+        p, out = self.params, np.empty(len(word), np.float32)
         for i in range(0, len(word), 1 << 14):
             w = word[i : i + (1 << 14)]
-            z = self.forward(context[i : i + (1 << 14)])[2]
-            out[i : i + (1 << 14)] = z[np.arange(len(w)), self.word_class[w]] + self.within[w]
+            _, h, z = self.forward(context[i : i + (1 << 14)])
+            rank, word_class = self.target(w)
+            part = z[np.arange(len(w)), word_class]
+            for rows, own, place in self.by_class(rank, word_class):
+                # tail classes hold thousands of words, so few windows at once
+                for j in range(0, len(rows), 1024):
+                    r = rows[j : j + 1024]
+                    part[r] += log_softmax(h[r] @ p["within"][own].T + p["within_bias"][own])[np.arange(len(r)), place[j : j + 1024]]
+            out[i : i + (1 << 14)] = part - (w == UNKNOWN) * np.float32(np.log(max(self.unknown, 1)))
         return out
 
     def train(self, context: np.ndarray, word: np.ndarray, rate: float, batch: int = 256) -> None:
@@ -68,26 +95,56 @@ class Network:
         for i in range(0, len(word), batch):
             c, w = context[i : i + batch], word[i : i + batch]
             x, h, z = self.forward(c)
+            rank, word_class = self.target(w)
             g = np.exp(z)
-            g[np.arange(len(w)), self.word_class[w]] -= 1
+            g[np.arange(len(w)), word_class] -= 1
             g /= len(w)
-            back = (g @ p["out"].T) * (1 - h * h)
+            back = g @ p["out"].T
+            for rows, own, place in self.by_class(rank, word_class):
+                e = np.exp(log_softmax(h[rows] @ p["within"][own].T + p["within_bias"][own]))
+                e[np.arange(len(rows)), place] -= 1
+                e /= len(w)
+                back[rows] += e @ p["within"][own]
+                for k, d in (("within", e.T @ h[rows]), ("within_bias", e.sum(0))):
+                    past[k][own] += d * d
+                    p[k][own] -= rate * d / np.sqrt(past[k][own])
+            back *= 1 - h * h
             grads = {"out": h.T @ g, "out_bias": g.sum(0), "mix": x.T @ back, "bias": back.sum(0)}
+            words = (back @ p["mix"].T).reshape(-1, DIM)
             for k, d in grads.items():
                 past[k] += d * d
                 p[k] -= rate * d / np.sqrt(past[k])
             ids, place = np.unique(c, return_inverse=True)
             d = np.zeros((len(ids), DIM), np.float32)
-            np.add.at(d, place.ravel(), (back @ p["mix"].T).reshape(-1, DIM))
+            np.add.at(d, place.ravel(), words)
             past["words"][ids] += d * d
             p["words"][ids] -= rate * d / np.sqrt(past["words"][ids])
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, word buckets, first word of each document); BUCKETS stands beyond a document's ends."""
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each document)."""
     data = LOWER[data]
     starts, ends, bounds = T.word_bounds(data, offsets, T.NON_SPACE)
-    word = (T.word_hashes(data, starts, ends) % T.U64(BUCKETS)).astype(np.int64)
+    return T.word_hashes(data, starts, ends), bounds
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, words, first word of each document); BUCKETS stands beyond a document's ends.
+
+    A word is its place in the sorted hashes of ``vocabulary``, or UNKNOWN; without a vocabulary
+    it is a bucket of its hash."""
+    word, bounds = hashed(data, offsets)
+    if vocabulary is None:
+        word = (word % T.U64(BUCKETS)).astype(np.int64)
+    else:
+        at = np.searchsorted(vocabulary, word)
+        known = np.append(vocabulary, T.U64(0))[at] == word
+        word = np.where(known & (at < len(vocabulary)), at, UNKNOWN)
     doc = np.searchsorted(bounds, np.arange(len(word)), "right")
     context = np.empty((len(word), 2 * SIDE), np.int64)
     for j, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
@@ -104,15 +161,22 @@ def texts(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tu
             yield batch, rows, data, offsets
 
 
-def lm_scores(docs: DataFrame, every: int = 8, rounds: int = 2, rate: float = 0.1, seed: int = 11) -> DataFrame:
+def targets(n: int, turn: int, rounds: int) -> np.ndarray:
+    """The windows of a block that a round trains; each window is in exactly one round."""
+    return np.arange(turn, n, rounds)
+
+
+def lm_scores(docs: DataFrame, rounds: int = 2, rate: float = 0.1, seed: int = 11) -> DataFrame:
     """Sum over a document's words of log P(word | SIDE words before and after it).
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, hashed to BUCKETS. Bucket counts and
-    classes come from all words of all documents. Training is local descent with averaging: in
-    each round every task starts from the same network, makes one pass over every ``every``-th
-    window of all its texts (picked by place, so what is gathered grows with the corpus), and
-    the tasks' networks are averaged by the number of their windows, in blocks of parameters,
-    by a Spark aggregation. The network's size is fixed, whatever the corpus.
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. The BUCKETS - 1 most frequent of all
+    documents are told apart, and all others share one unknown word, whose probability is split
+    evenly among them. Counts and classes come from all words of all documents. Training is local
+    descent with averaging: in each round every task starts from the same network and makes one
+    pass over every ``rounds``-th window of all its texts, each round at another offset, so each
+    window is a target in exactly one round; the tasks' networks are averaged by the number of
+    their windows, in blocks of parameters, by a Spark aggregation. The network's size is fixed,
+    whatever the corpus.
 
     Null and empty texts have no words, log_prob 0 and a null score. One row per input row; ties
     and repeated rows get equal scores; other columns are ignored. An empty table gives no rows.
@@ -124,25 +188,27 @@ def lm_scores(docs: DataFrame, every: int = 8, rounds: int = 2, rate: float = 0.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, offsets in texts(batches):
-            word = windows(data, offsets)[1]
-            ids, n = np.unique(word, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["bucket", "n"])
+            ids, n = np.unique(hashed(data, offsets)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    counts = np.zeros(BUCKETS)
-    for r in docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r["bucket"]] = r["n"]  # at most BUCKETS rows
-    network = Network.new(counts, seed)
+    every = cut(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    top = sorted((np.uint64(r["word"] % (1 << 64)), r["n"]) for r in every.orderBy(F.desc("n"), "word").limit(UNKNOWN).collect())
+    vocabulary, counts = np.array([w for w, _ in top], T.U64), np.zeros(BUCKETS)
+    counts[: len(top)] = [n for _, n in top]
+    total = every.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    counts[UNKNOWN] = (total["n"] or 0) - counts.sum()
+    network = Network.new(counts, seed, total["k"] - len(top))
 
     for turn in range(rounds):
         shared = context.broadcast(network)
 
         def local(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            own = Network({k: v.copy() for k, v in shared.value.params.items()}, shared.value.word_class, shared.value.within)
+            own = shared.value.copy()
             seen = 0
             for _, _, data, offsets in texts(batches):
-                c, w, _ = windows(data, offsets)
-                pick = np.arange(turn, len(w), every)
-                own.train(c[pick], w[pick], rate / (turn + 1))
+                c, w, _ = windows(data, offsets, vocabulary)
+                pick = targets(len(w), turn, rounds)
+                own.train(c[pick], w[pick], rate / (turn + 1), 1024)
                 seen += len(pick)
             if seen:
                 flat = np.concatenate([own.params[k].ravel() for k in NAMES]).astype(np.float64) * seen
@@ -168,7 +234,7 @@ def lm_scores(docs: DataFrame, every: int = 8, rounds: int = 2, rate: float = 0.
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows, data, offsets in texts(batches):
-            c, w, bounds = windows(data, offsets)
+            c, w, bounds = windows(data, offsets, vocabulary)
             total = np.concatenate([[0.0], np.cumsum(shared.value.log_prob(c, w), dtype=np.float64)])
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows)), pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]])], names=["doc_id", "n_words", "log_prob"])
 

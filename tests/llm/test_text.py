@@ -1,3 +1,4 @@
+import inspect
 import itertools
 import math
 import zlib
@@ -191,6 +192,30 @@ def test_lm_scores(spark, odd, no_docs):
     assert lm.lm_scores(no_docs).collect() == []
 
 
+def test_lm_tells_words_of_one_class_apart_by_context():
+    counts = np.zeros(lm.BUCKETS)
+    counts[:1000] = 1  # equal counts, so that words 0 and 1 are of one class
+    net = lm.Network.new(counts, 1)
+    assert len(set(net.target(np.array([0, 1]))[1])) == 1
+    word = np.random.default_rng(0).integers(0, 2, 20000)
+    context = np.repeat(word[:, None], 4, 1) + 10
+    net.train(context, word, 0.1)
+    p = [net.log_prob(context[word == i][:1], np.array([j]))[0] for i in (0, 1) for j in (0, 1)]
+    assert p[0] > p[1] + 1 and p[3] > p[2] + 1
+
+
+def test_lm_trains_each_window_once_and_shares_the_unknown():
+    vocabulary = np.sort(lm.hashed(np.frombuffer(b"a b", np.uint8), np.array([0, 3]))[0])
+    word = lm.windows(np.frombuffer(b"a zz b yy", np.uint8), np.array([0, 9]), vocabulary)[1]
+    assert word[1] == word[3] == lm.UNKNOWN and sorted([word[0], word[2]]) == [0, 1]
+    context = np.full((1, 4), lm.BUCKETS)
+    one, many = (lm.Network.new(np.ones(lm.BUCKETS), 1, k).log_prob(context, np.array([lm.UNKNOWN]))[0] for k in (1, 50))
+    assert math.isclose(one - many, math.log(50), abs_tol=1e-4)
+    rounds = inspect.signature(lm.lm_scores).parameters["rounds"].default
+    for n in (0, 1, 2, 9):
+        assert sorted(np.concatenate([lm.targets(n, turn, rounds) for turn in range(rounds)])) == list(range(n))
+
+
 def test_lm_windows_stay_in_a_document():
     data, offsets = np.frombuffer(b"a b cd", np.uint8), np.array([0, 3, 3, 6])
     context, word, bounds = lm.windows(data, offsets)
