@@ -58,8 +58,8 @@ class Plan:
 class Block:
     """Tokens, anchors and their runs of windows of one block of documents."""
 
-    def __init__(self, plan: Plan, grp: int, blk: int, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray):
-        self.plan, self.grp, self.blk, self.ids, self.data, self.offsets = plan, grp, blk, ids, data, offsets
+    def __init__(self, plan: Plan, grp: int, blk: int, ids: np.ndarray, ties: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+        self.plan, self.grp, self.blk, self.ids, self.ties, self.data, self.offsets = plan, grp, blk, ids, ties, data, offsets
         if plan.words:
             self.starts, self.ends, self.bounds = T.word_bounds(data, offsets, T.NON_SPACE)
         else:
@@ -175,13 +175,13 @@ def _blocks(plan: Plan, docs: pa.Table) -> Iterator[Block]:
     if not docs.num_rows:
         return
     docs = docs.sort_by([("doc_id", "ascending"), ("tie", "ascending")])
-    ids = docs["doc_id"].fill_null(NO_ID).to_numpy()
+    ids, ties = docs["doc_id"].fill_null(NO_ID).to_numpy(), docs["tie"].to_numpy()
     grp = docs["grp"][0].as_py()
     text = docs["text"].cast(pa.large_binary()).combine_chunks()
     if isinstance(text, pa.ChunkedArray):
         text = text.chunk(0)
-    for blk, (i, data, offsets) in enumerate(T.blocks(ids, text, plan.block_bytes)):
-        yield Block(plan, grp, blk, i, data, offsets)
+    for blk, (i, data, offsets) in enumerate(T.blocks(np.arange(len(ids)), text, plan.block_bytes)):
+        yield Block(plan, grp, blk, ids[i], ties[i], data, offsets)
 
 
 #: 48 bits of an anchor travel besides those of its key range; they only choose candidates.
@@ -208,6 +208,8 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
         for b in _blocks(plan, docs):
             b.index()
             out += b.send(b.distinct, _short(b.distinct), n)
+            del b
+        T.release()
         return _messages(out)
 
     def answer_anchors(table: pa.Table) -> pa.Table:
@@ -229,6 +231,8 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
             out += b.send(heads["anchor"], heads, n)
             # what pass 1 said goes on to the same block of the next pass
             out += [(-1 - r, b.grp, b.blk, p) for r, p in heard.get(b.blk, ())]
+            del b
+        T.release()
         return _messages(out)
 
     def answer_contexts(table: pa.Table) -> pa.Table:
@@ -264,6 +268,8 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
             out += more
             if len(covered):
                 out.append((-1 - b.grp, b.grp, b.blk, covered.tobytes()))
+            del b
+        T.release()
         return _messages(out)
 
     def answer_rest(table: pa.Table) -> pa.Table:

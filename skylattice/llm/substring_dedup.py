@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from . import repeats
 
 COLUMNS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-TEXT = pa.schema([*COLUMNS, ("kept_text", pa.string())])
+TEXT = pa.schema([*COLUMNS, ("kept_text", pa.string()), ("th", pa.int64())])
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, keep_text: bool = False) -> DataFrame:
@@ -25,11 +25,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, keep_tex
     every entry, so the earliest occurrence is known and no other one is kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Null text has no words. Documents shorter than the window
-    lose nothing. Repeated rows (the same doc_id) never remove each other; rows without a doc_id
-    come after all others. One row per input row; other columns are ignored.
+    lose nothing; very long texts are read whole, each by one task. Repeated rows (the same
+    doc_id) never remove each other; rows without a doc_id come after all others. One row per
+    input row, none for an empty table; other columns are ignored.
 
-    Returns doc_id, n_words, n_removed, kept_sha256, and kept_text (words joined by one space)
-    with ``keep_text``.
+    Returns doc_id, n_words, n_removed, kept_sha256, and with ``keep_text`` kept_text (words joined by
+    one space) and th (xxhash64 of the text), which with doc_id tells rows apart.
     """
     schema = TEXT if keep_text else COLUMNS
 
@@ -51,8 +52,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, keep_tex
             rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             if keep_text:
                 rows["kept_text"].append(kept.decode())
+                rows["th"].append(int(block.ties[i]))
         return pa.table(rows, schema=schema)
 
-    plan = repeats.Plan(window=window, k=min(anchor, window), words=True, within=False, block_bytes=2 << 20)
-    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    plan = repeats.Plan(window=window, k=min(anchor, window), words=True, within=False, block_bytes=1 << 20)
+    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, th long" * keep_text
     return repeats.find(docs.select("doc_id", "text"), plan, finish, kinds)

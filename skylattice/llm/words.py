@@ -45,3 +45,8 @@ def by_text(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
     """Join on (doc_id, th), where a null doc_id equals itself; the other side's keys go."""
     other = other.withColumnsRenamed({"doc_id": "_doc", "th": "_th"})
     return df.join(other, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("th").eqNullSafe(F.col("_th")), how).drop("_doc", "_th")
+
+
+def text_key(doc_id: str = "doc_id", th: Column | str = "th") -> list[Column]:
+    """Join key of a text: columns that are never null, so that a null doc_id equals itself."""
+    return [F.isnull(doc_id).alias("_none"), F.coalesce(F.col(doc_id), F.lit(0)).alias("_doc"), F.col("th").alias("_th") if isinstance(th, str) else th.alias("_th")]
