@@ -78,23 +78,23 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thre
 
 
 def sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
-    """doc_id, n (shingles), two sums that identify the set, registers."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("regs", pa.binary())])
+    """doc_id, th, n (shingles), two sums that identify the set, registers."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("regs", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.arange(batch.num_rows)
-            cols: dict[str, list] = {c: [] for c in ("n", "s1", "s2", "regs")}
-            for ids, data, offsets in T.blocks(rows, batch["text"], 1 << 20):
-                for _, h in shingle_sets(ids, data, offsets, size):
+            for rows, data, offsets in T.blocks(np.arange(batch.num_rows), batch["text"], 1 << 20):
+                cols: dict[str, list] = {c: [] for c in ("n", "s1", "s2", "regs")}
+                for _, h in shingle_sets(rows, data, offsets, size):
                     cols["n"].append(len(h))
                     s1, s2 = T.mix(h).sum(dtype=T.U64), T.mix(h ^ T.U64(T.BASE_A)).sum(dtype=T.U64)
                     cols["s1"].append(int(s1.astype(np.int64)))
                     cols["s2"].append(int(s2.astype(np.int64)))
                     cols["regs"].append(registers(h, m).tobytes() if len(h) else b"")
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(cols[c], schema.field(c).type) for c in cols)], schema=schema)
+                own = batch.slice(int(rows[0]), len(rows))
+                yield pa.RecordBatch.from_arrays([own["doc_id"], own["th"], *(pa.array(cols[c], schema.field(c).type) for c in cols)], schema=schema)
 
-    return docs.mapInArrow(task, "doc_id long, n long, s1 long, s2 long, regs binary")
+    return docs.mapInArrow(T.lean(task), "doc_id long, th long, n long, s1 long, s2 long, regs binary")
 
 
 def shingle_arrays(docs: DataFrame, size: int) -> DataFrame:
@@ -104,9 +104,9 @@ def shingle_arrays(docs: DataFrame, size: int) -> DataFrame:
                 sets = [h for _, h in shingle_sets(rows, data, offsets, size)]
                 cut = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
                 values = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(cut), pa.array(values))], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch["rep"].take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(cut), pa.array(values))], names=["id", "shingles"])
 
-    return docs.mapInArrow(task, "id long, shingles array<long>")
+    return docs.mapInArrow(T.lean(task), "id long, shingles array<long>")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -121,11 +121,13 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
                 keep = plausible(a, b, batch["na"].to_numpy(), batch["nb"].to_numpy(), threshold)
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(task, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(T.lean(task), "a long, b long")
 
 
-#: Documents of one block of the comparison across components.
-BLOCK = 512
+#: Documents of one block of the comparison across components, and of a bundle of small clusters.
+BLOCK, BUNDLE = 512, 256
+#: Clusters of more than one block up to this number are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def linked(x: list[np.ndarray], y: list[np.ndarray], xid: np.ndarray, yid: np.ndarray, percent: int) -> np.ndarray:
@@ -154,19 +156,21 @@ def across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of one bucket that lie in different components so far.
 
     Buckets with the same largest component form a cluster. The members outside that component
-    are compared with all members, exactly, in blocks of bounded size: a block pair is a unit of
-    work of its own and returns one link for each two components it joins, never its pairs.
+    are compared with all members, exactly, in blocks of BLOCK documents: a block pair is a group of
+    its own and returns one link for each two components it joins, never its pairs. Clusters of
+    one block are bundled, about BUNDLE documents a group.
     """
     sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("m.c").alias("main"))
     mixed = cut(named.join(main, "bucket").select("main", "rep", "c").distinct())
-    count = mixed.groupBy("main").agg(F.ceil(F.sum(F.expr("int(c <> main)")) / BLOCK).cast("int").alias("nx"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ny"))
-    full = mixed.join(count, "main").join(sets, mixed["rep"] == sets["id"])
+    count = mixed.groupBy("main").agg(F.ceil(F.sum(F.expr("int(c <> main)")) / BLOCK).cast("int").alias("nx"), F.ceil(F.count("*") / BLOCK).cast("int").alias("ny")).where("ny > 1")
+    count, bundles = cut(count), max(1, mixed.count() // BUNDLE)
+    full = mixed.join(F.broadcast(count) if count.count() <= BROADCAST_ROWS else count, "main", "left").join(sets.withColumnRenamed("id", "rep"), "rep")
+    full = full.withColumn("small", F.col("nx").isNull()).withColumns({n: F.coalesce(n, F.lit(1)) for n in ("nx", "ny")})
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = full.where("c <> main").select("main", own("nx").alias("bx"), every("ny").alias("by"), F.lit(0).alias("side"), "rep", "c", "shingles")
-    y = full.where("nx > 0").select("main", every("nx").alias("bx"), own("ny").alias("by"), F.lit(1).alias("side"), "rep", "c", "shingles")
-    slots = 8 * int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = full.where("c <> main").select("main", "small", own("nx").alias("bx"), every("ny").alias("by"), F.lit(0).alias("side"), "rep", "c", "shingles")
+    y = full.select("main", "small", every("nx").alias("bx"), own("ny").alias("by"), F.lit(1).alias("side"), "rep", "c", "shingles")
 
     def task(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("main", "bx", "by", "side", "rep")]).combine_chunks()
@@ -186,40 +190,52 @@ def across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out.append(np.stack([rep[at + i[first]], rep[mid + j[first]]], 1))
             at = to
         a, b = np.concatenate(out).T
+        T.release()
         return pa.table({"a": a, "b": b})
 
-    return x.unionByName(y).groupBy(F.pmod(F.xxhash64("main", "bx", "by"), F.lit(slots)).alias("slot")).applyInArrow(task, "a long, b long")
+    group = F.when(F.col("small"), F.pmod(F.xxhash64("main"), F.lit(bundles))).otherwise(F.xxhash64("main", "bx", "by"))
+    return x.unionByName(y).withColumn("grp", group).drop("small").groupBy("grp").applyInArrow(task, "a long, b long")
 
 
-def minhash_dedup(docs: DataFrame, threshold_percent: int = 75, shingle: int = SHINGLE, bands: int = 40) -> DataFrame:
+def minhash_dedup(docs: DataFrame, threshold_percent: int = 75, shingle: int = SHINGLE, bands: int = 40, leaders: bool = False) -> DataFrame:
     """Components of documents linked by shingle-set similarity >= threshold.
 
     Text is lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; the set holds the distinct
     ``shingle``-word shingles, or the whole sequence of a shorter text. Null and empty texts have an
     empty set and link with nothing.
 
-    Equal sets are one class. Each class sends its registers in ``bands`` bands of four; classes
-    that share a band value are compared with the least class of that bucket, confirmed pairs
-    are joined to components, and then members of one bucket that lie in different components
-    are compared in blocks (``across``), so a large bucket of near copies costs a star, and no
-    pairs are made of it.
+    Equal sets are one class, numbered in the order of the classes' least documents, so the least
+    number of a component is the class of its least document. Each class sends its registers in
+    ``bands`` bands of four; classes that share a band value are compared with the least class of
+    that bucket, confirmed pairs are joined to components, and then members of one bucket that
+    lie in different components are compared in blocks (``across``), so a large bucket of near
+    copies costs a star, and no pairs are made of it.
     A pair at the threshold misses all bands with probability (1 - 0.75**4)**40 < 3e-7. Pairs
     go on unless the joint likelihood of both register vectors rules the threshold out by
     e**-14; links are confirmed on full sets.
 
-    Returns doc_id, n_shingles, component_id, kept, one row per input row. Rows of one doc_id
-    share nothing but what their texts say; a null doc_id is a document after all others.
+    Returns doc_id, n_shingles, component_id, kept, one row per input row. Rows of one doc_id are
+    linked each by its own text. Rows without a doc_id link like all others and come after them;
+    a component of nothing else has a null component_id, and its rows count as kept. An empty
+    table gives no rows; very long texts are read whole; other columns are ignored.
+
+    ``leaders`` adds th (xxhash64 of the text) and leader: of each component exactly one text of one
+    doc_id, and every text without words.
     """
-    docs, threshold = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text"), threshold_percent / 100
+    docs, threshold = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), threshold_percent / 100
     sketch = cut(sketches(docs, shingle, BAND * bands))
-    classes = sketch.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"))
-    reps = cut(classes)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    classes = sketch.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(first).alias("first"), F.first("regs").alias("regs"))
+    reps = cut(classes.orderBy("first").select(F.monotonically_increasing_id().alias("rep"), "n", "s1", "s2", F.col("first.doc_id").alias("doc"), F.col("first.th").alias("dth"), "regs"))
     member = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("j"), "regs").select(F.xxhash64("j", F.expr(f"substring(regs, {2 * BAND} * j + 1, {2 * BAND})")).alias("bucket"), "rep")
     shared = member.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least")
     member = cut(member.join(shared, "bucket"))
     star = member.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    active = member.select("rep").distinct()
-    sets = cut(shingle_arrays(docs.join(active, docs["doc_id"] == active["rep"], "left_semi").dropDuplicates(["doc_id"]), shingle))
+    active = member.select("rep").distinct().join(reps, "rep")
+    # a null doc_id equals itself; rows of one doc_id and one text are one
+    key = lambda c: (F.coalesce(c, F.lit(0)).alias("d"), F.isnull(c).alias("none"))
+    found = docs.select(*key("doc_id"), "th", "text").join(active.select("rep", *key("doc"), F.col("dth").alias("th")), ["d", "none", "th"]).dropDuplicates(["d", "none", "th"])
+    sets = cut(shingle_arrays(found.select("rep", "text"), shingle))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
@@ -231,9 +247,13 @@ def minhash_dedup(docs: DataFrame, threshold_percent: int = 75, shingle: int = S
     label = components(links)
     named = cut(member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")))
     links = links.unionByName(across(named, sets, threshold_percent))
-    label = components(links)
-    by_class = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    # the side of a component of very many classes is one that Spark splits
+    label = components(links).join(reps.select(F.col("rep").alias("component"), F.col("doc").alias("root")), "component").withColumnRenamed("id", "rep")
+    root = F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("root"))
+    by_class = reps.join(label, "rep", "left").select("n", "s1", "s2", "doc", "dth", root.alias("root"), F.coalesce(F.col("component") == F.col("rep"), F.lit(True)).alias("top"))
     # a class of very many copies is joined to one row; Spark splits its side where it is large
-    out = sketch.join(by_class, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    null = F.lit((1 << 63) - 1)
-    return out.select(*(F.nullif(F.col(c), null).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = sketch.select("doc_id", "th", "n", "s1", "s2").join(by_class, ["n", "s1", "s2"], "left")
+    component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
+    leader = (F.col("n") == 0) | F.coalesce(F.col("top") & F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("dth")), F.lit(False))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "th", leader.alias("leader"))
+    return out if leaders else out.drop("th", "leader")
