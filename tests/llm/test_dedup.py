@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from skylattice.llm import textops as T
-from skylattice.llm.embedding_dedup import embedding_dedup
+from skylattice.llm.embedding_dedup import Forest, embedding_dedup
 from skylattice.llm.minhash_dedup import log_likelihood, minhash_dedup, plausible, registers
 from skylattice.llm.substring_dedup import substring_dedup
 from skylattice.llm.suffix_dedup import suffix_dedup
@@ -184,3 +184,54 @@ def test_embedding_dedup(spark):
     got = {x[0]: tuple(x)[1:] for x in embedding_dedup(df, leaf=32).collect()}
     assert got == brute_vectors(rows)
     assert embedding_dedup(df.limit(0)).collect() == []
+
+
+def test_minhash_dedup_repeated_and_null_ids(spark):
+    """Rows of one id are judged each by its text; rows without an id link like all others."""
+    r = random.Random(21)
+    a, b, c = ([f"{x}{r.randrange(900)}" for _ in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:30], "other", *w[31:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (8, near(b)), (3, near(a)), (None, " ".join(c)), (None, near(c)), (None, "alone it stands"), (9, " ".join(c)), (9, " ".join(c)), (None, None), (7, " ".join(a).upper())]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    least = {x: min((i for (i, _), y in zip(rows, root) if y == x and i is not None), default=None) for x in root}
+    want = sorted(repr((i, len(s), least[x], i == least[x])) for (i, _), s, x in zip(rows, sets, root))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash_dedup(df, leaders=True).collect()
+    assert sorted(repr((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"])) for x in got) == want
+    kept = {(x["doc_id"], x["th"]) for x in got if x["leader"]}
+    assert len(kept) == len(set(root))  # one text of each component
+
+
+def test_embedding_dedup_repeated_and_null_ids(spark):
+    e = lambda *on: [1.0 if i in on else 0.0 for i in range(8)]
+    near = lambda i: [1.0 if j == i else 0.1 for j in range(8)]
+    rows = [(5, e(0)), (5, e(1)), (6, near(0)), (7, near(1)), (None, e(2)), (None, near(2)), (None, e(3)), (4, near(3)), (9, e(5)), (9, e(5)), (None, e(6))]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    linked = m @ m.T >= 0.93
+    least = [min((rows[j][0] for j in np.flatnonzero(x) if rows[j][0] is not None), default=None) for x in linked]
+    want = sorted(repr((i, int(x.sum()) - 1, c, i == c)) for (i, _), x, c in zip(rows, linked, least))
+    assert sorted(repr((x["vec_id"], x["n_links"], x["component_id"], x["kept"])) for x in embedding_dedup(df).collect()) == want
+
+
+@pytest.mark.parametrize("depth", [5, 10])
+def test_forest_finds_links_at_depth(depth):
+    """Share of linked pairs at the threshold that meet in a leaf, against brute force."""
+    r = np.random.default_rng(depth)
+    n = 64 << depth if depth < 6 else 20_000
+    v = r.standard_normal((n, 32))
+    twins = v[:500] + r.standard_normal((500, 32)) * 0.3
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(v[:500]), unit(twins)
+    pairs = np.flatnonzero((a * b).sum(1) >= 0.93)
+    forest = Forest(unit(v), 5, depth, 0.8 * np.sqrt(2 * 0.07 / 32), 7)
+    of = lambda x: [set(leaf[lo:hi]) for row, leaf in [forest.leaves(x)] for lo, hi in zip(*(np.searchsorted(row, np.arange(len(x)), s) for s in ("left", "right")))]
+    met = [bool(x & y) for x, y in zip(of(a[pairs]), of(b[pairs]))]
+    assert len(pairs) > 50 and np.mean(met) >= 0.999
