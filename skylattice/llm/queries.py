@@ -6,17 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .components import cut
 from .decontamination import decontaminate
 from .embedding_dedup import embedding_dedup
 from .language_id import language_id
 from .lexical_packing import lexical_packing
-from .license_scan import BLOCK, STRIDE, TEMPLATES, license_scan
+from .license_scan import SIZES, TEMPLATES, license_scan, size_of, template_words
 from .lm_scoring import lm_scores
 from .minhash_dedup import minhash_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
-from .warc_fixity import audit, damaged, warc_records
+from .warc_fixity import audit, catalogue, damaged, warc_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,7 +153,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(TEMPLATES))
+TEMPLATE_ROWS = ", ".join(f"({i}, {size_of(len(template_words(text)))}, '{label}', string_split('{' '.join(template_words(text))}', ' '))" for i, (label, text) in enumerate(TEMPLATES))
+SIZE_ROWS = ", ".join(f"({i}, {width}, {step})" for i, (width, step) in enumerate(SIZES))
 OP5_SQL = f"""
 WITH w AS (
   SELECT doc_id, {WORDS_SQL} AS ws FROM documents
@@ -168,13 +168,14 @@ WITH w AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM place GROUP BY doc_id
-), template(t, label, tokens) AS (
-  SELECT t, label, list_distinct(tokens) FROM (VALUES {TEMPLATE_ROWS}) AS v(t, label, tokens)
+), template(k, label, tokens) AS (
+  SELECT k, label, list_distinct(tokens) FROM (VALUES {TEMPLATE_ROWS}) AS v(t, k, label, tokens)
 ), block AS (
-  SELECT doc_id, ws[b + 1:b + {BLOCK}] AS held FROM (SELECT doc_id, ws, unnest(range(0, len(ws), {STRIDE})) AS b FROM w)
+  SELECT doc_id, k, ws[b + 1:b + width] AS held
+  FROM (SELECT doc_id, ws, k, width, unnest(range(0, len(ws), step)) AS b FROM w, (VALUES {SIZE_ROWS}) AS s(k, width, step))
 ), match AS (
   SELECT doc_id, label, len(list_intersect(tokens, held)) / len(tokens) AS share
-  FROM block, template WHERE len(list_intersect(tokens, held)) >= ceil(0.9 * len(tokens) - 1e-9)
+  FROM block JOIN template USING (k) WHERE len(list_intersect(tokens, held)) >= ceil(0.9 * len(tokens) - 1e-9)
 ), best AS (
   SELECT doc_id, max(share) AS best FROM match GROUP BY doc_id
 ), named AS (
@@ -190,8 +191,7 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN nam
 
 
 def op6_warc_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = cut(warc_records(table(spark, sf_dir, "pages")))
-    return audit(records, damaged(records))
+    return audit(catalogue(damaged(warc_records(table(spark, sf_dir, "pages")))))
 
 
 OP6_LEVELS = "".join(
@@ -210,17 +210,18 @@ WITH page AS (
     || 'Content-Type: text/html' || {CRLF} || 'Content-Length: ' || strlen(coalesce(html, ''))
     || {CRLF} || {CRLF} || coalesce(html, '') || {CRLF} || {CRLF} AS record
   FROM pages
-), sized AS (
-  SELECT page_id, warc, strlen(record) AS length, sha256(record) AS digest FROM page
 ), rec AS (
-  SELECT warc, length, digest, CAST(coalesce(sum(length) OVER (
+  SELECT warc, record, strlen(record) AS length, digest, substr(digest, 1, 2) AS mark, CAST(coalesce(sum(strlen(record)) OVER (
     PARTITION BY warc ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
-  FROM sized
+  FROM (SELECT *, sha256(record) AS digest FROM page)
 ), side AS (
   SELECT 'p' AS s, warc, pos, length, digest FROM rec
   UNION ALL
-  SELECT 'r', warc, pos, length, CASE WHEN mark < '04' THEN sha256(digest || '!') ELSE digest END
-  FROM (SELECT *, substr(md5(warc || ':' || pos), 1, 2) AS mark FROM rec) WHERE mark < '04' OR mark >= '08'
+  SELECT 'r', warc, pos, strlen(copy), sha256(copy) FROM (
+    SELECT warc, pos, CASE WHEN mark < '02' THEN 'WARC/1.0' || substr(record, 9) WHEN mark < '04' THEN substr(record, 1, 8) ELSE record END AS copy
+    FROM rec WHERE mark < '04' OR mark >= '06')
+  UNION ALL
+  SELECT 'r', warc, pos + 1, 5, sha256('stray') FROM rec WHERE mark >= '06' AND mark < '08'
 ), l0 AS (
   SELECT s, warc, pos // 262144 AS node,
          sha256(string_agg(pos || ':' || length || ':' || digest, chr(10) ORDER BY pos, length, digest)) AS hash
@@ -228,12 +229,12 @@ WITH page AS (
 ){OP6_LEVELS}, root AS (
   SELECT s, warc, sha256(string_agg(node || ':' || hash, chr(10) ORDER BY node)) AS hash FROM l4 GROUP BY s, warc
 )
-SELECT p.warc, p.pos AS "offset", CAST(p.length AS BIGINT) AS length,
-       CASE WHEN r.warc IS NULL THEN 'missing' ELSE 'corrupt' END AS status,
+SELECT coalesce(p.warc, r.warc) AS warc, coalesce(p.pos, r.pos) AS "offset", CAST(coalesce(p.length, r.length) AS BIGINT) AS length,
+       CASE WHEN r.warc IS NULL THEN 'missing' WHEN p.warc IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
        p.digest AS primary_digest, r.digest AS replica_digest, a.hash AS primary_root, b.hash AS replica_root
 FROM (SELECT * FROM side WHERE s = 'p') AS p
-LEFT JOIN (SELECT * FROM side WHERE s = 'r') AS r ON p.warc = r.warc AND p.pos = r.pos
-JOIN root AS a ON a.warc = p.warc AND a.s = 'p' LEFT JOIN root AS b ON b.warc = p.warc AND b.s = 'r'
+FULL JOIN (SELECT * FROM side WHERE s = 'r') AS r ON p.warc = r.warc AND p.pos = r.pos
+LEFT JOIN root AS a ON a.warc = coalesce(p.warc, r.warc) AND a.s = 'p' LEFT JOIN root AS b ON b.warc = coalesce(p.warc, r.warc) AND b.s = 'r'
 WHERE r.digest IS DISTINCT FROM p.digest
 """
 
