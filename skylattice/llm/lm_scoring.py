@@ -27,17 +27,15 @@ class Network:
     The context's word vectors, one place each, pass a tanh layer, a softmax over classes and one
     over the words of the class. A word's class is the slice of the corpus frequency order it lies
     in, so classes have about equal mass and BUCKETS / CLASSES words are scored for a window on
-    average. ``rank`` is a word's place in that order, ``cut`` where each class starts, and
-    ``unknown`` the number of different words that share the bucket UNKNOWN, each an equal part.
+    average. ``rank`` is a word's place in that order and ``cut`` where each class starts.
     """
 
     params: dict[str, np.ndarray]
     rank: np.ndarray
     cut: np.ndarray
-    unknown: int = 0
 
     @classmethod
-    def new(cls, counts: np.ndarray, seed: int, unknown: int = 0) -> Network:
+    def new(cls, counts: np.ndarray, seed: int) -> Network:
         rng, counts = np.random.default_rng(seed), counts + 0.5
         order = np.argsort(-counts, kind="stable")
         sorted_counts = counts[order]
@@ -51,10 +49,10 @@ class Network:
         params = {k: (rng.standard_normal(s) * scale.get(k, 0)).astype(np.float32) for k, s in shape.items()}
         params["out_bias"] = np.log(np.maximum(start, 0.5) / start.sum()).astype(np.float32)
         params["within_bias"] = np.log(sorted_counts / start[word_class]).astype(np.float32)
-        return cls(params, rank, np.searchsorted(word_class, np.arange(CLASSES + 1)), unknown)
+        return cls(params, rank, np.searchsorted(word_class, np.arange(CLASSES + 1)))
 
     def copy(self) -> Network:
-        return Network({k: v.copy() for k, v in self.params.items()}, self.rank, self.cut, self.unknown)
+        return Network({k: v.copy() for k, v in self.params.items()}, self.rank, self.cut)
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = self.params
@@ -86,12 +84,16 @@ class Network:
                 for j in range(0, len(rows), 1024):
                     r = rows[j : j + 1024]
                     part[r] += log_softmax(h[r] @ p["within"][own].T + p["within_bias"][own])[np.arange(len(r)), place[j : j + 1024]]
-            out[i : i + (1 << 14)] = part - (w == UNKNOWN) * np.float32(np.log(max(self.unknown, 1)))
+            out[i : i + (1 << 14)] = part
         return out
 
-    def train(self, context: np.ndarray, word: np.ndarray, rate: float, batch: int = 256) -> None:
+    def fresh(self) -> dict[str, np.ndarray]:
+        """AdaGrad's sums of squares, for ``train`` to go on with from block to block."""
+        return {k: np.full_like(v, 1e-2) for k, v in self.params.items()}
+
+    def train(self, context: np.ndarray, word: np.ndarray, rate: float, batch: int = 256, past: dict[str, np.ndarray] | None = None) -> None:
         """One pass of minibatch AdaGrad."""
-        p, past = self.params, {k: np.full_like(v, 1e-2) for k, v in self.params.items()}
+        p, past = self.params, self.fresh() if past is None else past
         for i in range(0, len(word), batch):
             c, w = context[i : i + batch], word[i : i + batch]
             x, h, z = self.forward(c)
@@ -133,18 +135,13 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return T.word_hashes(data, starts, ends), bounds
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, words, first word of each document); BUCKETS stands beyond a document's ends.
-
-    A word is its place in the sorted hashes of ``vocabulary``, or UNKNOWN; without a vocabulary
-    it is a bucket of its hash."""
-    word, bounds = hashed(data, offsets)
-    if vocabulary is None:
-        word = (word % T.U64(BUCKETS)).astype(np.int64)
-    else:
-        at = np.searchsorted(vocabulary, word)
-        known = np.append(vocabulary, T.U64(0))[at] == word
-        word = np.where(known & (at < len(vocabulary)), at, UNKNOWN)
+def windows(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, words, first word of each document, hashes of the words); BUCKETS stands beyond a
+    document's ends. A word is its place in the sorted hashes of ``vocabulary``, or UNKNOWN."""
+    hashes, bounds = hashed(data, offsets)
+    at = np.searchsorted(vocabulary, hashes)
+    known = np.append(vocabulary, T.U64(0))[at] == hashes
+    word = np.where(known & (at < len(vocabulary)), at, UNKNOWN)
     doc = np.searchsorted(bounds, np.arange(len(word)), "right")
     context = np.empty((len(word), 2 * SIDE), np.int64)
     for j, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
@@ -152,7 +149,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None
         inside = (at >= 0) & (at < len(word))
         at = np.clip(at, 0, max(len(word) - 1, 0))
         context[:, j] = np.where(inside & (doc[at] == doc), word[at], BUCKETS) if len(word) else BUCKETS
-    return context, word, bounds
+    return context, word, bounds, hashes
 
 
 def texts(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,24 +163,20 @@ def targets(n: int, turn: int, rounds: int) -> np.ndarray:
     return np.arange(turn, n, rounds)
 
 
-def lm_scores(docs: DataFrame, rounds: int = 2, rate: float = 0.1, seed: int = 11) -> DataFrame:
-    """Sum over a document's words of log P(word | SIDE words before and after it).
+@dataclass
+class Model:
+    """A trained network; ``vocabulary`` has the sorted hashes of the words told apart. ``words`` is a
+    table (word, n) of all words of the corpus and ``rare`` how often words outside the vocabulary
+    stand in it: P(word | unknown) is the word's own share n / rare."""
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. The BUCKETS - 1 most frequent of all
-    documents are told apart, and all others share one unknown word, whose probability is split
-    evenly among them. Counts and classes come from all words of all documents. Training is local
-    descent with averaging: in each round every task starts from the same network and makes one
-    pass over every ``rounds``-th window of all its texts, each round at another offset, so each
-    window is a target in exactly one round; the tasks' networks are averaged by the number of
-    their windows, in blocks of parameters, by a Spark aggregation. The network's size is fixed,
-    whatever the corpus.
+    network: Network
+    vocabulary: np.ndarray
+    words: DataFrame
+    rare: int
 
-    Null and empty texts have no words, log_prob 0 and a null score. One row per input row; ties
-    and repeated rows get equal scores; other columns are ignored. An empty table gives no rows.
 
-    Returns doc_id, n_words, log_prob (the sum), score (the mean), perplexity.
-    """
-    docs = docs.select("doc_id", "text")
+def learn(docs: DataFrame, rounds: int, rate: float, seed: int, known: int = UNKNOWN) -> Model:
+    """The ``known`` most frequent words, BUCKETS - 1 at most, are told apart."""
     context = docs.sparkSession.sparkContext
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,24 +184,23 @@ def lm_scores(docs: DataFrame, rounds: int = 2, rate: float = 0.1, seed: int = 1
             ids, n = np.unique(hashed(data, offsets)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    every = cut(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = sorted((np.uint64(r["word"] % (1 << 64)), r["n"]) for r in every.orderBy(F.desc("n"), "word").limit(UNKNOWN).collect())
+    every = cut(docs.select("text").mapInArrow(T.lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    top = sorted((np.uint64(r["word"] % (1 << 64)), r["n"]) for r in every.orderBy(F.desc("n"), "word").limit(min(known, UNKNOWN)).collect())
     vocabulary, counts = np.array([w for w, _ in top], T.U64), np.zeros(BUCKETS)
     counts[: len(top)] = [n for _, n in top]
-    total = every.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
-    counts[UNKNOWN] = (total["n"] or 0) - counts.sum()
-    network = Network.new(counts, seed, total["k"] - len(top))
+    counts[UNKNOWN] = (every.agg(F.sum("n")).first()[0] or 0) - counts.sum()
+    network, rare = Network.new(counts, seed), int(counts[UNKNOWN])
 
     for turn in range(rounds):
         shared = context.broadcast(network)
 
         def local(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             own = shared.value.copy()
-            seen = 0
+            seen, past = 0, own.fresh()
             for _, _, data, offsets in texts(batches):
-                c, w, _ = windows(data, offsets, vocabulary)
+                c, w, *_ = windows(data, offsets, vocabulary)
                 pick = targets(len(w), turn, rounds)
-                own.train(c[pick], w[pick], rate / (turn + 1), 1024)
+                own.train(c[pick], w[pick], rate / (turn + 1), 1024, past)
                 seen += len(pick)
             if seen:
                 flat = np.concatenate([own.params[k].ravel() for k in NAMES]).astype(np.float64) * seen
@@ -219,7 +211,7 @@ def lm_scores(docs: DataFrame, rounds: int = 2, rate: float = 0.1, seed: int = 1
             total = sum(np.frombuffer(x, "<f8") for x in table["sum"].to_pylist())
             return pa.table({"part": table["part"][:1], "sum": [total.tobytes()], "seen": [sum(table["seen"].to_pylist())]})
 
-        sums = docs.select("text").mapInArrow(local, "part long, sum binary, seen long")
+        sums = docs.select("text").mapInArrow(T.lean(local), "part long, sum binary, seen long")
         # in two steps, so that no task adds up the networks of all tasks
         step = sums.groupBy("part", F.pmod(F.xxhash64("sum"), F.lit(32)).alias("g")).applyInArrow(add, "part long, sum binary, seen long")
         done = sorted(step.groupBy("part").applyInArrow(add, "part long, sum binary, seen long").collect())
@@ -229,15 +221,53 @@ def lm_scores(docs: DataFrame, rounds: int = 2, rate: float = 0.1, seed: int = 1
             for k in NAMES:
                 size = network.params[k].size
                 network.params[k], at = flat[at : at + size].reshape(network.params[k].shape), at + size
+    return Model(network, vocabulary, every, rare)
+
 
-    shared = context.broadcast(network)
+def apply(docs: DataFrame, model: Model) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((model.network, model.vocabulary))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, vocabulary = shared.value
         for batch, rows, data, offsets in texts(batches):
-            c, w, bounds = windows(data, offsets, vocabulary)
-            total = np.concatenate([[0.0], np.cumsum(shared.value.log_prob(c, w), dtype=np.float64)])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows)), pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]])], names=["doc_id", "n_words", "log_prob"])
+            c, w, bounds, hashes = windows(data, offsets, vocabulary)
+            total = np.concatenate([[0.0], np.cumsum(network.log_prob(c, w), dtype=np.float64)])
+            at = np.flatnonzero(w == UNKNOWN)
+            pair = np.empty(len(at), [("doc", "<i8"), ("word", "<i8")])
+            pair["doc"], pair["word"] = np.searchsorted(bounds, at, "right") - 1, hashes[at].view(np.int64)
+            pair, times = np.unique(pair, return_counts=True)
+            ends = pa.array(np.searchsorted(pair["doc"], np.arange(len(rows) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (np.ascontiguousarray(pair["word"]), times.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows)), pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]]), *lists], names=["doc_id", "n_words", "known", "words", "times"])
+
+    scored = docs.mapInArrow(T.lean(score), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, known double, words array<long>, times array<long>")
+    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
+    each = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("e")).select("row", F.col("e.words").alias("word"), F.col("e.times").alias("times"))
+    # no word is very frequent here; those are in the vocabulary
+    share = each.join(model.words, "word").groupBy("row").agg(F.sum(F.col("times") * F.log(F.col("n") / F.lit(max(model.rare, 1)))).alias("share"))
+    total = F.col("known") + F.coalesce("share", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, total / F.col("n_words"))
+    return scored.join(share, "row", "left").select("doc_id", "n_words", total.alias("log_prob"), mean.alias("score"), F.exp(-mean).alias("perplexity"))
 
-    out = docs.mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, log_prob double")
-    mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
-    return out.select("doc_id", "n_words", "log_prob", mean.alias("score"), F.exp(-mean).alias("perplexity"))
+
+def lm_scores(docs: DataFrame, rounds: int = 2, rate: float = 0.1, seed: int = 11) -> DataFrame:
+    """Sum over a document's words of log P(word | SIDE words before and after it).
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. The BUCKETS - 1 most frequent of all
+    documents are told apart by context, and all others share one unknown word; P(word | unknown)
+    is the word's share among them in the whole corpus, so a word's own count always matters.
+    Counts and classes come from all words of all documents. Training is local descent with
+    averaging: in each round every task starts from the same network and makes one pass over
+    every ``rounds``-th window of all its texts, each round at another offset, so each window is a
+    target in exactly one round; the tasks' networks are averaged by the number of their windows,
+    in blocks of parameters, by a Spark aggregation. So the network depends, a little, on how
+    the input is split. Its size is fixed, whatever the corpus.
+
+    Null and empty texts have no words, log_prob 0 and a null score; very long ones are read whole.
+    One row per input row, null doc_ids too; ties and repeated rows get equal scores; other
+    columns are ignored. An empty table gives no rows.
+
+    Returns doc_id, n_words, log_prob (the sum), score (the mean), perplexity.
+    """
+    docs = docs.select("doc_id", "text")
+    return apply(docs, learn(docs, rounds, rate, seed))

@@ -1,6 +1,8 @@
+import hashlib
 import inspect
 import itertools
 import math
+import pickle
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ from skylattice.llm import language_id as li, lexical_packing as packing, lm_sco
 from skylattice.llm.decontamination import decontaminate
 from skylattice.llm.language_id import language_id
 from skylattice.llm.lexical_packing import Encoder, lexical_packing
-from skylattice.llm.license_scan import license_scan
+from skylattice.llm.license_scan import TEMPLATES, license_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +29,7 @@ def test_forward_sums_all_segmentations():
             return 1.0
         return sum(p[i, lang] * brute(text[len(x) :], lang) for i, x in enumerate(pieces) if text.startswith(x))
 
-    got = li.word_scores(finder, np.concatenate([p, np.zeros((1, 2))]), np.frombuffer(word, np.uint8), np.array([0]), np.array([5]))
+    got = li.word_scores(finder, np.log(p), np.frombuffer(word, np.uint8), np.array([0]), np.array([5]))
     assert np.allclose(got[0], [math.log(brute(b" " + word, k)) for k in (0, 1)])
 
 
@@ -37,11 +39,31 @@ def test_fit_raises_the_likelihood():
     data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
     starts, scores = ends - [len(w) for w in words], []
     for rounds in (0, 1, 2, 5):
-        p = np.append(li.fit(words, counts, li.Pieces(pieces), len(pieces), rounds), 0)[:, None]
+        p = np.log(li.fit(words, counts, li.Pieces(pieces), len(pieces), rounds))[:, None]
         scores.append(float(counts @ li.word_scores(li.Pieces(pieces), p, data, starts, ends)[:, 0]))
     assert scores == sorted(scores)
 
 
+def test_scores_of_long_and_rare_runs():
+    """Runs of any length and bytes, in words of mixed lengths, against a sum over prefixes."""
+    names = li.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert max(map(len, names)) > 12
+    pieces, r = li.Pieces(names), np.random.default_rng(3)
+    log_prob = np.log(r.dirichlet(np.full(len(names), 0.02), 2).T + 1e-12)
+    texts = ["日本語の文章です" * 3, "x" * 5000, "representatives" * 20, "é", "internationalisation", "q" * 64]
+    words = [t.encode() for t in texts]
+    ends = np.cumsum([len(w) for w in words])
+    got = li.word_scores(pieces, log_prob, np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    again = li.word_scores(pickle.loads(pickle.dumps(pieces)), log_prob, np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    assert np.array_equal(got, again)
+    number = {p: i for i, p in enumerate(names)}
+    for w, g in zip(words, got):
+        w, sums = b" " + w, [np.zeros(2)]
+        for e in range(1, len(w) + 1):
+            sums.append(np.logaddexp.reduce([sums[k] + log_prob[number[w[k:e]]] for k in range(max(0, e - pieces.longest), e) if w[k:e] in number]))
+        assert np.allclose(g, sums[-1]) and np.isfinite(g).all()
+
+
 def test_language_id_held_out_and_odd_rows(spark, odd, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id(docs).join(docs, "doc_id").where("held_out and length(text) > 20 and lang is not null")
@@ -143,6 +165,11 @@ def test_license_scan(spark, odd, no_docs):
     assert got[10]["labels"] == "" and got[10]["score"] == 0
     near = license_scan(df.where("doc_id = 10"), threshold=0.8).first()
     assert near["base_labels"] == "" and near["labels"] == "mit" and near["score"] == 0.8
+    mit = next(t for label, t in TEMPLATES if label == "mit" and len(t) > 200)
+    changed = [w for i, w in enumerate(mit.split()) if i % 40]  # a few words are gone
+    full = spark.createDataFrame([(0, f"{'x ' * 777}{mit}{' y' * 99}"), (1, " ".join(changed).upper()), (2, " ".join(mit.split()[:80]))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan(full, templates=tuple(t for t in TEMPLATES if len(t[1]) > 200)).collect()}
+    assert (got[0]["labels"], got[0]["score"]) == ("mit", 1.0) and got[1]["labels"] == "mit" and got[1]["score"] < 1 and got[2]["labels"] == ""
     assert license_scan(odd).count() == 18 and license_scan(no_docs).collect() == []
     assert license_scan(df.unionByName(df)).count() == 22
 
@@ -204,21 +231,48 @@ def test_lm_tells_words_of_one_class_apart_by_context():
     assert p[0] > p[1] + 1 and p[3] > p[2] + 1
 
 
-def test_lm_trains_each_window_once_and_shares_the_unknown():
+def test_lm_trains_each_window_once():
     vocabulary = np.sort(lm.hashed(np.frombuffer(b"a b", np.uint8), np.array([0, 3]))[0])
     word = lm.windows(np.frombuffer(b"a zz b yy", np.uint8), np.array([0, 9]), vocabulary)[1]
     assert word[1] == word[3] == lm.UNKNOWN and sorted([word[0], word[2]]) == [0, 1]
-    context = np.full((1, 4), lm.BUCKETS)
-    one, many = (lm.Network.new(np.ones(lm.BUCKETS), 1, k).log_prob(context, np.array([lm.UNKNOWN]))[0] for k in (1, 50))
-    assert math.isclose(one - many, math.log(50), abs_tol=1e-4)
     rounds = inspect.signature(lm.lm_scores).parameters["rounds"].default
     for n in (0, 1, 2, 9):
         assert sorted(np.concatenate([lm.targets(n, turn, rounds) for turn in range(rounds)])) == list(range(n))
 
 
+def test_lm_scores_equal_a_word_by_word_sum(spark):
+    """Vocabulary of 15 words, so that most are rare; the model is trained, its scores are summed anew."""
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in r.zipf(1.3, 40) % 90)) for i in range(30)] + [(None, "w1 w1 never seen"), (3, ""), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.learn(docs, 2, 0.1, 1, known=15)
+    n = {x["word"]: x["n"] for x in model.words.collect()}
+    assert len(model.vocabulary) == 15 and model.rare == sum(n.values()) - sum(n[int(np.int64(x.astype(np.int64)))] for x in model.vocabulary)
+    p, want = model.network.params, []
+    for doc_id, text in rows:
+        words = [lm.hashed(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] for w in (text or "").split()]
+        place = [int(np.searchsorted(model.vocabulary, w)) if w in model.vocabulary else lm.UNKNOWN for w in words]
+        total = 0.0
+        for i, (w, k) in enumerate(zip(words, place)):
+            c = [place[i + d] if 0 <= i + d < len(place) else lm.BUCKETS for d in (-2, -1, 1, 2)]
+            h = np.tanh(np.concatenate([p["words"][x] for x in c]) @ p["mix"] + p["bias"])
+            z = h @ p["out"] + p["out_bias"]
+            rank = model.network.rank[k]
+            own = next(j for j in range(lm.CLASSES) if model.network.cut[j] <= rank < model.network.cut[j + 1])
+            inside = slice(model.network.cut[own], model.network.cut[own + 1])
+            y = p["within"][inside] @ h + p["within_bias"][inside]
+            total += z[own] - np.log(np.exp(z).sum()) + y[rank - inside.start] - np.log(np.exp(y).sum())
+            total += math.log(n[int(w.astype(np.int64))] / model.rare) if k == lm.UNKNOWN else 0
+        want.append((doc_id, len(words), total))
+    got = [(x["doc_id"], x["n_words"], x["log_prob"]) for x in lm.apply(docs, model).collect()]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for g, w in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-4, abs_tol=1e-6)
+
+
 def test_lm_windows_stay_in_a_document():
     data, offsets = np.frombuffer(b"a b cd", np.uint8), np.array([0, 3, 3, 6])
-    context, word, bounds = lm.windows(data, offsets)
+    context, word, bounds, _ = lm.windows(data, offsets, np.sort(lm.hashed(data, offsets)[0]))
     a, b, c = word.tolist()
     end = lm.BUCKETS
     assert bounds.tolist() == [0, 2, 2, 3]
@@ -226,25 +280,37 @@ def test_lm_windows_stay_in_a_document():
     assert c not in (a, b)
 
 
+PAGES = "page_id long, url string, html string, digest int, side string"
+
+
 def test_merkle_audit_finds_all_damage(spark):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 700) * 100, 1) for i in range(600)] + [(None, None, None, 1)], "page_id long, url string, html string, digest int")
-    records = wf.cut(wf.warc_records(pages))
-    assert records.count() == 601
-    assert wf.audit(records, records).collect() == []
-    bad = wf.damaged(records)
-    want = {(r["warc"], r["offset"]): r["s"] for r in records.join(bad.withColumnRenamed("digest", "d"), ["warc", "offset"], "left").where("d is null or d <> digest").select("warc", "offset", F.when(F.col("d").isNull(), "missing").otherwise("corrupt").alias("s")).collect()}
-    got = {(r["warc"], r["offset"]): r["status"] for r in wf.audit(records, bad).collect()}
-    assert got == want and set(want.values()) == {"missing", "corrupt"}
-    assert {r["status"] for r in wf.audit(bad, records).collect()} == {"extra", "corrupt"}
-    other = records.where("warc = 'part-00000001.warc'")
-    assert wf.audit(records, other).where("status <> 'missing'").count() == 0
-    twice = records.unionByName(records.limit(1))
-    assert [r["status"] for r in wf.audit(records, twice).collect()] == ["corrupt"]
-    assert wf.audit(records.limit(0), records.limit(0)).collect() == []
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 700) * 100, 1, "q") for i in range(600)] + [(None, None, None, 1, "q"), (7, "again", None, 1, "q")], PAGES)
+    copies = wf.damaged(wf.warc_records(pages))
+    records = wf.cut(wf.catalogue(copies))
+    assert records.where("side = 'p'").count() == 602
+    want, at = {}, {}
+    for r in sorted(copies.collect(), key=lambda r: (r["warc"], r["page_id"] is None, r["page_id"] or 0, hashlib.sha256(r["record"].encode()).hexdigest())):
+        offset = at.get(r["warc"], 0)
+        at[r["warc"]] = offset + len(r["record"].encode())
+        if r["copy"] != r["record"]:
+            want[r["warc"], offset] = "missing" if r["copy"] is None else "corrupt"
+        if r["stray"]:
+            want[r["warc"], offset + 1] = "extra"
+    got = {(r["warc"], r["offset"]): r for r in wf.audit(records).collect()}
+    assert {k: r["status"] for k, r in got.items()} == want and set(want.values()) == {"missing", "corrupt", "extra"}
+    assert {r["length"] for r in got.values() if r["status"] == "extra"} == {5}
+    one = records.where("side = 'p'")
+    assert wf.audit(one.unionByName(one.withColumn("side", F.lit("r")))).collect() == []
+    other = one.where("warc = 'part-00000001.warc'").withColumn("side", F.lit("r"))
+    assert {r["status"] for r in wf.audit(one.unionByName(other)).collect()} == {"missing"}
+    twice = one.unionByName(one.withColumn("side", F.lit("r"))).unionByName(one.limit(1).withColumn("side", F.lit("r")))
+    assert [r["status"] for r in wf.audit(twice).collect()] == ["corrupt"]
+    assert wf.audit(records.limit(0)).collect() == []
+    assert wf.audit(wf.catalogue(wf.damaged(wf.warc_records(pages.limit(0))))).collect() == []
 
 
 @pytest.mark.parametrize("sizes", [[5], [300000, 300000, 5]])
 def test_merkle_levels_end_in_one_root_per_file(spark, sizes):
-    rows = [("f", sum(sizes[:i]), n, f"d{i}") for i, n in enumerate(sizes)]
-    levels = wf.merkle_levels(spark.createDataFrame(rows, "warc string, offset long, length long, digest string"))
+    rows = [("p", "f", sum(sizes[:i]), n, f"d{i}") for i, n in enumerate(sizes)]
+    levels = wf.merkle_levels(spark.createDataFrame(rows, "side string, warc string, offset long, length long, digest string"))
     assert levels[-1].count() == 1 and len(levels) == wf.LEVELS + 2
