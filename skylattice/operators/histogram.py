@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .quantiles import exact_quantiles
+
 
 def bin_of(value: Column, lo: float, hi: float, n: int) -> Column:
     """Number of the bin; the last one includes its right edge; null outside."""
@@ -33,9 +35,12 @@ def code_fractions(rows: DataFrame, by: list[str], code: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, by: list[str], column: str) -> DataFrame:
-    return rows.groupBy(*by).agg(*(F.percentile(column, F.lit(p)).alias(f"p{round(100 * p)}") for p in (0.5, 0.16, 0.84)))
+    return exact_quantiles(rows, {f"p{round(100 * p)}": (column, p) for p in (0.5, 0.16, 0.84)}, by)
 
 
 def durations(rows: DataFrame, by: list[str], column: str, expected: int) -> DataFrame:
     """Median and total seconds, and the hours that ``expected`` rows would take."""
-    return rows.groupBy(*by).agg(F.median(column).alias("median_s"), F.sum(column).alias("total_s"), (F.median(column) * expected / 3600).alias("hours"))
+    median = exact_quantiles(rows, {"median_s": (column, 0.5)}, by)
+    total = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.sum(column).alias("total_s"))
+    both = median.join(total, [median[c].eqNullSafe(total[f"_{c}"]) for c in by])
+    return both.select(*by, "median_s", "total_s", (F.col("median_s") * expected / 3600).alias("hours"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.geo import to_pixels
+from .quantiles import exact_quantiles
 
 EMPTY_RASTER = {"x_min": 0.0, "x_max": 0.0, "y_min": 0.0, "y_max": 0.0, "pixel_width": 1.0, "pixel_height": -1.0, "x_size": 0, "y_size": 0}
 
@@ -14,8 +15,8 @@ def extent(rows: DataFrame) -> DataFrame:
     pad = F.coalesce(F.max("padding"), F.lit(0.0))
     one = rows.agg(
         (F.min("x_min") - pad).alias("x_min"), (F.max("x_max") + pad).alias("x_max"), (F.min("y_min") - pad).alias("y_min"), (F.max("y_max") + pad).alias("y_max"),
-        F.median("pixel_width").alias("_w"), F.median("pixel_height").alias("_h"),
     )
+    one = one.crossJoin(exact_quantiles(rows, {"_w": ("pixel_width", 0.5), "_h": ("pixel_height", 0.5)}))  # one row each
     one = one.withColumns({"x_size": F.rint((F.col("x_max") - F.col("x_min")) / F.col("_w")).cast("long"), "y_size": F.rint((F.col("y_min") - F.col("y_max")) / F.col("_h")).cast("long")})
     return one.withColumns({"pixel_width": (F.col("x_max") - F.col("x_min")) / F.col("x_size"), "pixel_height": (F.col("y_min") - F.col("y_max")) / F.col("y_size")}).drop("_w", "_h")
 

@@ -59,5 +59,7 @@ def downsample(rows: DataFrame, n: int, seed: int, key: str = "image_id") -> Dat
 def stratified(rows: DataFrame, by: str, n: int, seed: int, key: str = "image_id") -> DataFrame:
     """Adds ``part``: ``n`` training rows of each group, by seeded hash."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(h, key))
-    return rows.withColumn("part", F.when(rank <= n, "train").otherwise("test"))
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy("_h", "_k"))
+    # the filter on the rank is applied before the shuffle too, so a large group sends n rows a task
+    pick = rows.select(F.col(by).alias("_g"), F.col(key).alias("_k"), h.alias("_h")).withColumn("_r", rank).where(F.col("_r") <= n).select("_k")
+    return rows.join(pick, F.col(key) == F.col("_k"), "left").withColumn("part", F.when(F.col("_k").isNotNull(), "train").otherwise("test")).drop("_k")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geo import error_radius, hypot
+from .quantiles import exact_quantiles
 
 MEDIANS = ("x_size", "y_size", "pixel_width", "pixel_height", "width", "height")
 
@@ -36,7 +37,7 @@ def camera_errors(rows: DataFrame) -> DataFrame:
 
 def medians(rows: DataFrame) -> DataFrame:
     wide = rows.withColumns({"width": F.col("x_max") - F.col("x_min"), "height": F.col("y_max") - F.col("y_min")})
-    return wide.agg(*(F.median(c).alias(c) for c in MEDIANS))
+    return exact_quantiles(wide, {c: (c, 0.5) for c in MEDIANS})
 
 
 def fit(rows: DataFrame) -> Registrar:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import geo, pixels as px, predicate, text as tx
 from .operators import correlate as co, histogram as hi, interpolate as ip, mosaic as mo, order as od, registrar as rg, scores as sc
+from .operators.quantiles import exact_quantiles
 from .sources import files as fs, logs as lg
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,7 +427,7 @@ def a4_counts(t):
 @query(f"WITH {RECT_SQL} SELECT round(median(sqrt((sensor_x - (x_min + x_max) / 2) ** 2 + (sensor_y - (y_min + y_max) / 2) ** 2)), 4) AS score FROM rect")
 def a5_median_score(t):
     rows = rg.centre_distance(centred(t).withColumns({"x_true": c("sensor_x"), "y_true": c("sensor_y")}))
-    return rounded(rows.agg(F.median("score").alias("score")), "score")
+    return rounded(exact_quantiles(rows, {"score": ("score", 0.5)}), "score")
 
 
 BANDS = "SELECT vec_id, i // 32 AS band, i % 32 AS i, px[i + 1] AS value FROM (SELECT vec_id, px, unnest(range(0, len(px))) AS i FROM grey)"
