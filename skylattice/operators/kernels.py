@@ -34,6 +34,26 @@ def warp(image: np.ndarray, m: np.ndarray, rows: int, columns: int) -> np.ndarra
     return sample(image, (p[0] / p[2]).reshape(x.shape), (p[1] / p[2]).reshape(x.shape))
 
 
+#: Radius of the web projection's sphere, metres.
+RADIUS = 6378137.0
+TO_MERCATOR = (lambda x: RADIUS * np.radians(x), lambda y: RADIUS * np.log(np.tan(np.pi / 4 + np.radians(y) / 2)))
+TO_DEGREES = (lambda x: np.degrees(x / RADIUS), lambda y: np.degrees(2 * np.arctan(np.exp(y / RADIUS)) - np.pi / 2))
+
+
+def reprojected(image: np.ndarray, bounds: list[float], source: str, target: str) -> tuple[np.ndarray, list[float]]:
+    """The image on an even grid of another system; EPSG:4326 and EPSG:3857, whose axes go apart."""
+    ways = {("EPSG:4326", "EPSG:3857"): (TO_MERCATOR, TO_DEGREES), ("EPSG:3857", "EPSG:4326"): (TO_DEGREES, TO_MERCATOR)}
+    if (source, target) not in ways:
+        raise ValueError(f"no transformation from {source} to {target}")
+    (fx, fy), (bx, by) = ways[source, target]
+    h, w = image.shape[:2]
+    x_min, x_max, y_min, y_max = float(fx(bounds[0])), float(fx(bounds[1])), float(fy(bounds[2])), float(fy(bounds[3]))
+    x = (bx(x_min + (np.arange(w) + 0.5) * (x_max - x_min) / w) - bounds[0]) / (bounds[1] - bounds[0]) * w - 0.5
+    y = (bounds[3] - by(y_max - (np.arange(h) + 0.5) * (y_max - y_min) / h)) / (bounds[3] - bounds[2]) * h - 0.5
+    grid = np.meshgrid(np.clip(x, 0, w - 1), np.clip(y, 0, h - 1))
+    return sample(image.astype(float), *grid).round().astype(image.dtype), [x_min, x_max, y_min, y_max]
+
+
 def blur(grey: np.ndarray, sigma: float) -> np.ndarray:
     r = max(1, round(3 * sigma))
     k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma**2))
@@ -83,21 +103,30 @@ def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 
 
 def consensus(src: np.ndarray, dst: np.ndarray, pixels: float = 5.0, rounds: int = 500, seed: int = 0) -> np.ndarray:
-    """Homography with the most pairs within ``pixels``, refitted on them; seeded."""
+    """Homography with the most pairs within ``pixels``, refitted on them, and then, if there are enough,
+    on those within a fifth of that; seeded."""
     rng, best = np.random.default_rng(seed), np.zeros(len(src), bool)
     if len(src) < 4:
         raise ImageError("opencv_err")
-    for _ in range(rounds):
-        pick = rng.choice(len(src), 4, replace=False)
-        m = homography(src[pick], dst[pick])
+
+    def within(m: np.ndarray, most: float) -> np.ndarray:
         p = np.concatenate([src, np.ones((len(src), 1))], 1) @ m.T
         with np.errstate(divide="ignore", invalid="ignore"):
-            good = np.hypot(*(p[:, :2] / p[:, 2:] - dst).T) < pixels
+            return np.hypot(*(p[:, :2] / p[:, 2:] - dst).T) < most
+
+    for _ in range(rounds):
+        pick = rng.choice(len(src), 4, replace=False)
+        good = within(homography(src[pick], dst[pick]), pixels)
         if good.sum() > best.sum():
             best = good
     if best.sum() < 4:
         raise ImageError("linalg_err")
-    return homography(src[best], dst[best])
+    m = homography(src[best], dst[best])
+    for most in (pixels / 2, pixels / 5):
+        good = within(m, most)
+        if good.sum() >= 8:
+            m = homography(src[good], dst[good])
+    return m
 
 
 def align(src: np.ndarray, dst: np.ndarray, bright: int = 50, detector=corners) -> np.ndarray:
@@ -125,4 +154,4 @@ def blended(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.where((dst.sum(2) == 0)[..., None], src, dst)
 
 
-__all__ = ["ImageError", "align", "blended", "blur", "consensus", "corners", "homography", "matches", "resize", "sample", "warp"]
+__all__ = ["ImageError", "align", "blended", "blur", "consensus", "corners", "homography", "matches", "reprojected", "resize", "sample", "warp"]

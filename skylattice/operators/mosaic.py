@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import kernels
 from ..functions.geo import to_pixels
 from .quantiles import exact_quantiles
 
@@ -41,6 +46,40 @@ def blend(pixels: DataFrame, bands: list[str], alpha: str | None = None, fill: f
     return one.select("x", "y", *(F.coalesce(F.col(f"_f.{b}"), F.lit(0)).alias(b) for b in bands), end.alias(alpha or "alpha"))
 
 
+def resampled(images: DataFrame, bands: list[str]) -> DataFrame:
+    """Pixels (image_id, order, x, y, bands) of images on a mosaic's grid: each image (rows, columns, bands,
+    data: uint8) is resized to its pixel rectangle (x_off, y_off, x_size, y_size)."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                if r.x_size < 1 or r.y_size < 1:
+                    continue
+                m = kernels.resize(np.frombuffer(r.data, np.uint8).reshape(r.rows, r.columns, r.bands).astype(float), r.y_size, r.x_size)
+                y, x = np.divmod(np.arange(r.y_size * r.x_size), r.x_size)
+                yield pd.DataFrame({"image_id": r.image_id, "order": r.order, "x": r.x_off + x, "y": r.y_off + y} | {b: m[..., i].ravel().round().astype(np.int32) for i, b in enumerate(bands)})
+
+    schema = "image_id long, order long, x long, y long, " + ", ".join(f"`{b}` int" for b in bands)
+    return images.select("image_id", "order", "x_off", "y_off", "x_size", "y_size", "rows", "columns", "bands", "data").mapInPandas(task, schema)
+
+
+def filled(pixels: DataFrame, rect: tuple[int, int, int, int], bands: list[str]) -> DataFrame:
+    """Every pixel of a window; those that nothing has written are 0, as in an empty raster."""
+    x, y, w, h = rect
+    spark = pixels.sparkSession
+    grid = spark.range(w * h).select((F.lit(x) + F.col("id") % w).alias("x"), (F.lit(y) + F.floor(F.col("id") / w)).alias("y"))
+    return grid.join(read_window(pixels, rect), ["x", "y"], "left").select("x", "y", *(F.coalesce(b, F.lit(0)).alias(b) for b in bands))
+
+
+def write_window(pixels: DataFrame, patch: DataFrame, rect: tuple[int, int, int, int]) -> DataFrame:
+    """The raster with a window replaced by the patch, whose pixels (x, y) count from the window's corner;
+    pixels of the patch beyond the window are left out."""
+    x, y, w, h = rect
+    inside = F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1)
+    moved = patch.where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1)).withColumns({"x": F.col("x") + x, "y": F.col("y") + y})
+    return pixels.where(~inside).unionByName(moved)
+
+
 def tiles_of(rows: DataFrame, tile: int, window: tuple[str, str, str, str] = ("x_off", "y_off", "x_size", "y_size")) -> DataFrame:
     """One row per tile that a pixel rectangle touches; empty rectangles touch none."""
     x, y, w, h = (F.col(c) for c in window)

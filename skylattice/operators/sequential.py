@@ -25,16 +25,24 @@ def sequential_mosaic(images: DataFrame, tile: int = 256, align: bool = True) ->
     """Aligns each image with what earlier ones (by ``order``) wrote in its window, and blends it in.
 
     images: image_id, order, window (x_off, y_off, x_size, y_size) in the mosaic, rows, columns, bands,
-    data (uint8, row by row). Image i depends on what images before it wrote, so a group of
-    overlapping images is one ordered fold; separate groups run in parallel. A dense flight is
-    one group and so one task, whose memory is the mosaic crop of that group: the step is
-    sequential by its nature.
+    data (uint8, row by row), and ``training`` if there is a training mosaic. Its images are known to
+    fill their windows and are drawn first, unaligned; all others are aligned within their
+    windows (search zones), and where nothing lies there their code is ``dst_dark_frame``. Without
+    that column an image that meets nothing is drawn as it stands, to begin a mosaic.
+
+    Image i depends on what images before it wrote, so a group of overlapping images is one
+    ordered fold; separate groups run in parallel. A dense flight is one group and so one task,
+    whose memory is the mosaic crop of that group: the step is sequential by its nature.
 
     Returns one row per image: its code, its place after alignment, and its warped pixels.
     """
 
+    strict = "training" in images.columns
+    if strict:
+        images = images.withColumn("known", F.when(F.col("training"), 0).otherwise(1))
+
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["order", "image_id"])
+        group = group.sort_values([*(["known"] if strict else []), "order", "image_id"])
         x0, y0 = int(group["x_off"].min()), int(group["y_off"].min())
         bands = int(group["bands"].iloc[0])
         canvas = np.zeros((int((group["y_off"] + group["y_size"]).max()) - y0, int((group["x_off"] + group["x_size"]).max()) - x0, bands))
@@ -45,7 +53,7 @@ def sequential_mosaic(images: DataFrame, tile: int = 256, align: bool = True) ->
             x, y, w, h = r.x_off - x0, r.y_off - y0, r.x_size, r.y_size
             window = canvas[y : y + h, x : x + w]
             try:
-                if align and window.any():
+                if align and not (strict and r.known == 0) and (strict or window.any()):
                     warped = kernels.warp(image, kernels.align(image, window), h, w)
                 else:
                     warped = kernels.resize(image, h, w)

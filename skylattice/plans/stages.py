@@ -9,7 +9,7 @@ from collections.abc import Callable
 import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import predicate
+from ..functions import geo, predicate
 from ..operators import correlate as co, interpolate as ip, mosaic as mo, order as od, registrar as rg, scores as sc, sequential as sq
 from ..sources import files as fs, logs as lg, sinks
 
@@ -17,7 +17,7 @@ from ..sources import files as fs, logs as lg, sinks
 STAGES: dict[str, Callable[[SparkSession, dict], dict[str, DataFrame]]] = {}
 DEFAULTS = {
     "metadata_processor": {"tz_offset_in_hr": 5.0, "unmatched": "drop", "patterns": [], "use_cached_output": True},
-    "mosaicker": {"padding_fraction": 0.1, "tile": 256},
+    "mosaicker": {"padding_fraction": 0.1, "crs": "EPSG:3857"},
     "sequential_mosaicker": {"altitude": 13000.0, "gyro": 0.075, "sensors": {0: 1, 1: 0, 2: 2}, "angles": {0: 30.0, 1: 0.0, 2: 30.0}, "tile": 256},
     "query_processor": {"condition": "image_id >= 0"},
     "base": {},
@@ -85,47 +85,83 @@ def metadata(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     return {"metadata": found.withColumnRenamed("file_id", "image_id")}
 
 
+def contents(spark: SparkSession, config: dict, name: str) -> DataFrame:
+    """The selected files of an input directory with their content."""
+    d = config["inputs"][name]
+    found = fs.find_input_files(spark, d).select(F.col("filepath").alias("path"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(d["directory"]).join(found, "path", "left_semi")
+
+
 @stage("mosaicker")
 def mosaicker(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """Pixels (image_id, order, x, y, bands) of referenced images on one grid, first non-empty wins."""
-    t = inputs(spark, config)
-    rows = t["footprints"].where("x_min is not null")
-    raster = mo.extent(rows).first().asDict()
-    return {"footprints": mo.pixel_rectangles(rows, raster), "mosaic": mo.blend(t["pixels"], config["options"].get("bands", ["r", "g", "b"]))}
+    """Referenced image files, drawn on one grid in the order of their paths; first non-empty wins. The grid
+    is padded by a fraction of the largest image's diagonal."""
+    o, names = config["options"], config["options"].get("bands", ["r", "g", "b"])
+    images = fs.load_referenced(contents(spark, config, "images"), o["crs"], o.get("target_crs"))
+    images = od.ordered(images.where("x_min is not null"), [], "filepath").withColumn("image_id", F.col("order"))
+    size = {"pixel_width": (F.col("x_max") - F.col("x_min")) / F.col("columns"), "pixel_height": (F.col("y_min") - F.col("y_max")) / F.col("rows")}
+    pad = geo.padding(F.col("x_min"), F.col("x_max"), F.col("y_min"), F.col("y_max"), float(o["padding_fraction"]))
+    images = images.withColumns(size).withColumn("padding", pad)
+    raster = mo.extent(images).first().asDict()
+    placed = mo.pixel_rectangles(images, raster)
+    return {"footprints": placed.drop("data"), "mosaic": mo.blend(mo.resampled(placed, names), names), "raster": spark.createDataFrame([raster])}
 
 
 @stage("sequential_mosaicker")
 def sequential(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """Filters, registers and orders raw images, then aligns each with what came before."""
+    """Filters, registers and orders raw images, and aligns each, within its search zone, with the training
+    mosaic of the referenced images and what came before. Successes get bounds in metres."""
     t, o = inputs(spark, config), config["options"]
     model = rg.fit(t["referenced"])
     rows = t["metadata"].where(sc.altitude_filter(o["altitude"]) & sc.steady_filter(o["gyro"]))
     rows = od.sensor_and_distance(model.transform(rows, {int(k): v for k, v in o["angles"].items()}), {int(k): v for k, v in o["sensors"].items()})
-    zone = rows.withColumns({k: v for k, v in zip(("x_min", "x_max", "y_min", "y_max"), (F.col("x_min") - F.col("padding"), F.col("x_max") + F.col("padding"), F.col("y_min") - F.col("padding"), F.col("y_max") + F.col("padding")), strict=True)})
-    medians = model.medians
-    raster = mo.extent(zone.withColumns({"pixel_width": F.lit(medians["pixel_width"]), "pixel_height": F.lit(medians["pixel_height"])})).first().asDict()
-    placed = mo.pixel_rectangles(zone, raster)
-    return {"footprints": placed, "progress": sq.sequential_mosaic(placed.join(t["pixels"], "image_id"), o["tile"])}
+    zone = rows.withColumns(geo.search_zone(F.col("padding")))
+    box, medians = ["image_id", "order", "x_min", "x_max", "y_min", "y_max", "training"], model.medians
+    known = t["referenced"].withColumns({"order": F.lit(-1).cast("long"), "training": F.lit(True)})
+    every = zone.withColumn("training", F.lit(False)).select(*box).unionByName(known.select(*box))
+    raster = mo.extent(every.withColumns({"padding": F.lit(0.0), "pixel_width": F.lit(medians["pixel_width"]), "pixel_height": F.lit(medians["pixel_height"])})).first().asDict()
+    placed = mo.pixel_rectangles(every, raster)
+    out = sq.sequential_mosaic(placed.join(t["pixels"], "image_id"), o["tile"])
+    out = out.where(F.col("order") >= 0).withColumns(geo.to_bounds(raster))
+    return {"footprints": placed, "progress": out, "raster": spark.createDataFrame([raster])}
 
 
 @stage("query_processor")
 def query(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """Metadata rows that meet the condition and whose files are available."""
-    t = inputs(spark, config)
-    kept = t["metadata"].where(predicate.parse(config["options"]["condition"]))
-    return {"selected": co.catalogue(kept, t["files"]) if "files" in t else kept}
+    """Metadata rows that meet the condition and whose files are available; with the option ``copy_to`` the
+    files are copied there."""
+    t, o = inputs(spark, config), config["options"]
+    kept = t["metadata"].where(predicate.parse(o["condition"]))
+    if "files" not in t:
+        return {"selected": kept}
+    selected = co.catalogue(kept, t["files"])
+    if not o.get("copy_to"):
+        return {"selected": selected}
+    files = contents(spark, config, "files").select(F.col("path").alias("filepath"), "content")
+    return {"selected": selected, "copies": sinks.copy_files(files.join(selected.select("filepath").distinct(), "filepath", "left_semi"), o["copy_to"])}
+
+
+#: Tables that a stage returns and a stored run can stand for.
+CACHED = {"metadata_processor": ["metadata"]}
 
 
 def run(spark: SparkSession, config: dict, validate_only: bool = False) -> dict[str, str]:
-    """Runs a stage and stores its tables; the settings are stored beside them, so it can be run again."""
+    """Runs a stage and stores its tables; the settings are stored beside them, so it can be run again.
+
+    Metadata that are stored already are not computed again, unless ``use_cached_output`` is off or they
+    are to be overwritten or stored anew; the policy ``load`` does the same for every stage.
+    """
     name = config.get("stage", "base")
     if name not in STAGES:
         raise ValueError(f"unknown stage {name!r}")
+    where, policy = config.get("output"), config.get("exists", "error")
+    stored = CACHED.get(name, [])
+    cached = not validate_only and policy in ("pass", "load") and config.get("options", {}).get("use_cached_output", True)
+    if where and stored and cached and all(sinks.exists(spark, f"{where}/{k}") for k in stored):
+        return {k: f"{where}/{k}" for k in stored}
     out = STAGES["base" if validate_only else name](spark, config)
-    where = config.get("output")
     if not where:
         return {}
-    policy = config.get("exists", "error")
     return {k: sinks.save_table(df, f"{where}/{k}", policy) for k, df in out.items()}
 
 
@@ -137,8 +173,8 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("skylattice").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     config = load_config(a.config)
     print(run(spark, config, a.validate_only))
-    if config.get("output", "").startswith("/"):
-        sinks.save_settings(config, f"{config['output']}/config.yaml")
+    if config.get("output"):
+        sinks.save_settings({"config": config, "stages": {k: " ".join((f.__doc__ or "").split()) for k, f in STAGES.items()}}, f"{config['output']}/settings.yaml")
 
 
 if __name__ == "__main__":

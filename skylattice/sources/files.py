@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,32 @@ def find_input_files(spark: SparkSession, description: str | dict, root: str = "
     return find_selected_files(spark, find_input_files(spark, description["directory"], root), description.get("extension"), description.get("pattern"))
 
 
+def as_files(spark: SparkSession, files: DataFrame | Iterable[str]) -> DataFrame:
+    """A table with ``filepath``: one that has the column, one whose only column holds paths, or a list
+    or series of paths. Other columns stay."""
+    if not isinstance(files, DataFrame):
+        return spark.createDataFrame([(str(f),) for f in files], "filepath string")
+    if "filepath" in files.columns:
+        return files
+    if len(files.columns) != 1:
+        raise ValueError(f"no column filepath in {files.columns}")
+    return files.withColumnRenamed(files.columns[0], "filepath")
+
+
+def discover_directory(spark: SparkSession, directory: str, globs: str | list[str] | None = None, pattern: str | None = None) -> DataFrame:
+    """Files below a directory whose names match a glob, one glob after another, so a file that matches
+    several is listed for each; by default those with a dot. ``pattern``: a regular expression
+    that the path must hold besides."""
+    parts = []
+    for glob in ["*.*"] if globs is None else [globs] if isinstance(globs, str) else globs:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(directory)
+        parts.append(found.select(F.col("path").alias("filepath")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("filepath").rlike(pattern)) if pattern else out
+
+
 def discover(files: DataFrame, patterns: str | list[str] | None = None) -> DataFrame:
     """Files that match any of the patterns; one that matches several is listed for each."""
     if patterns is None:
@@ -96,15 +123,47 @@ def tiff_tags(data: bytes) -> dict[int, np.ndarray]:
     return tags
 
 
+def unpacked_bits(data: bytes) -> bytes:
+    """PackBits: a byte n below 128 and n + 1 bytes as they are, or one byte 257 - n times."""
+    out, i = bytearray(), 0
+    while i < len(data):
+        n = data[i]
+        if n < 128:
+            out += data[i + 1 : i + 2 + n]
+            i += 2 + n
+        else:
+            out += data[i + 1 : i + 2] * (257 - n if n > 128 else 0)
+            i += 2 if n > 128 else 1
+    return bytes(out)
+
+
+#: TIFF compression number: what makes bytes of a strip.
+STRIP_READERS = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpacked_bits}
+
+
 def tiff_pixels(data: bytes) -> np.ndarray:
-    """Pixels (rows, columns, bands) of an uncompressed, strip-organised TIFF."""
+    """Pixels (rows, columns, bands) of a strip-organised TIFF: uncompressed, deflate or PackBits, with
+    bands side by side or plane by plane."""
     tags = tiff_tags(data)
-    if int(tags.get(COMPRESSION, [1])[0]) != 1:
-        raise ValueError("compressed TIFF files are not supported")
+    read = STRIP_READERS.get(int(tags.get(COMPRESSION, [1])[0]))
+    if read is None or int(tags.get(317, [1])[0]) != 1:
+        raise ValueError("TIFF files of this compression are not supported")
     bands, bits = int(tags.get(SAMPLES, [1])[0]), int(tags.get(BITS, [8])[0])
-    raw = b"".join(data[o : o + n] for o, n in zip(tags[STRIPS].tolist(), tags[SIZES].tolist(), strict=True))
-    kind = np.dtype(f"u{bits // 8}").newbyteorder("<" if data[:2] == b"II" else ">")
-    return np.frombuffer(raw, kind).reshape(int(tags[LENGTH][0]), int(tags[WIDTH][0]), bands).astype(f"u{bits // 8}")
+    raw = b"".join(read(data[o : o + n]) for o, n in zip(tags[STRIPS].tolist(), tags[SIZES].tolist(), strict=True))
+    kind, shape = np.dtype(f"u{bits // 8}").newbyteorder("<" if data[:2] == b"II" else ">"), (int(tags[LENGTH][0]), int(tags[WIDTH][0]))
+    planes = int(tags.get(PLANAR, [1])[0]) == 2
+    pixels = np.frombuffer(raw, kind).reshape((bands, *shape) if planes else (*shape, bands))
+    return (np.moveaxis(pixels, 0, 2) if planes else pixels).astype(f"u{bits // 8}")
+
+
+def rescaled(pixels: np.ndarray, kind: str) -> np.ndarray:
+    """Pixels of another type, with the largest value of one type on that of the other; floats are 0 to 1."""
+    top = lambda t: 1.0 if t.kind == "f" else float(np.iinfo(t).max)
+    to = np.dtype(kind)
+    if pixels.dtype == to:
+        return pixels
+    out = pixels.astype(np.float64) / top(pixels.dtype) * top(to)
+    return out.astype(to) if to.kind == "f" else out.round().astype(to)
 
 
 def raw_pixels(data: bytes, rows: int = 1200, columns: int = 1920, bits: int = 12) -> np.ndarray:
@@ -144,19 +203,53 @@ def geotiff_headers(files: DataFrame, padding_fraction: float = 0.1) -> DataFram
 PIXELS = "filepath string, rows long, columns long, bands long, data binary"
 
 
-def load_images(files: DataFrame, raw_shape: tuple[int, int] = (1200, 1920)) -> DataFrame:
-    """Pixels of a ``binaryFile`` table as bytes, row by row; ``.raw`` and ``.tif``/``.tiff`` only."""
+def load_images(files: DataFrame, raw_shape: tuple[int, int] = (1200, 1920), kind: str | None = None) -> DataFrame:
+    """Pixels of a ``binaryFile`` table as bytes, row by row; ``.raw`` and ``.tif``/``.tiff`` only.
+    ``kind``: a NumPy type all images are rescaled to, else each keeps its own."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                kind = path.rpartition(".")[2].lower()
-                if kind not in ("raw", "tif", "tiff"):
-                    raise OSError(f"cannot read images of type {kind!r}")
-                m = raw_pixels(data, *raw_shape) if kind == "raw" else tiff_pixels(data)
-                rows.append((path, *m.shape, m.tobytes()))
+                end = path.rpartition(".")[2].lower()
+                if end not in ("raw", "tif", "tiff"):
+                    raise OSError(f"cannot read images of type {end!r}")
+                m = raw_pixels(data, *raw_shape) if end == "raw" else tiff_pixels(data)
+                m = rescaled(m, kind) if kind else m
+                rows.append((path, *m.shape, np.ascontiguousarray(m).tobytes()))
             yield pd.DataFrame(rows, columns=["filepath", "rows", "columns", "bands", "data"])
 
     return files.select("path", "content").mapInPandas(task, PIXELS)
 
+
+REFERENCED = PIXELS + ", x_min double, x_max double, y_min double, y_max double"
+
+
+def load_referenced(files: DataFrame, source: str = "EPSG:3857", target: str | None = None) -> DataFrame:
+    """Pixels (uint8) and bounds of each georeferenced TIFF of a ``binaryFile`` table, in one row a file; a
+    file without a reference has null bounds.
+
+    With another ``target`` system, bounds are transformed (``geo.reprojected``) and the pixels are
+    resampled: each pixel of the new grid, which has as many rows and columns, takes the
+    bilinear value at its place in the source.
+    """
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch["path"], batch["content"], strict=True):
+                t, m = tiff_tags(data), rescaled(tiff_pixels(data), "u1")
+                bounds = [None] * 4
+                if SCALE in t and TIEPOINT in t:
+                    (pw, ph), tie = t[SCALE][:2], t[TIEPOINT]
+                    x, y = tie[3] - tie[0] * pw, tie[4] + tie[1] * ph
+                    bounds = [x, x + pw * m.shape[1], y - ph * m.shape[0], y]
+                    if target and target != source:
+                        m, bounds = kernels.reprojected(m, bounds, source, target)
+                rows.append((path, *m.shape, np.ascontiguousarray(m).tobytes(), *bounds))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in REFERENCED.split(", ")])
+
+    from ..operators import kernels
+
+    return files.select("path", "content").mapInPandas(task, REFERENCED)
+

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from skylattice import queries as own
+from skylattice import image_queries, queries as own
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,6 +19,9 @@ def plain(v):
     return v
 
 
+assert image_queries.QUERIES is own.QUERIES
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
