@@ -264,8 +264,8 @@ def lm_scores(docs: DataFrame, rounds: int = 2, rate: float = 0.1, seed: int = 1
     the input is split. Its size is fixed, whatever the corpus.
 
     Null and empty texts have no words, log_prob 0 and a null score; very long ones are read whole.
-    One row per input row, null doc_ids too; ties and repeated rows get equal scores; other
-    columns are ignored. An empty table gives no rows.
+    One row per input row, null doc_ids too; ties and repeated rows get equal scores but for
+    rounding; other columns are ignored. An empty table gives no rows.
 
     Returns doc_id, n_words, log_prob (the sum), score (the mean), perplexity.
     """

@@ -11,6 +11,11 @@ def prose(seed, n, words=400):
     return " ".join(r.choice(vocabulary) for _ in range(n))
 
 
+@pytest.fixture(scope="session")
+def text_of():
+    return prose
+
+
 @pytest.fixture(scope="session")
 def odd_texts():
     """Nulls, empty and very long texts, ties, copies, near copies, shared passages, repeats within a text."""
@@ -23,7 +28,7 @@ def odd_texts():
 
 @pytest.fixture(scope="session")
 def odd(spark, odd_texts):
-    """The same as a table with columns whose names operators use themselves, and a repeated row."""
+    """The same as a table with columns whose names operators use themselves."""
     rows = [(i, t, "en", "s", len(t or ""), 7, "x", 1) for i, t in odd_texts]
     return spark.createDataFrame(rows, DOCS + ", n int, grp string, component_id int")
 

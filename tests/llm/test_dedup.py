@@ -94,6 +94,17 @@ def test_suffix_dedup_random(spark, n, k):
     assert got == brute_bytes(rows, n)
 
 
+@pytest.mark.parametrize("hot_blocks", [0, 3, 1000])
+def test_suffix_dedup_hot_anchors(spark, hot_blocks):
+    """A passage in most documents with other bytes around it, in many blocks: by strings, mixed, by buckets."""
+    r = random.Random(3)
+    some = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    passage = some(120)
+    rows = [(i, some(r.randrange(80)) + (passage[r.randrange(8) :] if i % 4 else "") + some(r.randrange(80))) for i in range(70)] + [(i, "ab" * 300) for i in (80, 81)]
+    got = {x[0]: tuple(x)[1:] for x in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 30, 12, block_bytes=400, hot_blocks=hot_blocks).collect()}
+    assert got == brute_bytes(rows, 30)
+
+
 def shingles(text):
     w = (text or "").encode()
     w = bytes(c + 32 if 65 <= c <= 90 else c for c in w).split()
@@ -124,6 +135,14 @@ def test_minhash_dedup(odd, odd_texts, no_docs):
     assert minhash_dedup(no_docs).collect() == []
 
 
+def test_repeated_rows_of_dedup(spark, odd, odd_texts):
+    twice = odd.unionByName(odd.where("doc_id in (3, 4, 9, 16)"))
+    want = {**brute_near(odd_texts)}
+    for df, expected in ((minhash_dedup(twice), want), (substring_dedup(twice), brute_words(odd_texts))):
+        rows = sorted(map(tuple, df.collect()))
+        assert rows == sorted((i, *expected[i]) for i in [*range(18), 3, 4, 9, 16])
+
+
 def test_minhash_dedup_chains_and_clusters(spark):
     """Near copies of one text with edits of all sizes: links exist that pass by the least document."""
     r = random.Random(11)

@@ -1,9 +1,14 @@
+import re
+
 import corpus_pipeline as cp
 import duckdb
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_dedup import brute_near
 
 from skylattice.llm import queries
+from skylattice.llm.lexical_packing import Encoder
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +26,36 @@ def test_stages_take_effect(spark, odd):
     assert 17 not in seen[2] and seen[3] <= seen[2] and seen[4] == seen[3]
 
 
+def test_run_equals_brute_force(spark, text_of, odd_texts, tmp_path):
+    """All stages but the choice of neighbours, on rows with odd texts, repeated and null ids."""
+    item = text_of(31, 14)
+    extra = [(20, f"{text_of(32, 20)} {item} {text_of(33, 9)}"), (None, text_of(34, 30)), (5, text_of(35, 40)), (21, text_of(35, 40).upper())]
+    rows = [*odd_texts, *extra, odd_texts[9]]
+    docs = spark.createDataFrame([(i, t, "en" if k % 2 else None, "s", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    last = 10**9
+    left = sorted({(last if i is None else i, t) for i, t in rows if any(x.isalpha() for x in t or "")})
+    number = {k: (i, t) for k, (i, t) in enumerate(left)}
+    near = brute_near([(k, t) for k, (_, t) in number.items()])
+    left = [number[k] for k, x in near.items() if x[2]]
+    seen, out = {}, []
+    for i, t in left:
+        w = t.split()
+        for s in range(len(w) - 12):
+            seen.setdefault(tuple(w[s : s + 13]), i)
+    for i, t in left:
+        w = re.split(r"[ \t-\r]+", t.strip(" \t\n\v\f\r"))
+        gone = {p for s in range(len(w) - 12) if seen[tuple(w[s : s + 13])] < i for p in range(s, s + 13)}
+        t = " ".join(x for p, x in enumerate(w) if p not in gone) if gone else t
+        words, want = re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()), re.findall(r"[0-9a-z]+", item)
+        hit = any(words[s : s + 10] == want[k : k + 10] for s in range(len(words) - 9) for k in range(len(want) - 9))
+        if t and not hit:
+            out.append((None if i == last else i, len(Encoder(public_tokenizers.path("byte_bpe_50k.json")).ids(t)) + 1))
+    got = {(r["doc_id"], r["doc_tokens"]) for r in cp.run(spark, str(tmp_path)).collect()}
+    assert got == set(out) and (20, None) not in got and 20 not in {i for i, _ in got} and {5, 21} & {i for i, _ in got} == {5}
+
+
 def test_changed_texts(spark, odd_texts):
     passage, other = odd_texts[17][1], odd_texts[0][1]
     df = spark.createDataFrame([(1, passage + "\n\nend", "en", "s", 0), (2, f"start  {passage} stop", None, "s", 0), (3, other, "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")

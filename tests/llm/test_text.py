@@ -3,6 +3,7 @@ import inspect
 import itertools
 import math
 import pickle
+import re
 import zlib
 
 import numpy as np
@@ -44,6 +45,36 @@ def test_fit_raises_the_likelihood():
     assert scores == sorted(scores)
 
 
+def test_language_id_equals_a_run_by_run_sum(spark, odd, odd_texts):
+    """Predictions and scores of the query's operator against sums over prefixes with the model it learns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 5 < 2").select("doc_id", "text", "lang")
+    both = docs.unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang")))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    langs, table, pieces = li.learn(both.withColumn("held_out", held), public_tokenizers.path("byte_bpe_50k.tiktoken"), 400, 4)
+    number = {p: i for i, p in enumerate(li.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))}
+    known = {}
+
+    def run_score(run):
+        if run not in known:
+            w, sums = b" " + run, [np.zeros(len(langs))]
+            for e in range(1, len(w) + 1):
+                sums.append(np.logaddexp.reduce([sums[k] + table[number[w[k:e]]] for k in range(max(0, e - pieces.value.longest), e) if w[k:e] in number]))
+            known[run] = sums[-1]
+        return known[run]
+
+    got = {r["doc_id"]: r for r in language_id(both).collect()}
+    for doc_id, text in [(r["doc_id"], r["text"]) for r in docs.limit(25).collect()] + [(i + 10**6, t) for i, t in odd_texts if i != 16]:
+        lower = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text or "")
+        runs = re.findall(rb"[a-z\x80-\xff]+", lower.encode())
+        if not any(x.isalpha() for x in text or ""):
+            assert (got[doc_id]["lang_pred"], got[doc_id]["score"]) == ("und", 0)
+            continue
+        total = sum(run_score(x) for x in runs)
+        best = int(total.argmax())
+        assert got[doc_id]["lang_pred"] == langs[best]
+        assert math.isclose(got[doc_id]["score"], 1 / np.exp(total - total[best]).sum(), rel_tol=1e-5)
+
+
 def test_scores_of_long_and_rare_runs():
     """Runs of any length and bytes, in words of mixed lengths, against a sum over prefixes."""
     names = li.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -141,6 +172,54 @@ def test_neighbours_of_other_splits_share_a_window(spark):
         assert sum(a["doc_id"] % 60 == b["doc_id"] % 60 for a, b in pairs) / len(pairs) > 0.5
 
 
+def test_packing_equals_a_plain_greedy_fill():
+    """Pieces of a shard against BM25 by its definition, document by document and term by term."""
+    r = np.random.default_rng(12)
+    docs = [[*(int(x) + 2 for x in r.zipf(1.4, r.integers(0, 60)) % 50), 1] for _ in range(40)] + [[1], [7] * 150 + [1]]
+    ids, offsets = np.array(sum(docs, []), "<u2"), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    n, df = len(docs), np.bincount([t for d in docs for t in set(d)], minlength=60).astype(float)
+    corpus, mean = packing.Corpus(n, len(ids) / n, df), len(ids) / n
+
+    def bm25(query, doc):
+        out = 0.0
+        for t in set(query) - {1}:
+            f = doc.count(t)
+            out += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(doc) / mean)) if f else 0
+        return out
+
+    window, unused, want, sequence, filled = 64, list(range(n)), [], 0, 0
+
+    def place(d, start):
+        nonlocal sequence, filled
+        size = min(len(docs[d]) - start, window - filled)
+        want.append((d, start, size, sequence, filled))
+        filled += size
+        if filled == window:
+            sequence, filled = sequence + 1, 0
+        return start + size
+
+    while unused:
+        seed, at = unused.pop(0), 0
+        while True:
+            while at < len(docs[seed]):
+                at = place(seed, at)
+            near = sorted((d for d in unused if bm25(docs[seed], docs[d]) > 0), key=lambda d: (-np.float32(bm25(docs[seed], docs[d])), d))
+            if not filled or not near:
+                break
+            carried = None
+            for d in near:
+                unused.remove(d)
+                at = place(d, 0)
+                if at < len(docs[d]):
+                    carried = d
+                if not filled or carried is not None:
+                    break
+            if carried is None:
+                break
+            seed = carried
+    assert list(packing.pack(ids, offsets, window, corpus)) == want
+
+
 def test_windows_go_on_past_64_neighbours():
     ids, offsets = np.ones(201, np.uint32), np.arange(202)
     corpus = packing.Corpus(201, 1.0, np.array([0.0, 201.0]))
@@ -280,6 +359,21 @@ def test_lm_windows_stay_in_a_document():
     assert c not in (a, b)
 
 
+def test_repeated_rows(spark, odd):
+    """A row that stands twice has twice the same result, whatever the operator."""
+    twice = odd.unionByName(odd.where("doc_id in (3, 4, 9, 16)"))
+    bench = spark.createDataFrame([(1, "a a a a a a a a a a a")], "item_id long, text string")
+    for df in (language_id(twice), license_scan(twice), decontaminate(twice, bench), lm.lm_scores(twice)):
+        rows = [tuple(r) for r in df.collect()]
+        assert len(rows) == 22
+        for i in (3, 4, 9, 16):
+            same = [r for r in rows if r[0] == i]
+            # sums of a language model differ in their last digits with the rows around a text
+            assert len(same) == 2 and all(x == y or math.isclose(x, y, rel_tol=1e-6) for x, y in zip(*same))
+    pieces = lexical_packing(twice, window=256).where("doc_id = 9").collect()
+    assert sum(r["length"] for r in pieces) == 2 * pieces[0]["doc_tokens"]
+
+
 PAGES = "page_id long, url string, html string, digest int, side string"
 
 
