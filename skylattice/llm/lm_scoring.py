@@ -16,6 +16,8 @@ from .minhash_dedup import LOWER
 #: Context words on each side, words told apart, word vector, hidden units, word classes.
 SIDE, BUCKETS, DIM, HIDDEN, CLASSES = 2, 1 << 13, 12, 32, 64
 NAMES = ("words", "mix", "bias", "out", "out_bias", "within", "within_bias")
+#: Windows of a minibatch in training.
+BATCH = 4096
 #: The bucket of words outside the vocabulary.
 UNKNOWN = BUCKETS - 1
 
@@ -26,8 +28,9 @@ class Network:
 
     The context's word vectors, one place each, pass a tanh layer, a softmax over classes and one
     over the words of the class. A word's class is the slice of the corpus frequency order it lies
-    in, so classes have about equal mass and BUCKETS / CLASSES words are scored for a window on
-    average. ``rank`` is a word's place in that order and ``cut`` where each class starts.
+    in; slices have equal sums of the square roots of their counts, so the few windows with rare
+    words, whose classes are large, and the many with frequent ones cost about the same.
+    ``rank`` is a word's place in that order and ``cut`` where each class starts.
     """
 
     params: dict[str, np.ndarray]
@@ -39,8 +42,8 @@ class Network:
         rng, counts = np.random.default_rng(seed), counts + 0.5
         order = np.argsort(-counts, kind="stable")
         sorted_counts = counts[order]
-        mass = np.cumsum(sorted_counts) - sorted_counts / 2
-        word_class = np.minimum(mass / counts.sum() * CLASSES, CLASSES - 1).astype(np.int64)
+        weight = np.sqrt(sorted_counts)
+        word_class = np.minimum((np.cumsum(weight) - weight / 2) / weight.sum() * CLASSES, CLASSES - 1).astype(np.int64)
         rank = np.empty(BUCKETS, np.int64)
         rank[order] = np.arange(BUCKETS)
         start = np.bincount(word_class, sorted_counts, CLASSES)
@@ -55,18 +58,18 @@ class Network:
         return Network({k: v.copy() for k, v in self.params.items()}, self.rank, self.cut)
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(input, hidden units, scores of the classes)."""
         p = self.params
         x = p["words"][context].reshape(len(context), -1)
         h = np.tanh(x @ p["mix"] + p["bias"])
-        return x, h, log_softmax(h @ p["out"] + p["out_bias"])
+        return x, h, h @ p["out"] + p["out_bias"]
 
-    def by_class(self, rank: np.ndarray, word_class: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
-        """(windows, words of their class, place of each window's word among them)."""
-        order = np.argsort(word_class, kind="stable")
-        ends = np.searchsorted(word_class[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[c] : ends[c + 1]]
-            yield rows, slice(self.cut[c], self.cut[c + 1]), rank[rows] - self.cut[c]
+    def by_class(self, word_class: np.ndarray) -> Iterator[tuple[slice, slice]]:
+        """(windows of a class, words of that class) for windows that stand in the order of their classes;
+        classes of one word have nothing to choose and are left out."""
+        ends = np.searchsorted(word_class, np.arange(CLASSES + 1))
+        for c in np.flatnonzero((np.diff(ends) > 0) & (np.diff(self.cut) > 1)):
+            yield slice(ends[c], ends[c + 1]), slice(self.cut[c], self.cut[c + 1])
 
     def target(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank = self.rank[word]
@@ -74,17 +77,16 @@ class Network:
 
     def log_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         p, out = self.params, np.empty(len(word), np.float32)
-        for i in range(0, len(word), 1 << 14):
-            w = word[i : i + (1 << 14)]
-            _, h, z = self.forward(context[i : i + (1 << 14)])
-            rank, word_class = self.target(w)
-            part = z[np.arange(len(w)), word_class]
-            for rows, own, place in self.by_class(rank, word_class):
-                # tail classes hold thousands of words, so few windows at once
-                for j in range(0, len(rows), 1024):
-                    r = rows[j : j + 1024]
-                    part[r] += log_softmax(h[r] @ p["within"][own].T + p["within_bias"][own])[np.arange(len(r)), place[j : j + 1024]]
-            out[i : i + (1 << 14)] = part
+        every_rank, every_class = self.target(word)
+        for i in range(0, len(word), 1 << 13):
+            own = i + np.argsort(every_class[i : i + (1 << 13)], kind="stable")
+            rank, word_class = every_rank[own], every_class[own]
+            _, h, z = self.forward(context[own])
+            part = z[np.arange(len(own)), word_class] - log_sum(z)
+            for rows, words in self.by_class(word_class):
+                y = h[rows] @ p["within"][words].T + p["within_bias"][words]
+                part[rows] += y[np.arange(len(y)), rank[rows] - words.start] - log_sum(y)
+            out[own] = part
         return out
 
     def fresh(self) -> dict[str, np.ndarray]:
@@ -94,38 +96,48 @@ class Network:
     def train(self, context: np.ndarray, word: np.ndarray, rate: float, batch: int = 256, past: dict[str, np.ndarray] | None = None) -> None:
         """One pass of minibatch AdaGrad."""
         p, past = self.params, self.fresh() if past is None else past
+
+        def step(k: str, at, d: np.ndarray) -> None:
+            past[k][at] += d * d
+            p[k][at] -= rate * d / np.sqrt(past[k][at])
+
         for i in range(0, len(word), batch):
-            c, w = context[i : i + batch], word[i : i + batch]
-            x, h, z = self.forward(c)
-            rank, word_class = self.target(w)
-            g = np.exp(z)
-            g[np.arange(len(w)), word_class] -= 1
-            g /= len(w)
+            rank, word_class = self.target(word[i : i + batch])
+            order = np.argsort(word_class, kind="stable")
+            c, rank, word_class, n = context[i : i + batch][order], rank[order], word_class[order], len(order)
+            x, h, g = self.forward(c)
+            softmax(g)
+            g[np.arange(n), word_class] -= 1
+            g /= n
             back = g @ p["out"].T
-            for rows, own, place in self.by_class(rank, word_class):
-                e = np.exp(log_softmax(h[rows] @ p["within"][own].T + p["within_bias"][own]))
-                e[np.arange(len(rows)), place] -= 1
-                e /= len(w)
-                back[rows] += e @ p["within"][own]
-                for k, d in (("within", e.T @ h[rows]), ("within_bias", e.sum(0))):
-                    past[k][own] += d * d
-                    p[k][own] -= rate * d / np.sqrt(past[k][own])
+            for rows, words in self.by_class(word_class):
+                e = h[rows] @ p["within"][words].T + p["within_bias"][words]
+                softmax(e)
+                e[np.arange(len(e)), rank[rows] - words.start] -= 1
+                e /= n
+                back[rows] += e @ p["within"][words]
+                step("within", words, e.T @ h[rows])
+                step("within_bias", words, e.sum(0))
             back *= 1 - h * h
-            grads = {"out": h.T @ g, "out_bias": g.sum(0), "mix": x.T @ back, "bias": back.sum(0)}
-            words = (back @ p["mix"].T).reshape(-1, DIM)
-            for k, d in grads.items():
-                past[k] += d * d
-                p[k] -= rate * d / np.sqrt(past[k])
-            ids, place = np.unique(c, return_inverse=True)
-            d = np.zeros((len(ids), DIM), np.float32)
-            np.add.at(d, place.ravel(), words)
-            past["words"][ids] += d * d
-            p["words"][ids] -= rate * d / np.sqrt(past["words"][ids])
+            for k, d in (("out", h.T @ g), ("out_bias", g.sum(0)), ("mix", x.T @ back), ("bias", back.sum(0))):
+                step(k, slice(None), d)
+            place = np.argsort(c.ravel().astype(np.uint16), kind="stable")  # BUCKETS fits; such keys sort fastest
+            ids = c.ravel()[place]
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            step("words", ids[first], np.add.reduceat((back @ p["mix"].T).reshape(-1, DIM)[place], first))
+
+
+def softmax(z: np.ndarray) -> None:
+    """In place, row by row."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def log_sum(z: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's sum of exponentials."""
+    top = z.max(1)
+    return top + np.log(np.exp(z - top[:, None]).sum(1))
 
 
 def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +212,7 @@ def learn(docs: DataFrame, rounds: int, rate: float, seed: int, known: int = UNK
             for _, _, data, offsets in texts(batches):
                 c, w, *_ = windows(data, offsets, vocabulary)
                 pick = targets(len(w), turn, rounds)
-                own.train(c[pick], w[pick], rate / (turn + 1), 1024, past)
+                own.train(c[pick], w[pick], rate / (turn + 1), BATCH, past)
                 seen += len(pick)
             if seen:
                 flat = np.concatenate([own.params[k].ravel() for k in NAMES]).astype(np.float64) * seen
@@ -231,7 +243,12 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
         network, vocabulary = shared.value
         for batch, rows, data, offsets in texts(batches):
             c, w, bounds, hashes = windows(data, offsets, vocabulary)
-            total = np.concatenate([[0.0], np.cumsum(network.log_prob(c, w), dtype=np.float64)])
+            # equal windows, of which copies have many, are scored once
+            key = w.astype(T.U64)
+            for j in range(2 * SIDE):
+                key = T.mix(key * T.U64(T.BASE_A) + c[:, j].astype(T.U64))
+            _, first, place = np.unique(key, return_index=True, return_inverse=True)
+            total = np.concatenate([[0.0], np.cumsum(network.log_prob(c[first], w[first])[place], dtype=np.float64)])
             at = np.flatnonzero(w == UNKNOWN)
             pair = np.empty(len(at), [("doc", "<i8"), ("word", "<i8")])
             pair["doc"], pair["word"] = np.searchsorted(bounds, at, "right") - 1, hashes[at].view(np.int64)
