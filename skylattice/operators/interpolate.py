@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: Rows of a time bucket, on average.
+PER_BUCKET = 50_000
 
-def interpolate_at(rows: DataFrame, log: DataFrame, time: str, values: list[str], by: list[str] | None = None, bucket_us: int = 3_600_000_000) -> DataFrame:
+
+def interpolate_at(rows: DataFrame, log: DataFrame, time: str, values: list[str], by: list[str] | None = None, bucket_us: int | None = None) -> DataFrame:
     """``rows`` with each of ``values`` taken from ``log`` at ``time``, linearly between the nearest
     log rows before (t_lo < t) and after (t_hi >= t). A null on either side, or no row on one
     side, gives null; the very first log time gives its own value. Repeated log times count once.
 
     The windows are partitioned by ``by`` and by time bucket, so no task orders the whole log; the
     last and first log row of each bucket are carried across buckets over one row per bucket.
+    Without ``bucket_us`` buckets are so wide that they hold PER_BUCKET rows of both tables on average.
     """
     by = by or []
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     entry = log.where(F.col(time).isNotNull()).select(*by, micros(time).alias("_t"), *values).dropDuplicates([*by, "_t"])
     entry = entry.select(*by, "_t", F.struct("_t", *values).alias("_k"))
+    if bucket_us is None:
+        span = entry.select("_t").unionByName(rows.select(micros(time).alias("_t"))).agg(F.min("_t"), F.max("_t"), F.count("*")).first()
+        bucket_us = max(1, -(-((span[1] or 0) - (span[0] or 0) + 1) // -(-max(span[2], 1) // PER_BUCKET)))
     mine = rows.withColumn("_t", micros(time)).withColumn("_row", F.lit(True))
     both = mine.unionByName(entry, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / bucket_us))
     edges = entry.groupBy(*by, F.floor(F.col("_t") / bucket_us).alias("_b")).agg(F.max("_k").alias("_last"), F.min("_k").alias("_first"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ def fold_groups(images: DataFrame, tile: int = 256) -> DataFrame:
     return images.join(parts, "image_id", "left").withColumn("component", F.coalesce("component", "image_id"))
 
 
-def sequential_mosaic(images: DataFrame, tile: int = 256, align: bool = True) -> DataFrame:
+def sequential_mosaic(images: DataFrame, tile: int = 256, align: bool = True, aligner: Callable[[np.ndarray, np.ndarray], np.ndarray] = kernels.align) -> DataFrame:
     """Aligns each image with what earlier ones (by ``order``) wrote in its window, and blends it in.
 
     images: image_id, order, window (x_off, y_off, x_size, y_size) in the mosaic, rows, columns, bands,
@@ -30,6 +31,9 @@ def sequential_mosaic(images: DataFrame, tile: int = 256, align: bool = True) ->
     windows (search zones), and where nothing lies there their code is ``dst_dark_frame``. Without
     that column an image that meets nothing is drawn as it stands, to begin a mosaic.
 
+    ``aligner`` gives the homography of an image onto its window, or raises ``kernels.ImageError`` with a
+    return code.
+
     Image i depends on what images before it wrote, so a group of overlapping images is one
     ordered fold; separate groups run in parallel. A dense flight is one group and so one task,
     whose memory is the mosaic crop of that group: the step is sequential by its nature.
@@ -54,7 +58,7 @@ def sequential_mosaic(images: DataFrame, tile: int = 256, align: bool = True) ->
             window = canvas[y : y + h, x : x + w]
             try:
                 if align and not (strict and r.known == 0) and (strict or window.any()):
-                    warped = kernels.warp(image, kernels.align(image, window), h, w)
+                    warped = kernels.warp(image, aligner(image, window), h, w)
                 else:
                     warped = kernels.resize(image, h, w)
                 canvas[y : y + h, x : x + w] = kernels.blended(warped, window)
