@@ -1,5 +1,5 @@
 """Connected components and lineage cuts, as the rest of the library has them."""
 
-from ..operators.graph import components, cut
+from ..operators.graph import components, cut, discard
 
-__all__ = ["components", "cut"]
+__all__ = ["components", "cut", "discard"]
