@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skylattice.llm.components import cut, discard
 from skylattice.llm.decontamination import decontaminate
 from skylattice.llm.language_id import language_id
 from skylattice.llm.lexical_packing import lexical_packing
@@ -80,11 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written to the shared folder before the next."""
-    from skylattice.llm.components import cut
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order, each written to the shared folder before the next and removed after it."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = cut(docs) if i + 1 < len(STAGES) else docs
+        if i + 1 < len(STAGES):
+            docs = cut(docs)
+            if held is not None:
+                discard(held)
+            held = docs
     return docs
