@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from . import textops as T
 from .components import cut
@@ -21,80 +22,68 @@ from .components import cut
 SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 END = 1
 K1, SATURATION_B = 1.2, 0.75
-#: A space that a pre-token can begin with; cutting there never changes what is merged.
-CUT = re.compile(r" (?=\S)")
-#: A space that no word follows.
-ODD_SPACE = re.compile(r" (?:\s|$)")
-#: Marks that often end a word.
-MARKS = ".,;:!?*#&%$)|"
 #: Topics: at most so many seeds, four a shard, each known by its best terms.
 TOPICS, TOPIC_TERMS = 1024, 64
 #: Documents read for each border between two shards.
 BORDER_SAMPLE = 32
 #: Neighbours that are put in order at once.
 AT_ONCE = 64
-#: Encoded words kept by a Python worker.
-CACHE_WORDS = 400_000
-_encoders: dict[str, Encoder] = {}
+#: How byte-level tokenizers split a text before merging.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_ranks(spec: dict) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Ranks of the pieces, and special strings, of a tokenizer file, if it is plain byte-level BPE whose
+    ids come in the order of its merges, so that merging by ranks gives the same ids."""
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if [model["vocab"][t] for t in merged] != list(range(256, 256 + len(merged))):
+        return None
+    # the alphabet of such files: printable bytes stand for themselves, the others follow from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}, special
 
 
 class Encoder:
-    """Token ids of texts. The words of a text are looked up in, or added to, a bounded cache."""
+    """Token ids of whole texts: by ``tokenizers``, or by ``tiktoken``, which takes a quarter of the
+    time, where the file is one whose ids are ranks (``byte_ranks``)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        """known: a word's number; its ids are flat[ends[number - 1]:ends[number]]."""
-        self.known: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def numbers(self, names: list[str]) -> np.ndarray:
-        """Numbers of the words, from 1; new ones are encoded and kept."""
-        known = self.known
-        new = [w for w in names if w not in known]
-        if new:
-            new = list(dict.fromkeys(new))
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            known.update(zip(new, range(len(self.ends), len(self.ends) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.size = max(max(spec["model"]["vocab"].values()), *(t["id"] for t in spec["added_tokens"]), END) + 1
+        ranks = byte_ranks(spec)
+        self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks[0], special_tokens=ranks[1]) if ranks else None
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    @property
+    def kind(self) -> str:
+        return "<u2" if self.size <= 1 << 16 else "<u4"
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if any(x in text for x in self.fast.special_tokens_set):
+            return self.fast.encode(text, allowed_special="all")
+        return self.fast.encode_ordinary(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by END, and the offset of each text."""
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
-        words, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            parts = CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
-            words += parts
-            counts[i] = len(parts)
-        first = np.cumsum(counts) - counts
-        # the first word of a text has no space before it; every text has one part at least
-        coded = pc.dictionary_encode(pa.array(words, pa.large_string()))
-        index, entries = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        bare, place = np.unique(index[first], return_inverse=True)
-        names = [" " + w for w in entries] + [entries[i] for i in bare]
-        index[first] = len(entries) + place
-        # marks after a letter or digit are pre-tokens of their own, so far fewer words are new
-        cores = [w.rstrip(MARKS) for w in names]
-        cores = [k if k and k[-1].isalnum() else w for k, w in zip(cores, names, strict=True)]
-        tails = [w[len(k) :] for k, w in zip(cores, names, strict=True)]
-        number = np.stack([self.numbers(cores), self.numbers(tails)], 1)[index].ravel()
-        begin, per_part = self.ends[number - 1], self.ends[number] - self.ends[number - 1]
-        per_word = per_part.reshape(-1, 2).sum(1)
-        before = np.cumsum(per_part) - per_part
-        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(np.append(per_word, 0), first) + 1)]) if len(texts) else np.zeros(1, np.int64)
-        # a word's ids start after those of all words before it and one END per text before it
-        out, step = np.full(offsets[-1], END, np.uint32), np.arange(per_word.sum())
-        out[np.repeat(np.repeat(np.arange(len(texts)), counts), per_word) + step] = self.flat[np.repeat(begin - before, per_part) + step]
-        return out, offsets
+        found = [np.array([*self.ids(text), END], self.kind) for text in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+        return np.concatenate([np.zeros(0, self.kind), *found]), offsets
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -108,6 +97,14 @@ def forget_encoders() -> None:
     _encoders.clear()
 
 
+def terms(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, frequency) of each distinct term of each document, by document and term."""
+    n, sizes = len(offsets) - 1, np.diff(offsets)
+    wide, bits = (np.uint32, 16) if ids.dtype.itemsize == 2 and n <= 1 << 16 else (np.uint64, 32)
+    pairs, tf = np.unique((np.repeat(np.arange(n, dtype=wide), sizes) << wide(bits)) | ids.astype(wide), return_counts=True)
+    return (pairs >> wide(bits)).astype(np.int64), (pairs & wide((1 << bits) - 1)).astype(np.int64), tf
+
+
 @dataclass
 class Corpus:
     """What BM25 needs of all documents: their number, mean length and document frequencies."""
@@ -118,10 +115,9 @@ class Corpus:
 
     def weights(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, BM25 weight) of each distinct term of each document, by document and term."""
-        n, sizes = len(offsets) - 1, np.diff(offsets)
-        pairs, tf = np.unique((np.repeat(np.arange(n), sizes) << 32) + ids.astype(np.int64), return_counts=True)
-        doc, term = pairs >> 32, pairs & 0xFFFFFFFF
-        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+        doc, term, tf = terms(ids, offsets)
+        sizes, idf = np.diff(offsets), np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+        idf[END : END + 1] = 0  # every document ends with it
         norm = K1 * (1 - SATURATION_B + SATURATION_B * sizes / max(self.mean, 1))
         return doc, term, (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
 
@@ -169,10 +165,11 @@ def routes(corpus: Corpus, topics: Topics | None, ids: np.ndarray, offsets: np.n
     n = len(offsets) - 1
     doc, term, weight = corpus.weights(ids, offsets)
     out = topics.of(doc, term, weight, n) if topics else np.zeros(n, np.int64)
-    by = np.lexsort([-np.where(corpus.df[term] > 1, weight, -1), doc])
-    first = np.searchsorted(doc, np.arange(n + 1))
-    for j in range(2):
-        out = (out << 18) | (term[by][np.minimum(first[:-1] + j, first[1:] - 1)] & 0x3FFFF)
+    value, starts = np.where(corpus.df[term] > 1, weight, -1), np.searchsorted(doc, np.arange(n))
+    for _ in range(2):
+        best = np.flatnonzero(value == np.maximum.reduceat(value, starts)[doc]) if n else starts
+        best = best[np.unique(doc[best], return_index=True)[1]]  # the first of equal ones
+        out, value[best] = (out << 18) | (term[best] & 0x3FFFF), -2
     return (out << 17) | (salt & 0x1FFFF)
 
 
@@ -219,8 +216,10 @@ def falling(score: np.ndarray, unused: np.ndarray) -> Iterator[int]:
 def pack(ids: np.ndarray, offsets: np.ndarray, window: int, corpus: Corpus) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece.
 
-    A seed opens a window; its unused neighbours by falling score fill it, and the one that
-    doesn't fit is cut there and becomes the next seed. Only a shard's last window is padded.
+    A seed opens a window; its unused neighbours, those with a term of its, fill it by falling score,
+    and the one that doesn't fit is cut there and becomes the next seed. If no neighbour is left,
+    the next unused document in the shard's order is a seed that goes on with the window. Only a
+    shard's last window is padded.
     """
     shard, sizes = Shard(ids, offsets, corpus), np.diff(offsets)
     unused = np.ones(len(sizes), bool)
@@ -242,7 +241,8 @@ def pack(ids: np.ndarray, offsets: np.ndarray, window: int, corpus: Corpus) -> I
         carried, seed = seed, -1
         if not filled or not left:
             continue
-        for d in falling(shard.scores(carried), unused.copy()):
+        score = shard.scores(carried)
+        for d in falling(score, unused & (score > 0)):
             unused[d], left = False, left - 1
             room = window - filled
             if sizes[d] > room:
@@ -256,10 +256,10 @@ def pack(ids: np.ndarray, offsets: np.ndarray, window: int, corpus: Corpus) -> I
                 break
 
 
-def held(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def held(table: pa.Table | pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids and offsets of the encoded documents of a table."""
-    parts = table["ids"].to_pylist()
-    return np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
+    parts, width = table["ids"].to_pylist(), np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), kind), np.concatenate([[0], np.cumsum([len(p) // width for p in parts], dtype=np.int64)])
 
 
 def few(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -271,7 +271,7 @@ def few(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.R
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids (4 bytes each), bytes of text, and a salt that differs from row to row."""
+    """doc_id, ids (2 or 4 bytes each), bytes of text, and a salt that differs from row to row."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("bytes", pa.int64()), ("salt", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,30 +280,28 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             for rows, _, places in T.blocks(np.arange(batch.num_rows), batch["text"], 1 << 20):
                 part = batch.slice(int(rows[0]), len(rows))
                 ids, offsets = encoder(tokenizer).encode(part["text"].fill_null("").to_pylist())
-                raw, cuts = memoryview(ids.astype("<u4")).cast("B"), (4 * offsets).tolist()
+                raw, cuts = memoryview(ids).cast("B"), (ids.itemsize * offsets).tolist()
                 salt = (T.mix(np.arange(row + 1, row + 1 + len(rows)).astype(T.U64)) >> T.U64(1)).astype(np.int64)
                 row += len(rows)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array(np.diff(places)), pa.array(salt)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, ids binary, bytes long, salt long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.lean(task), "doc_id long, ids binary, bytes long, salt long")
 
 
-def counted(docs: DataFrame) -> tuple[Corpus, int]:
+def counted(docs: DataFrame, kind: str) -> tuple[Corpus, int]:
     """Document frequencies and lengths of all encoded documents, and their bytes of text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for batch in few(batches):
-            ids, offsets = held(batch)
-            pairs = np.unique((np.repeat(np.arange(batch.num_rows), np.diff(offsets)) << 32) + ids.astype(np.int64))
-            more = np.bincount(pairs & 0xFFFFFFFF)
+            more = np.bincount(terms(*held(batch, kind))[1])
             n, more = (n, more) if len(n) >= len(more) else (more, n)
             n[: len(more)] += more
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["term", "n"])
 
-    total = docs.agg(F.count("*").alias("n"), F.sum(F.length("ids") / 4).alias("tokens"), F.sum("bytes").alias("bytes")).first()
-    rows = docs.select("ids").mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most the tokenizer's terms
+    total = docs.agg(F.count("*").alias("n"), F.sum(F.length("ids") / np.dtype(kind).itemsize).alias("tokens"), F.sum("bytes").alias("bytes")).first()
+    rows = docs.select("ids").mapInArrow(T.lean(task), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most the tokenizer's terms
     df = np.zeros(max((r["term"] for r in rows), default=0) + 1)
     for r in rows:
         df[r["term"]] = r["n"]
@@ -317,8 +315,8 @@ def drawn(docs: DataFrame, share: float) -> DataFrame:
 def lexical_packing(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, shard_bytes: int = 4 << 20) -> DataFrame:
     """Pack all documents into sequences of ``window`` tokens, neighbours by BM25 together.
 
-    A document is its ids by ``tokenizer`` and then id 1; null text is empty, so it is one piece
-    of that id. Document frequencies and the mean length are those of all documents. Documents
+    A document is its ids by ``tokenizer`` (a file of the tokenizers library) and then id 1; null
+    text is empty, so it is one piece of that id; very long texts are encoded whole. Document frequencies and the mean length are those of all documents. Documents
     are dealt to shards of about ``shard_bytes`` of text by what they are about, wherever in the
     input they stand: by topic, best terms and a salt (``routes``), with borders from a sample.
     A task holds the index and ids of one shard, and neighbours are looked for in the shard,
@@ -326,7 +324,8 @@ def lexical_packing(docs: DataFrame, tokenizer: str | None = None, window: int =
     shard is padded.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, one row per piece.
-    Repeated rows are separate documents; a null doc_id stays null; other columns are ignored.
+    Repeated rows are separate documents; equal scores fall to the document first in the shard's
+    order; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -334,8 +333,9 @@ def lexical_packing(docs: DataFrame, tokenizer: str | None = None, window: int =
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
 
     kinds = ", ".join(f"{f.name} long" for f in SCHEMA)
+    kind = encoder(tokenizer).kind
     docs = cut(encoded(docs, tokenizer))
-    corpus, size = counted(docs)
+    corpus, size = counted(docs, kind)
     if not corpus.n:
         return docs.sparkSession.createDataFrame([], kinds)
     n_shards = max(1, -(-size // shard_bytes))
@@ -343,7 +343,7 @@ def lexical_packing(docs: DataFrame, tokenizer: str | None = None, window: int =
 
     def best_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
-            doc, term, weight = shared.value.weights(*held(batch))
+            doc, term, weight = shared.value.weights(*held(batch, kind))
             by = np.lexsort([-weight, doc])
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             best = [by[a : min(a + TOPIC_TERMS, b)] for a, b in zip(ends[:-1], ends[1:])]
@@ -351,12 +351,12 @@ def lexical_packing(docs: DataFrame, tokenizer: str | None = None, window: int =
 
     topics = None
     if n_shards > 1:
-        seeds = sorted(drawn(docs, min(max(4 * n_shards, 64), TOPICS) / corpus.n).mapInArrow(best_terms, "salt long, terms binary, weights binary").collect())
+        seeds = sorted(drawn(docs, min(max(4 * n_shards, 64), TOPICS) / corpus.n).mapInArrow(T.lean(best_terms), "salt long, terms binary, weights binary").collect())
         topics = Topics.new(corpus, [(np.frombuffer(r["terms"], np.int64), np.frombuffer(r["weights"], np.float32)) for r in seeds[:TOPICS]]) if seeds else None
     topics = docs.sparkSession.sparkContext.broadcast(topics)
 
     def route(batch: pa.RecordBatch) -> np.ndarray:
-        return routes(shared.value, topics.value, *held(batch), batch["salt"].to_numpy())
+        return routes(shared.value, topics.value, *held(batch, kind), batch["salt"].to_numpy())
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
@@ -364,7 +364,7 @@ def lexical_packing(docs: DataFrame, tokenizer: str | None = None, window: int =
 
     borders = np.zeros(0, np.int64)
     if n_shards > 1:
-        sample = np.array(sorted(drawn(docs, BORDER_SAMPLE * n_shards / corpus.n).mapInArrow(sampled, "route long, bytes long").collect()), np.int64).reshape(-1, 2)
+        sample = np.array(sorted(drawn(docs, BORDER_SAMPLE * n_shards / corpus.n).mapInArrow(T.lean(sampled), "route long, bytes long").collect()), np.int64).reshape(-1, 2)
         reach = np.cumsum(sample[:, 1])
         if len(sample):
             borders = np.unique(sample[np.searchsorted(reach, reach[-1] * np.arange(1, n_shards) / n_shards), 0])
@@ -384,14 +384,15 @@ def lexical_packing(docs: DataFrame, tokenizer: str | None = None, window: int =
         for own_part in np.unique(part):
             own_rows = np.flatnonzero(part == own_part)
             piece = table.slice(int(own_rows[0]), len(own_rows))
-            ids, offsets = held(piece)
+            ids, offsets = held(piece, kind)
             doc, start, length, own, offset = np.array(list(pack(ids, offsets, window, shared.value)), np.int64).reshape(-1, 5).T
-            data, at = memoryview(ids).cast("B"), offsets[doc] + start
+            data, at = memoryview(ids.astype("<u4")).cast("B"), offsets[doc] + start
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
             columns = [piece["doc_id"].combine_chunks().take(pa.array(doc)), start, length, np.array(crc, np.int64), np.diff(offsets)[doc], sequence + own, offset]
             sequence += int(own[-1]) + 1
             out.append(pa.Table.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in columns], schema=SCHEMA))
+        T.release()
         return pa.concat_tables(out)
 
-    rows = docs.mapInArrow(dealt, "shard long, route long, doc_id long, ids binary, bytes long, salt long")
+    rows = docs.mapInArrow(T.lean(dealt), "shard long, route long, doc_id long, ids binary, bytes long, salt long")
     return rows.groupBy("shard").applyInArrow(packed, kinds)
