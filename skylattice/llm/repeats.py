@@ -5,22 +5,27 @@ group, fixed-width keys of its tokens and sends them, sorted and made distinct p
 text, to the range of keys they fall into; the range answers each block about its own keys.
 Spark does the dealing both ways (groupBy and cogroup), NumPy the sorting inside a task. A key
 that many documents share costs one entry per block, not one per document, so no key range
-grows with the number of copies in a block.
+grows with the number of copies in a block. There are as many groups and ranges as the bytes of
+text ask for, so neither outgrows a task.
 
 Passes over the text:
 
-1. anchors: a window's anchor is its leftmost smallest k-token hash. Ranges answer which
-   anchors occur again anywhere. Equal windows have equal anchors, so windows without a
-   repeated anchor need no further work; this loses nothing.
-2. contexts: a repeated anchor's context is the whole path of tokens covered by its windows.
-   Where every occurrence of an anchor lies on the same path the path does not branch and one
-   entry stands for all its windows. Ranges answer whether an equal context stands earlier
-   and whether the anchor has other contexts (branches).
+1. anchors: a window's anchor is its leftmost smallest k-token hash. An anchor's context is the
+   whole path of tokens covered by its windows; with each anchor goes a 48-bit mark of its
+   context in the block, or of several. Ranges answer which anchors occur again anywhere, which
+   have several contexts (they branch), and which lie in very many blocks (they are hot).
+   Equal windows have equal anchors, so windows without a repeated anchor need no further
+   work; this loses nothing.
+2. contexts: where every occurrence of an anchor lies on the same path the path does not branch
+   and one entry stands for all its windows. Contexts go to ranges of their own hashes, which
+   answer whether an equal one stands earlier.
 3. windows: only for the first occurrence of each context of a branching anchor, window by
-   window (see ``edges``), or by another resolver of the branching contexts.
+   window (see ``edges``), or by another resolver for anchors that are not hot, whose contexts
+   can meet in one place.
 4. the caller's ``finish`` gets the covered token intervals of each block.
 
-Window identity is decided on two independent 64-bit hashes (anchor and context or window).
+Window identity is decided on two 64-bit hashes, of the anchor and of the context or window,
+which start from different hashes of each word.
 """
 
 from __future__ import annotations
@@ -37,18 +42,22 @@ from . import textops as T
 MESSAGE = "route int, grp int, blk int, payload binary"
 SCHEMA = pa.schema([("route", pa.int32()), ("grp", pa.int32()), ("blk", pa.int32()), ("payload", pa.binary())])
 NO_ID = np.iinfo(np.int64).max
+#: Bytes of text for each key range; a group of texts has a quarter of that.
+RANGE_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
 class Plan:
     """window: tokens of a window; k: tokens of an anchor; words: tokens are words, else bytes;
-    within: a repeat inside one document counts; block_bytes: text handled at once in a task."""
+    within: a repeat inside one document counts; block_bytes: text handled at once in a task;
+    hot_blocks: an anchor in more blocks is hot."""
 
     window: int
     k: int
     words: bool
     within: bool
     block_bytes: int
+    hot_blocks: int = 256
 
     @property
     def record(self) -> np.dtype:
@@ -75,11 +84,29 @@ class Block:
         self.lo, self.hi, at = T.anchors(short, windows, plan.window - plan.k + 1)
         self.anchor = self.hash_a.of(at, at + plan.k)
         self.tokens, self.at = tokens, at
+        self.path_hash = None
         self.doc = np.searchsorted(self.bounds, self.lo, "right") - 1
         self.distinct, self.inverse = np.unique(self.anchor, return_inverse=True)
 
     def hash_b(self) -> T.SpanHash:
-        return T.SpanHash(T.mix(self.tokens) if not self.plan.words else self.tokens, T.BASE_A)
+        if self.path_hash is None:
+            tokens = T.word_hashes(self.data, self.starts, self.ends, T.BASE_B) if self.plan.words else T.mix(self.tokens)
+            self.path_hash = T.SpanHash(tokens, T.BASE_A)
+        return self.path_hash
+
+    def context(self, which: np.ndarray) -> np.ndarray:
+        """Hash of the path around each of the anchors, and of the anchor's place in it."""
+        lo, hi = self.lo[which], self.hi[which]
+        return T.mix(self.hash_b().of(lo, hi + self.plan.window) + (self.at[which] - lo).astype(T.U64))
+
+    def marks(self) -> np.ndarray:
+        """For each distinct anchor 48 bits of its context here, or 0 for several."""
+        if not len(self.distinct):
+            return np.zeros(0, T.U64)
+        order = np.argsort(self.inverse, kind="stable")
+        own, first = self.context(order), np.searchsorted(self.inverse[order], np.arange(len(self.distinct)))
+        low, high = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+        return np.where(low == high, low | T.U64(1), T.U64(0)) & T.U64((1 << 48) - 1)
 
     def routes(self, keys: np.ndarray, n: int) -> np.ndarray:
         """Where the sorted keys of each of n key ranges start."""
@@ -100,10 +127,12 @@ class Block:
             out[cut[route] : cut[route + 1]] = bits.reshape(size, width)
         return out
 
-    def candidates(self, replies: dict, n: int) -> np.ndarray:
-        """Indexes of the anchors that occur more than once anywhere."""
+    def candidates(self, replies: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indexes of the anchors that occur more than once anywhere; which of these branch or are hot."""
         again = np.bincount(self.inverse, minlength=len(self.distinct)) > 1
-        return np.flatnonzero((again | self.heard(self.distinct, replies, n, 1)[:, 0])[self.inverse])
+        said = self.heard(self.distinct, replies, n, 3)
+        which = np.flatnonzero((again | said[:, 0])[self.inverse])
+        return which, said[self.inverse[which], 1], said[self.inverse[which], 2]
 
     def records(self, which: np.ndarray, hashes: np.ndarray, pos: np.ndarray) -> np.ndarray:
         out = np.empty(len(which), self.plan.record)
@@ -130,21 +159,19 @@ def later(records: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarr
     return out
 
 
-def contexts(block: Block, replies: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(candidate anchors, their context records, distinct first records, each one's index there)."""
-    which = block.candidates(replies, n)
-    lo, hi, at = block.lo[which], block.hi[which], block.at[which]
-    path = block.hash_b().of(lo, hi + block.plan.window)
-    hashes = T.mix(path + (at - lo).astype(T.U64))
-    records = block.records(which, hashes, lo)
+def contexts(block: Block, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context records of the anchors, distinct first records by hash, each one's index there)."""
+    records = block.records(which, block.context(which), block.lo[which])
     order, first = first_of(records)
     heads, place = np.unique(first, return_inverse=True)
-    index = np.empty(len(which), np.int64)
-    index[order] = place
-    return which, records, records[order][heads], index
+    by_hash = np.argsort(records["hash"][order][heads], kind="stable")
+    moved, index = np.empty(len(heads), np.int64), np.empty(len(which), np.int64)
+    moved[by_hash] = np.arange(len(heads))
+    index[order] = moved[place]
+    return records, records[order][heads[by_hash]], index
 
 
-def _answer(table: pa.Table, records: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> pa.Table:
+def _answer(table: pa.Table, sizes: np.ndarray, bits: np.ndarray) -> pa.Table:
     """Send each message's bits back to its block; blocks without a set bit hear nothing."""
     rows, at = [], 0
     for route, grp, blk, size in zip(*(table[c].to_pylist() for c in ("route", "grp", "blk")), sizes, strict=True):
@@ -184,51 +211,61 @@ def _blocks(plan: Plan, docs: pa.Table) -> Iterator[Block]:
         yield Block(plan, grp, blk, ids[i], ties[i], data, offsets)
 
 
-#: 48 bits of an anchor travel besides those of its key range; they only choose candidates.
-SHORT = np.dtype((np.void, 6))
+#: 48 bits of an anchor travel besides those of its key range, which only choose candidates, and 48
+#: of its context.
+SHORT = np.dtype((np.void, 12))
 
 
-def _short(keys: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view(SHORT).ravel()
+def _short(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    six = [np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6] for x in (keys, marks)]
+    return np.concatenate(six, 1).view(SHORT).ravel()
+
+
+def _long(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((2, len(raw), 8), np.uint8)
+    out[:, :, :6] = raw.view(np.uint8).reshape(-1, 2, 6).swapaxes(0, 1)
+    keys, marks = out.view("<u8").reshape(2, -1)
+    return keys, marks
 
 
 def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: tuple[Callable, Callable] | None = None) -> DataFrame:
     """``docs`` has doc_id and text; ``finish(block, intervals)`` yields Arrow tables by ``schema``.
 
-    branches: how pass 3 sends a branching context and how a range answers; edge by edge by default.
+    branches: how pass 3 sends a branching context of an anchor that isn't hot and how a range answers;
+    edge by edge by default.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     # md5-free tie-break: repeated ids with different texts get a stable order inside a group
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(4 * n)).cast("int").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    send_branches, answer_branches = branches or (edges, answer_edges)
 
     def send_anchors(docs: pa.Table) -> pa.Table:
         out = []
         for b in _blocks(plan, docs):
             b.index()
-            out += b.send(b.distinct, _short(b.distinct), n)
+            out += b.send(b.distinct, _short(b.distinct, b.marks()), n)
             del b
         T.release()
         return _messages(out)
 
     def answer_anchors(table: pa.Table) -> pa.Table:
         raw, sizes = _joined(table, SHORT)
-        keys = np.zeros((len(raw), 8), np.uint8)
-        keys[:, :6] = raw.view(np.uint8).reshape(-1, 6)
-        keys = keys.view("<u8").ravel()
+        keys, marks = _long(raw)
         order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        bits = np.zeros(len(keys), bool)
-        bits[order[1:][same]] = bits[order[:-1][same]] = True
-        return _answer(table, raw, sizes, bits)
+        first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        count = np.diff(np.append(first, len(keys)))
+        low, high = np.minimum.reduceat(marks[order], first), np.maximum.reduceat(marks[order], first)
+        bits = np.empty((len(keys), 3), bool)
+        bits[order] = np.repeat(np.stack([count > 1, (low == 0) | (low != high), count > plan.hot_blocks], 1), count, axis=0)
+        return _answer(table, sizes, bits)
 
     def send_contexts(docs: pa.Table, replies: pa.Table) -> pa.Table:
         heard, out = _replies(replies), []
         for b in _blocks(plan, docs):
             b.index()
-            heads = contexts(b, heard, n)[2]
-            out += b.send(heads["anchor"], heads, n)
+            heads = contexts(b, b.candidates(heard, n)[0])[1]
+            out += b.send(heads["hash"], heads, n)
             # what pass 1 said goes on to the same block of the next pass
             out += [(-1 - r, b.grp, b.blk, p) for r, p in heard.get(b.blk, ())]
             del b
@@ -239,16 +276,7 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
         if table["route"][0].as_py() < 0:
             return table
         records, sizes = _joined(table, plan.record)
-        order, first = first_of(records)
-        s = records[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s["anchor"][1:] != s["anchor"][:-1]
-        group = np.cumsum(new) - 1
-        head = np.zeros(len(s), bool)
-        head[first] = True
-        branching = np.empty(len(s), bool)
-        branching[order] = (np.bincount(group, weights=head) > 1)[group]
-        return _answer(table, records, sizes, np.stack([later(records, order, first), branching], 1))
+        return _answer(table, sizes, later(records, *first_of(records)))
 
     def send_rest(docs: pa.Table, replies: pa.Table) -> pa.Table:
         said, out = _replies(replies), []
@@ -256,16 +284,19 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
             b.index()
             first_pass = {b.blk: [(-1 - r, p) for r, p in said.get(b.blk, ()) if r < 0]}
             second = {b.blk: [(r, p) for r, p in said.get(b.blk, ()) if r >= 0]}
-            which, records, heads, index = contexts(b, first_pass, n)
-            bits = b.heard(heads["anchor"], second, n, 2)
+            which, branching, hot = b.candidates(first_pass, n)
+            records, heads, index = contexts(b, which)
             local = (records["doc"] > heads["doc"][index]) | (records["pos"] > heads["pos"][index])
-            whole = local | bits[index, 0]
+            whole = local | b.heard(heads["hash"], second, n, 1)[index, 0]
             # a context's first occurrence stands for it; ties of repeated rows send the same twice
-            rest = which[~whole & bits[index, 1]]
+            rest = ~whole & branching
+            by_edge = rest & (hot | (branches is None))
             covered = np.stack([b.lo[which[whole]], b.hi[which[whole]] + plan.window], 1).astype("<i4")
-            more, known = send_branches(b, rest, n)
+            more, known = edges(b, which[by_edge], n)
             covered = merged(np.concatenate([covered, known]))
             out += more
+            if branches is not None:
+                out += [(n + r, *m) for r, *m in branches[0](b, which[rest & ~by_edge], n)]
             if len(covered):
                 out.append((-1 - b.grp, b.grp, b.blk, covered.tobytes()))
             del b
@@ -273,7 +304,8 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
         return _messages(out)
 
     def answer_rest(table: pa.Table) -> pa.Table:
-        return table if table["route"][0].as_py() < 0 else answer_branches(table, plan)
+        route = table["route"][0].as_py()
+        return table if route < 0 else answer_edges(table, plan) if route < n else branches[1](table, plan)
 
     def last(docs: pa.Table, replies: pa.Table) -> pa.Table:
         said, out = _replies(replies), []

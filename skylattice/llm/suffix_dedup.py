@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import repeats
+from . import repeats, textops as T
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 #: Every COVER-th column of the aligned contexts is a cover sample.
@@ -22,11 +22,10 @@ def context_type(plan: repeats.Plan) -> np.dtype:
     return np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("start", "<i4"), ("left", "<u2"), ("windows", "<u2"), ("text", "u1", (width,))])
 
 
-def send_suffixes(block: repeats.Block, rest: np.ndarray, n: int) -> tuple[list, np.ndarray]:
+def send_suffixes(block: repeats.Block, rest: np.ndarray, n: int) -> list:
     """The bytes of each branching context, keyed by its anchor."""
-    nothing = np.zeros((0, 2), "<i4")
     if not len(rest):
-        return [], nothing
+        return []
     plan, rest = block.plan, rest[np.argsort(block.anchor[rest], kind="stable")]
     out = np.zeros(len(rest), context_type(plan))
     lo = block.lo[rest]
@@ -36,7 +35,7 @@ def send_suffixes(block: repeats.Block, rest: np.ndarray, n: int) -> tuple[list,
     step = np.arange(out["text"].shape[1])
     ends = (out["windows"].astype(np.int64) - 1 + plan.window)[:, None]
     out["text"] = block.data[np.minimum(lo[:, None] + step, len(block.data) - 1)] * (step < ends)
-    return block.send(out["anchor"], out, n), nothing
+    return block.send(out["anchor"], out, n)
 
 
 def packed(m: np.ndarray, start: int, n: int) -> list[np.ndarray]:
@@ -124,10 +123,11 @@ def answer_suffixes(table: pa.Table, plan: repeats.Plan) -> pa.Table:
         s = start[cut[i] : cut[i + 1]]
         if len(s):
             out.append((0, grp, blk, repeats.merged(np.stack([s, s + plan.window], 1)).tobytes()))
+    T.release()
     return repeats._messages(out)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 40) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 40, block_bytes: int = 1 << 20, hot_blocks: int = 256) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier (smaller
     doc_id, or the same document and an earlier start), overlaps included.
 
@@ -135,10 +135,14 @@ def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 40) -> DataFr
     bytes within the string). Buckets that hold a single suffix, or suffixes with one common
     context, need no sorting (``repeats``); the rest are sorted one bucket at a time, long ties
     by the ranks of cover samples computed before (``sort_buckets``). A task holds the contexts
-    of one key range, of 2 * length - anchor bytes each, never the corpus.
+    of one key range, of 2 * length - anchor bytes each, never the corpus. A bucket whose anchor
+    lies in more than ``hot_blocks`` blocks of text would outgrow a task; its strings are dealt one
+    by one by their hashes instead, each distinct one once a block.
 
-    Null text is empty. Strings never cross documents. Repeated rows (the same doc_id and text)
-    do not remove each other; rows without a doc_id come last. One row per input row.
+    Null text is empty; very long texts are read whole, each by one task. Strings never cross
+    documents. Repeated rows (the same doc_id and text) do not remove each other; rows without
+    a doc_id come last, and of equal strings in rows that tie the first place stays. One row per
+    input row, none for an empty table; other columns are ignored.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
     """
@@ -162,5 +166,5 @@ def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 40) -> DataFr
                 rows[c].append(v)
         return pa.table(rows, schema=SCHEMA)
 
-    plan = repeats.Plan(window=length, k=min(anchor, length), words=False, within=True, block_bytes=1 << 20)
+    plan = repeats.Plan(window=length, k=min(anchor, length), words=False, within=True, block_bytes=block_bytes, hot_blocks=hot_blocks)
     return repeats.find(docs.select("doc_id", "text"), plan, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", (send_suffixes, answer_suffixes))
