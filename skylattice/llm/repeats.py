@@ -42,6 +42,8 @@ from . import textops as T
 MESSAGE = "route int, grp int, blk int, payload binary"
 SCHEMA = pa.schema([("route", pa.int32()), ("grp", pa.int32()), ("blk", pa.int32()), ("payload", pa.binary())])
 NO_ID = np.iinfo(np.int64).max
+#: Tokens of the second hash of bytes.
+BYTE_TOKENS = T.mix(np.arange(1, 257).astype(T.U64))
 #: Bytes of text for each key range; a group of texts has a quarter of that.
 RANGE_BYTES = 16 << 20
 
@@ -77,20 +79,20 @@ class Block:
     def index(self) -> None:
         plan = self.plan
         tokens = T.word_hashes(self.data, self.starts, self.ends) if plan.words else self.data.astype(T.U64) + T.U64(1)
-        self.hash_a, n = T.SpanHash(tokens, T.BASE_B), np.diff(self.bounds) - plan.window + 1
-        short = (self.hash_a.every(plan.k) >> T.U64(32)).astype(np.uint32)
+        spans, n = T.SpanHash(tokens, T.BASE_B), np.diff(self.bounds) - plan.window + 1
+        del tokens
+        short = (spans.every(plan.k) >> T.U64(32)).astype(np.uint32)
         n = np.maximum(n, 0)
         windows = np.repeat(self.bounds[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         self.lo, self.hi, at = T.anchors(short, windows, plan.window - plan.k + 1)
-        self.anchor = self.hash_a.of(at, at + plan.k)
-        self.tokens, self.at = tokens, at
+        self.anchor, self.at = spans.of(at, at + plan.k), at
         self.path_hash = None
         self.doc = np.searchsorted(self.bounds, self.lo, "right") - 1
         self.distinct, self.inverse = np.unique(self.anchor, return_inverse=True)
 
     def hash_b(self) -> T.SpanHash:
         if self.path_hash is None:
-            tokens = T.word_hashes(self.data, self.starts, self.ends, T.BASE_B) if self.plan.words else T.mix(self.tokens)
+            tokens = T.word_hashes(self.data, self.starts, self.ends, T.BASE_B) if self.plan.words else BYTE_TOKENS[self.data]
             self.path_hash = T.SpanHash(tokens, T.BASE_A)
         return self.path_hash
 
@@ -198,6 +200,19 @@ def _replies(table: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
     return out
 
 
+def _bundle(replies: list[tuple[int, bytes]]) -> bytes:
+    """Replies (range, payload) as one payload: their number, ranges and lengths, then the payloads."""
+    head = np.array([len(replies), *(r for r, _ in replies), *(len(p) for _, p in replies)], "<i4")
+    return head.tobytes() + b"".join(p for _, p in replies)
+
+
+def _unbundle(data: bytes) -> list[tuple[int, bytes]]:
+    n = int(np.frombuffer(data, "<i4", 1)[0])
+    routes, sizes = np.frombuffer(data, "<i4", 2 * n, 4).reshape(2, n)
+    ends = 4 + 8 * n + np.cumsum(sizes)
+    return [(r, data[e - k : e]) for r, k, e in zip(routes.tolist(), sizes.tolist(), ends.tolist(), strict=True)]
+
+
 def _blocks(plan: Plan, docs: pa.Table) -> Iterator[Block]:
     if not docs.num_rows:
         return
@@ -266,8 +281,9 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
             b.index()
             heads = contexts(b, b.candidates(heard, n)[0])[1]
             out += b.send(heads["hash"], heads, n)
-            # what pass 1 said goes on to the same block of the next pass
-            out += [(-1 - r, b.grp, b.blk, p) for r, p in heard.get(b.blk, ())]
+            # what pass 1 said goes on to the same block of the next pass, as one message
+            if b.blk in heard:
+                out.append((-1 - b.grp, b.grp, b.blk, _bundle(heard[b.blk])))
             del b
         T.release()
         return _messages(out)
@@ -282,7 +298,7 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
         said, out = _replies(replies), []
         for b in _blocks(plan, docs):
             b.index()
-            first_pass = {b.blk: [(-1 - r, p) for r, p in said.get(b.blk, ()) if r < 0]}
+            first_pass = {b.blk: [x for r, p in said.get(b.blk, ()) if r < 0 for x in _unbundle(p)]}
             second = {b.blk: [(r, p) for r, p in said.get(b.blk, ()) if r >= 0]}
             which, branching, hot = b.candidates(first_pass, n)
             records, heads, index = contexts(b, which)
