@@ -181,6 +181,7 @@ def _answer(table: pa.Table, sizes: np.ndarray, bits: np.ndarray) -> pa.Table:
         at += size
         if part.any():
             rows.append((route, grp, blk, np.packbits(part).tobytes()))
+    T.release()
     return _messages(rows)
 
 
@@ -328,6 +329,8 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
         for b in _blocks(plan, docs):
             parts = [np.frombuffer(p, "<i4").reshape(-1, 2) for _, p in said.get(b.blk, ())]
             out.append(finish(b, merged(np.concatenate(parts)) if parts else np.zeros((0, 2), "<i4")))
+            del b
+        T.release()
         return pa.concat_tables(out) if out else finish(None, None)
 
     grouped = lambda df: df.groupBy("grp")

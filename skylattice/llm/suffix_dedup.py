@@ -127,7 +127,7 @@ def answer_suffixes(table: pa.Table, plan: repeats.Plan) -> pa.Table:
     return repeats._messages(out)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 40, block_bytes: int = 1 << 19, hot_blocks: int = 256) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 40, block_bytes: int = 1 << 18, hot_blocks: int = 256) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier (smaller
     doc_id, or the same document and an earlier start), overlaps included.
 
