@@ -1,5 +1,5 @@
-"""Connected components and lineage cuts, as the rest of the library has them."""
+"""Connected components, lineage cuts and the shared folder, as the rest of the library has them."""
 
-from ..operators.graph import components, cut, discard
+from ..operators.graph import components, cut, discard, shared_folder
 
-__all__ = ["components", "cut", "discard"]
+__all__ = ["components", "cut", "discard", "shared_folder"]

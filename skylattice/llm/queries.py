@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_trie import conversation_trie
 from .decontamination import decontaminate
 from .embedding_dedup import embedding_dedup
 from .language_id import language_id
 from .lexical_packing import lexical_packing
+from .lexical_search import lexical_search
 from .license_scan import SIZES, TEMPLATES, license_scan, size_of, template_words
 from .lm_scoring import lm_scores
 from .minhash_dedup import minhash_dedup
@@ -271,6 +273,80 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS uid, {TERMS_SQL} AS ts FROM documents
+), p AS (
+  SELECT doc_id, uid, len(ts) AS n, t, count(*) AS tf FROM (SELECT doc_id, uid, ts, unnest(ts) AS t FROM d) GROUP BY ALL
+), total AS (
+  SELECT count(*) FILTER (len(ts) > 0) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d
+), weight AS (
+  SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, total GROUP BY t, docs
+), item AS (
+  SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS t FROM benchmark WHERE item_id IS NOT NULL
+), score AS (
+  SELECT item_id, doc_id, uid, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM item JOIN p USING (t) JOIN weight USING (t), total GROUP BY item_id, doc_id, uid
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM score WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of an id's decimal digits, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, bit: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"""
+OP13_SQL = f"""
+WITH t AS (
+  SELECT conv_id, key, length, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS i FROM (
+    SELECT conv_id, turn, length(coalesce(text, '')) AS length, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key
+    FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC_SQL} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), held AS (
+  SELECT conv_id AS base, count(*) AS n FROM t GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, t.i AS depth, key, length FROM c JOIN t ON t.conv_id = c.base WHERE t.i <= h
+  UNION ALL
+  SELECT c.conv_id, t.i - h + least(h, coalesce(held.n, 0)), key, length FROM c JOIN t USING (conv_id) LEFT JOIN held USING (base) WHERE t.i > h
+), p AS (
+  SELECT conv_id, depth, length, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM c
+), node AS (
+  SELECT depth, path, min(conv_id) AS node, count(*) AS n_convs, (count(*) - 1) * any_value(length) AS saves FROM p GROUP BY depth, path
+), member AS (
+  SELECT p.conv_id, p.depth, node, n_convs, saves, p.depth = max(p.depth) OVER (PARTITION BY p.conv_id) AS ends FROM p JOIN node USING (depth, path)
+), link AS (
+  SELECT DISTINCT below.depth, below.node, above.node AS parent
+  FROM member AS below JOIN member AS above ON above.conv_id = below.conv_id AND above.depth = below.depth - 1
+), under AS (
+  SELECT DISTINCT top.depth, top.node, low.depth AS low_depth, low.node AS low_node, low.saves
+  FROM member AS top JOIN member AS low ON low.conv_id = top.conv_id AND low.depth >= top.depth
+), fork AS (
+  SELECT depth - 1 AS depth, parent AS node, count(*) AS n FROM link GROUP BY ALL
+), summed AS (
+  SELECT under.depth, under.node, count(*) FILTER (fork.n IS NULL) AS n_leaves, sum(saves) AS saved_tokens
+  FROM under LEFT JOIN fork ON fork.depth = low_depth AND fork.node = low_node GROUP BY ALL
+), ended AS (
+  SELECT depth, node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM member WHERE ends GROUP BY ALL
+)
+SELECT node.node AS conv_id, CAST(node.depth AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, coalesce(fork.n, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM node LEFT JOIN link USING (depth, node) LEFT JOIN fork USING (depth, node) JOIN summed USING (depth, node) LEFT JOIN ended USING (depth, node)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
@@ -282,6 +358,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_masked_lm_scoring": op8_masked_lm_scoring,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -292,4 +370,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
+    "op12_lexical_search": OP12_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
