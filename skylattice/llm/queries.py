@@ -15,6 +15,7 @@ from .lexical_search import lexical_search
 from .license_scan import SIZES, TEMPLATES, license_scan, size_of, template_words
 from .lm_scoring import lm_scores
 from .minhash_dedup import minhash_dedup
+from .personal_data import CUES, SCHEMES, personal_data
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .warc_fixity import audit, catalogue, damaged, warc_records
@@ -273,6 +274,46 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+RUN_SQL, GAP_SQL = r"[0-9]([\x20-]?[0-9])+", r"(\x20(number|no|nr))?[\x20.:#=]{0,3}"
+IBAN_SQL = r"[a-z]{2}[0-9]{2}((\x20[a-z0-9]{4}){2,7}(\x20[a-z0-9]{1,3})?|[a-z0-9]{11,30})"
+#: Kind, text, pattern, the part of a match that is the span, and its check.
+KIND_SQL = [
+    ("email", "t", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "m", "true"),
+    ("ip", "t", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "m", "len(list_filter(string_split(v, '.'), lambda x: len(ltrim(x, '0')) > 3 OR CAST('0' || substr(ltrim(x, '0'), 1, 4) AS INT) > 255)) = 0"),
+    ("card", "t", RUN_SQL, "m", "len(d) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse(d), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) ELSE 2 * CAST(x AS INT) - 9 * CAST(CAST(x AS INT) > 4 AS INT) END)) % 10 = 0"),
+    ("phone", "t", r"\+[0-9][\x20().0-9-]+[0-9]", "m", "len(d) BETWEEN 8 AND 15"),
+    ("address", "low", rf"({'|'.join(SCHEMES)})://[a-z0-9._~%!$&''()*+,;=:-]+@[a-z0-9-]+(\.[a-z0-9-]+)*", "m", "true"),
+    ("account", "low", rf"\b({'|'.join(CUES)}){GAP_SQL}{RUN_SQL}", rf"regexp_extract(m, '{RUN_SQL}$')", "len(d) BETWEEN 6 AND 17"),
+    ("iban", "low", rf"\biban{GAP_SQL}{IBAN_SQL}", f"CASE WHEN {{97}} THEN regexp_extract(m, '{IBAN_SQL}$') ELSE regexp_replace(regexp_extract(m, '{IBAN_SQL}$'), '\\x20[a-z0-9]+$', '') END", "{97}"),
+]
+CHECK_97 = r"list_reduce(list_concat([0], list_transform(string_split({0}[5:] || {0}[:4], ''), lambda x: ascii(x))), lambda r, x: CASE WHEN x < 58 THEN (r * 10 + x - 48) % 97 ELSE (r * 100 + x - 87) % 97 END) = 1"
+KIND_SQL[-1] = (*KIND_SQL[-1][:3], KIND_SQL[-1][3].replace("{97}", CHECK_97.format(f"replace(regexp_extract(m, '{IBAN_SQL}$'), ' ', '')")), CHECK_97.format("replace(v, ' ', '')"))
+OP11_SQL = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), found AS ({" UNION ALL ".join(f"""
+  SELECT uid, {i} AS k, '{kind}' AS kind, s + len(m) - len(regexp_extract(m, '{tail}')) AS a, v FROM (
+    SELECT uid, m, s, {value} AS v FROM (
+      SELECT uid, unnest(ms) AS m, unnest(list_transform(ms, lambda x, i: list_sum(list_transform(gaps[:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda y: len(y))), 0))) AS s
+      FROM (SELECT uid, regexp_extract_all({text}, '{pattern}') AS ms, string_split_regex({text}, '{pattern}') AS gaps FROM doc) WHERE len(ms) > 0))
+  WHERE {check.replace("(d)", "(regexp_replace(v, '[^0-9]', '', 'g'))")}""" for i, (kind, text, pattern, value, check) in enumerate(KIND_SQL) for tail in [{"account": RUN_SQL + "$", "iban": IBAN_SQL + "$"}.get(kind, "(?s).*")])}
+), one AS (
+  SELECT uid, k, a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + len(v) AS BIGINT) AS span FROM found
+), per_doc AS (
+  SELECT uid, {", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, kind in enumerate(("email", "ip", "card", "phone")))},
+         string_agg(span, ',' ORDER BY k, a) FILTER (k < 4) AS base, string_agg(span, ',' ORDER BY k, a) AS spans
+  FROM one GROUP BY uid
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in ("email", "ip", "card", "phone"))},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN per_doc USING (uid)
+"""
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -358,6 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_masked_lm_scoring": op8_masked_lm_scoring,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_personal_data": op11_personal_data,
     "op12_lexical_search": op12_lexical_search,
     "op13_conversation_trie": op13_conversation_trie,
 }
@@ -370,6 +412,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
+    "op11_personal_data": OP11_SQL,
     "op12_lexical_search": OP12_SQL,
     "op13_conversation_trie": OP13_SQL,
 }
