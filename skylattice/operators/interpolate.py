@@ -2,46 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows of a time bucket, on average.
 PER_BUCKET = 50_000
 
 
 def interpolate_at(rows: DataFrame, log: DataFrame, time: str, values: list[str], by: list[str] | None = None, bucket_us: int | None = None) -> DataFrame:
-    """``rows`` with each of ``values`` taken from ``log`` at ``time``, linearly between the nearest
-    log rows before (t_lo < t) and after (t_hi >= t). A null on either side, or no row on one
-    side, gives null; the very first log time gives its own value. Repeated log times count once.
+    """``interpolate_logs`` of a single log."""
+    return interpolate_logs(rows, [(log, values)], time, by, bucket_us)
 
-    The windows are partitioned by ``by`` and by time bucket, so no task orders the whole log; the
-    last and first log row of each bucket are carried across buckets over one row per bucket.
-    Without ``bucket_us`` buckets are so wide that they hold PER_BUCKET rows of both tables on average.
+
+def interpolate_logs(rows: DataFrame, logs: list[tuple[DataFrame, list[str]]], time: str, by: list[str] | None = None, bucket_us: int | None = None) -> DataFrame:
+    """``rows`` with the values of each log taken at ``time``, linearly between that log's nearest rows
+    before (t_lo < t) and after (t_hi >= t). A null on either side, or no row on one side, gives null;
+    the very first log time gives its own value. Of rows of one log at one time the least counts.
+
+    Rows and logs are united once and dealt by ``by`` and time bucket. There a running last value
+    goes forward and another one backward in time, each with a frame that ends at its row, so a
+    bucket costs two sorts and two passes whatever it holds. The first and last log rows of each
+    bucket are carried across buckets over one row a bucket. Without ``bucket_us`` buckets are so
+    wide that they hold PER_BUCKET rows of all tables on average.
     """
     by = by or []
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    entry = log.where(F.col(time).isNotNull()).select(*by, micros(time).alias("_t"), *values).dropDuplicates([*by, "_t"])
-    entry = entry.select(*by, "_t", F.struct("_t", *values).alias("_k"))
+    both = rows.withColumns({"_t": micros(time), "_row": F.lit(True)})
+    marks = [f"_k{j}" for j in range(len(logs))]
+    for mark, (log, values) in zip(marks, logs, strict=True):
+        entry = log.where(F.col(time).isNotNull()).withColumn("_t", micros(time)).select(*by, "_t", F.struct("_t", *values).alias(mark))
+        both = both.unionByName(entry, allowMissingColumns=True)
     if bucket_us is None:
-        span = entry.select("_t").unionByName(rows.select(micros(time).alias("_t"))).agg(F.min("_t"), F.max("_t"), F.count("*")).first()
-        bucket_us = max(1, -(-((span[1] or 0) - (span[0] or 0) + 1) // -(-max(span[2], 1) // PER_BUCKET)))
-    mine = rows.withColumn("_t", micros(time)).withColumn("_row", F.lit(True))
-    both = mine.unionByName(entry, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / bucket_us))
-    edges = entry.groupBy(*by, F.floor(F.col("_t") / bucket_us).alias("_b")).agg(F.max("_k").alias("_last"), F.min("_k").alias("_first"))
-    present = rows.select(*by, F.floor(micros(time) / bucket_us).alias("_b")).distinct()
-    edges = edges.join(present, [*by, "_b"], "full_outer")
-    across = Window.partitionBy(*by).orderBy("_b")
-    edges = edges.select(
-        *by, "_b", F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-    )
-    within = Window.partitionBy(*by, "_b").orderBy("_t")
-    both = both.withColumn("_lo", F.last("_k", ignorenulls=True).over(within.rangeBetween(Window.unboundedPreceding, -1)))
-    both = both.withColumn("_hi", F.first("_k", ignorenulls=True).over(within.rangeBetween(0, Window.unboundedFollowing)))
-    both = both.where("_row").join(edges, [*by, "_b"], "left")
-    both = both.withColumn("_lo", F.coalesce("_lo", "_before")).withColumn("_hi", F.coalesce("_hi", "_after"))
+        least, most, n = both.agg(F.min("_t"), F.max("_t"), F.count("_t")).first()
+        bucket_us = max(1, -(-((most or 0) - (least or 0) + 1) // -(-max(n, 1) // PER_BUCKET)))
+    # rows without a time meet no log: they stay spread as they are read
+    both = both.withColumn("_b", F.coalesce(F.floor(F.col("_t") / bucket_us), F.spark_partition_id() - F.lit(1 << 62)))
+
+    late = lambda mark, values: F.min(F.when(F.col(mark).isNotNull(), F.struct((-F.col("_t")).alias("_t"), *(F.col(f"{mark}.{v}").alias(v) for v in values))))
+    ends = both.where("_t is not null").groupBy(*by, "_b").agg(*(x for mark, (_, values) in zip(marks, logs, strict=True) for x in (F.min(mark).alias(f"{mark}f"), late(mark, values).alias(f"{mark}l"))))
+    ends = ends.withColumns({f"{m}l": F.when(F.col(f"{m}l").isNotNull(), F.col(f"{m}l").withField("_t", -F.col(f"{m}l._t"))) for m in marks})
+
+    def carried(name: str, order: list[Column], part: list[str], end: int) -> Column:
+        return F.last(name, ignorenulls=True).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end))
+
+    ends = ends.select(*by, "_b", *(carried(f"{m}l", [F.asc("_b")], by, -1).alias(f"{m}before") for m in marks), *(carried(f"{m}f", [F.desc("_b")], by, -1).alias(f"{m}after") for m in marks))
+    # at one time rows come before logs, and backward in time behind them, so t_lo < t <= t_hi
+    log_row = F.col("_row").isNull()
+    lo = {f"{m}lo": carried(m, [F.asc("_t"), log_row.asc(), *(F.desc(x) for x in marks)], [*by, "_b"], 0) for m in marks}
+    hi = {f"{m}hi": carried(m, [F.desc("_t"), log_row.desc(), *(F.desc(x) for x in marks)], [*by, "_b"], 0) for m in marks}
+    both = both.withColumns(lo).withColumns(hi).where("_row").join(ends, [*by, "_b"], "left")
+    both = both.withColumns({f"{m}{side}": F.coalesce(f"{m}{side}", f"{m}{other}") for m in marks for side, other in (("lo", "before"), ("hi", "after"))})
     out = []
-    for v in values:
-        lo, hi = F.col(f"_lo.{v}"), F.col(f"_hi.{v}")
-        between = lo + (hi - lo) / (F.col("_hi._t") - F.col("_lo._t")) * (F.col("_t") - F.col("_lo._t"))
-        out.append(F.when(F.col("_lo").isNull() & (F.col("_hi._t") == F.col("_t")), hi).otherwise(between).alias(v))
+    for m, (_, values) in zip(marks, logs, strict=True):
+        for v in values:
+            lo, hi = F.col(f"{m}lo.{v}"), F.col(f"{m}hi.{v}")
+            between = lo + (hi - lo) / (F.col(f"{m}hi._t") - F.col(f"{m}lo._t")) * (F.col("_t") - F.col(f"{m}lo._t"))
+            out.append(F.when(F.col(f"{m}lo").isNull() & (F.col(f"{m}hi._t") == F.col("_t")), hi).otherwise(between).alias(v))
     return both.select(*rows.columns, *out)

@@ -77,9 +77,7 @@ def metadata(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     imu = lg.imu_log(t["imu_log"]).withColumnRenamed("CurrTimestamp", "timestamp")
     gps = lg.gps_log(t["gps_log"]).withColumnRenamed("CurrTimestamp", "timestamp")
     shift = lambda df: df.withColumn("timestamp", F.expr(f"timestamp - make_dt_interval(0, 0, 0, {float(o['tz_offset_in_hr']) * 3600})"))
-    for log in (imu, gps):
-        values = [n for n, k in log.dtypes if k == "double"]
-        images = ip.interpolate_at(images, shift(log), "timestamp", values)
+    images = ip.interpolate_logs(images, [(shift(log), [n for n, k in log.dtypes if k == "double"]) for log in (imu, gps)], "timestamp")
     files = t["images"] if "file_id" in t["images"].columns else fs.select_files(t["images"])
     found = co.correlate(files, images.drop("filepath") if "filepath" in images.columns else images, tuple(o["patterns"]), o["unmatched"])
     return {"metadata": found.withColumnRenamed("file_id", "image_id")}

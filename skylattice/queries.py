@@ -203,8 +203,7 @@ FROM img JOIN h USING (image_id) JOIN g USING (image_id) WHERE h.v > 30 AND g.v
 def steady_images_in_order(t):
     """Images with interpolated altitude and gyro that pass both cuts, in capture order."""
     log = lambda kind, name: t("events").where(f"event_type = '{kind}'").select("ts", c("value").alias(name))
-    rows = ip.interpolate_at(images(t).select("image_id", "ts"), log("click", "mAltitude"), "ts", ["mAltitude"])
-    rows = ip.interpolate_at(rows, log("view", "imuGyroMag"), "ts", ["imuGyroMag"])
+    rows = ip.interpolate_logs(images(t).select("image_id", "ts"), [(log("click", "mAltitude"), ["mAltitude"]), (log("view", "imuGyroMag"), ["imuGyroMag"])], "ts")
     rows = od.ordered(rows.where(sc.altitude_filter(30) & sc.steady_filter(60)), ["ts"])
     return rounded(rows.select("image_id", "mAltitude", "imuGyroMag", "order"), "mAltitude", "imuGyroMag")
 
