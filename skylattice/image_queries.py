@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import dictionary, geo
-from .operators import kernels, mosaic as mo, sequential as sq
+from .operators import kernels, mosaic as mo, order as od, sequential as sq, tiles as ti
 from .operators.graph import shared_folder
 from .plans import batches, stages
 from .queries import GREY_SQL, M_SQL, ORACLE_SQL, PIX_SQL, QUERIES, RECT_SQL, contributions, grey, homographies, query, rects, rounded
@@ -67,6 +67,30 @@ def vec() -> Column:
     return F.regexp_extract("filepath", r"v(\d+)\.tif$", 1).cast("long")
 
 
+def scenes(t: Callable) -> DataFrame:
+    """Pictures (image_id, data: 96 x 112 bytes) of 42 images each, side by side and twice as large."""
+    held = grey(t).groupBy(F.floor(c("vec_id") / 42).alias("image_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "px"))).alias("parts")).where("size(parts) = 42")
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            grids = [np.array([list(x["px"]) for x in parts]).reshape(6, 7, 8, 8).swapaxes(1, 2).reshape(48, 56, 1) for parts in p["parts"]]
+            yield pd.DataFrame({"image_id": p["image_id"], "data": [kernels.resize(g.astype(float), 96, 112).round().astype(np.uint8).tobytes() for g in grids]})
+
+    return held.mapInPandas(task, "image_id long, data binary")
+
+
+def scene(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(96, 112, 1)
+
+
+SCENE_SQL = "SELECT vec_id // 42 AS image_id, (vec_id // 42) * 7 % 30 AS x, (vec_id // 42) * 5 % 20 AS y FROM embeddings GROUP BY 1 HAVING count(*) = 42"
+
+
+def shifted(t: Callable) -> DataFrame:
+    """The scenes, and for each a place (x, y) of a piece of it."""
+    return scenes(t).withColumns({"x": c("image_id") * 7 % 30, "y": c("image_id") * 5 % 20})
+
+
 # --- sources -------------------------------------------------------------------------------------
 
 
@@ -302,31 +326,15 @@ def i6_homography(t):
     return df.mapInPandas(task, "vec_id long, h array<double>")
 
 
-def scene(seed: int, h: int = 90, w: int = 110) -> np.ndarray:
-    """A textured image by seed: bright rectangles, softened."""
-    rng, image = np.random.default_rng(seed), np.full((h, w), 12.0)
-    for _ in range(60):
-        y, x, s = rng.integers(0, h - 12), rng.integers(0, w - 12), rng.integers(4, 12)
-        image[y : y + s, x : x + s] = rng.integers(60, 255)
-    return kernels.blur(image, 0.7)[..., None].repeat(3, 2)
-
-
-SHIFT_SQL = "s_suppkey AS image_id, s_suppkey * 7 % 30 AS x, s_suppkey * 5 % 20 AS y"
-
-
-def shifted(t: Callable) -> DataFrame:
-    return t("supplier").select(c("s_suppkey").cast("long").alias("image_id"), (c("s_suppkey") * 7 % 30).cast("long").alias("x"), (c("s_suppkey") * 5 % 20).cast("long").alias("y"))
-
-
-@query(f"SELECT image_id, x AS x_found, y AS y_found, 'success' AS code FROM (SELECT {SHIFT_SQL} FROM supplier)")
+@query(f"SELECT image_id, x AS x_found, y AS y_found, 'success' AS code FROM ({SCENE_SQL})")
 def i2_aligned(t):
-    """A crop of a scene by supplier is aligned with the whole; its place is found."""
+    """A piece of each scene is aligned with the whole; its place is found."""
 
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
             for r in p.itertuples():
-                whole = scene(r.image_id)
+                whole = scene(r.data).astype(float)
                 try:
                     m = kernels.align(whole[r.y : r.y + 65, r.x : r.x + 75], whole)
                     centre = m @ [37, 32, 1]  # of the crop
@@ -357,17 +365,17 @@ def i5_corners(t):
 
 
 def flight(t: Callable) -> DataFrame:
-    """Per supplier a training image, a crop of it whose search zone is the whole, a dark frame, and an
-    image in whose zone nothing lies; each supplier's place is apart from the others'."""
+    """Per scene a training image, a piece of it whose search zone is the whole, a dark frame, and an
+    image in whose zone nothing lies; each scene's place is apart from the others'."""
 
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
             for r in p.itertuples():
-                whole, off, i = scene(r.image_id).round().astype(np.uint8), 400 * r.image_id, 10 * r.image_id
+                whole, off, i = scene(r.data), 400 * r.image_id, 10 * r.image_id
                 piece = np.ascontiguousarray(whole[r.y : r.y + 65, r.x : r.x + 75])
                 for k, image, training, x in ((0, whole, True, off), (1, piece, False, off), (2, np.zeros_like(piece), False, off), (3, piece, False, off + 200)):
-                    out.append((i + k, k - 1, training, x, 0, 110, 90, *image.shape, image.tobytes()))
+                    out.append((i + k, k - 1, training, x, 0, 112, 96, *image.shape, image.tobytes()))
             yield pd.DataFrame(out, columns=["image_id", "order", "training", "x_off", "y_off", "x_size", "y_size", "rows", "columns", "bands", "data"])
 
     return shifted(t).mapInPandas(task, "image_id long, order long, training boolean, x_off long, y_off long, x_size long, y_size long, rows long, columns long, bands long, data binary")
@@ -375,7 +383,7 @@ def flight(t: Callable) -> DataFrame:
 
 FLIGHT_SQL = f"""SELECT 10 * image_id + k AS image_id, CASE k WHEN 2 THEN 'dark_frame' WHEN 3 THEN 'dst_dark_frame' ELSE 'success' END AS return_code,
   CASE k WHEN 0 THEN 400 * image_id WHEN 1 THEN 400 * image_id + x END AS x_off, CASE k WHEN 0 THEN 0 WHEN 1 THEN y END AS y_off
-FROM (SELECT {SHIFT_SQL} FROM supplier), range(0, 4) AS r(k)"""
+FROM ({SCENE_SQL}), range(0, 4) AS r(k)"""
 #: Places within a pixel of the true one count as it.
 NEAR = "CASE WHEN abs({0} - true_{0}) <= 1 THEN true_{0} ELSE {0} END"
 
@@ -406,18 +414,45 @@ def i11_referencer(t):
     """Successes are stored with bounds in metres and found again with them."""
     raster = {"x_min": 100.0, "y_max": 5000.0, "pixel_width": 2.0, "pixel_height": -2.0}
     df = placed(t).where("return_code = 'success' AND k = 1")
-    df = df.withColumns(geo.to_bounds(raster)).select(F.concat(F.lit("ref/"), c("image_id").cast("string"), F.lit(".tif")).alias("name"), c("y_size").alias("rows"), c("x_size").alias("columns"), F.lit(3).cast("long").alias("bands"), "data", *sinks.BOUNDS)
+    df = df.withColumns(geo.to_bounds(raster)).select(F.concat(F.lit("ref/"), c("image_id").cast("string"), F.lit(".tif")).alias("name"), c("y_size").alias("rows"), c("x_size").alias("columns"), F.lit(1).cast("long").alias("bands"), "data", *sinks.BOUNDS)
     folder = scratch(df)
     sinks.save_images(df, folder).agg(F.count("*")).collect()
     back = fs.geotiff_headers(df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder))
     return back.select(F.regexp_extract("filepath", r"(\d+)\.tif$", 1).cast("long").alias("image_id"), "x_min", "y_max", short().alias("file"))
 
 
+#: Images of two pixel sizes, whose bounds lie on a grid of two metres.
+PATCH = {"x_min": "CAST(vec_id * 7 % 57 * 2 AS DOUBLE)", "y_max": "CAST(400 - vec_id * 13 % 57 * 2 AS DOUBLE)", "pixel": "CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 2 END"}
+
+
+@query(f"""WITH {GREY_SQL}, patch AS (SELECT vec_id, px, {", ".join(f"{e} AS {n}" for n, e in PATCH.items())} FROM grey),
+edge AS (SELECT min(x_min) AS x0, max(y_max) AS y1 FROM patch),
+pix AS (
+  SELECT vec_id, (x_min - x0) / 2 + k % 8 AS x, (y1 - y_max) / 2 + k // 8 AS y, px[k + 1] AS r FROM patch, edge, range(0, 64) AS g(k) WHERE pixel = 2
+  UNION ALL
+  SELECT vec_id, (x_min - x0) / 2 + k % 4, (y1 - y_max) / 2 + k // 4, round_even((px[16 * (k // 4) + 2 * (k % 4) + 1] + px[16 * (k // 4) + 2 * (k % 4) + 2] + px[16 * (k // 4) + 2 * (k % 4) + 9] + px[16 * (k // 4) + 2 * (k % 4) + 10]) / 4.0, 0)
+  FROM patch, edge, range(0, 16) AS g(k) WHERE pixel = 1
+)
+SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(coalesce(arg_min(r, vec_id) FILTER (r > 0), 0) AS INT) AS r FROM pix GROUP BY ALL""")
+def i16_mosaic(t):
+    """Extent, pixel rectangles, resampling and blend of referenced images, as tiles, read back by pixel."""
+    df = images(t).select(c("vec_id").alias("image_id"), "vec_id", "rows", "columns", "bands", "data").selectExpr("*", *(f"{e} AS {n}" for n, e in PATCH.items()))
+    df = df.withColumns({"order": c("image_id"), "x_max": c("x_min") + 8 * c("pixel"), "y_min": c("y_max") - 8 * c("pixel")})
+    return ti.pixels_of(stages.mosaic_of(df, 32)[2], 32, ["r"])
+
+
+@query(f"WITH {PIX_SQL} SELECT x, y, CAST(coalesce(arg_min(v, ord) FILTER (v > 0), 0) AS INT) AS r FROM pix GROUP BY x, y")
+def i10_mosaic_update(t):
+    """Images that are known to fill their windows update a mosaic one after the other, in waves of cells."""
+    df = images(t).join(grey(t).select("vec_id", "label"), "vec_id").select(c("vec_id").alias("image_id"), c("vec_id"), "label", *(c(n) for n in ("rows", "columns", "bands", "data")))
+    df = od.ordered(df.select("image_id", "label"), ["label"]).select("image_id", "order").join(df, "image_id")
+    df = df.withColumns({"x_off": c("vec_id") * 7 % 57, "y_off": c("vec_id") * 13 % 57, "x_size": F.lit(8).cast("long"), "y_size": F.lit(8).cast("long")})
+    return ti.pixels_of(sq.sequential_tiles(df, 16, None)[1], 16, ["r"])
+
+
 @query("SELECT event_id AS image_id, o AS \"order\", value * 2 AS score, CASE WHEN o < (n + 1) // 2 THEN 0 ELSE 1 END AS run FROM (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS o, count(*) OVER () AS n FROM events)")
 def i15_batch_loop(t):
     """A run that does half of the rows, and one that goes on where it ended and does the rest."""
-    from .operators import order as od
-
     rows = od.ordered(t("events").select(c("event_id").alias("image_id"), "ts", "value"), ["ts"])
     path, half = scratch(rows), (rows.count() + 1) // 2
     score = lambda df: df.select("image_id", "order", (c("value") * 2).alias("score"))

@@ -10,14 +10,14 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo, predicate
-from ..operators import correlate as co, interpolate as ip, mosaic as mo, order as od, registrar as rg, scores as sc, sequential as sq
+from ..operators import correlate as co, interpolate as ip, mosaic as mo, order as od, registrar as rg, scores as sc, sequential as sq, tiles as ti
 from ..sources import files as fs, logs as lg, sinks
 
 #: Stage name to function of (spark, config); more can be registered.
 STAGES: dict[str, Callable[[SparkSession, dict], dict[str, DataFrame]]] = {}
 DEFAULTS = {
     "metadata_processor": {"tz_offset_in_hr": 5.0, "unmatched": "drop", "patterns": [], "use_cached_output": True},
-    "mosaicker": {"padding_fraction": 0.1, "crs": "EPSG:3857"},
+    "mosaicker": {"padding_fraction": 0.1, "crs": "EPSG:3857", "tile": 256},
     "sequential_mosaicker": {"altitude": 13000.0, "gyro": 0.075, "sensors": {0: 1, 1: 0, 2: 2}, "angles": {0: 30.0, 1: 0.0, 2: 30.0}, "tile": 256},
     "query_processor": {"condition": "image_id >= 0"},
     "base": {},
@@ -90,25 +90,32 @@ def contents(spark: SparkSession, config: dict, name: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(d["directory"]).join(found, "path", "left_semi")
 
 
-@stage("mosaicker")
-def mosaicker(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """Referenced image files, drawn on one grid in the order of their paths; first non-empty wins. The grid
-    is padded by a fraction of the largest image's diagonal."""
-    o, names = config["options"], config["options"].get("bands", ["r", "g", "b"])
-    images = fs.load_referenced(contents(spark, config, "images"), o["crs"], o.get("target_crs"))
-    images = od.ordered(images.where("x_min is not null"), [], "filepath").withColumn("image_id", F.col("order"))
+def mosaic_of(images: DataFrame, tile: int, padding: float = 0.0) -> tuple[DataFrame, dict, DataFrame]:
+    """(placed images, raster, its tiles) of images with bounds, on the grid of their common extent."""
     size = {"pixel_width": (F.col("x_max") - F.col("x_min")) / F.col("columns"), "pixel_height": (F.col("y_min") - F.col("y_max")) / F.col("rows")}
-    pad = geo.padding(F.col("x_min"), F.col("x_max"), F.col("y_min"), F.col("y_max"), float(o["padding_fraction"]))
-    images = images.withColumns(size).withColumn("padding", pad)
+    images = images.withColumns(size).withColumn("padding", geo.padding(F.col("x_min"), F.col("x_max"), F.col("y_min"), F.col("y_max"), padding))
     raster = mo.extent(images).first().asDict()
     placed = mo.pixel_rectangles(images, raster)
-    return {"footprints": placed.drop("data"), "mosaic": mo.blend(mo.resampled(placed, names), names), "raster": spark.createDataFrame([raster])}
+    return placed, raster, ti.merged(ti.pieces(placed, tile), tile)
+
+
+@stage("mosaicker")
+def mosaicker(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
+    """Referenced image files, drawn on one grid in the order of their paths; first non-empty wins. The grid
+    is padded by a fraction of the largest image's diagonal. The mosaic is a table of tiles."""
+    o = config["options"]
+    images = fs.load_referenced(contents(spark, config, "images"), o["crs"], o.get("target_crs")).where("x_min is not null")
+    paths = od.ordered(contents(spark, config, "images").select(F.col("path").alias("filepath")), [], "filepath")
+    images = images.join(paths, "filepath").withColumn("image_id", F.col("order"))
+    placed, raster, tiles = mosaic_of(images, o["tile"], float(o["padding_fraction"]))
+    return {"footprints": placed.drop("data"), "mosaic": tiles, "raster": spark.createDataFrame([raster])}
 
 
 @stage("sequential_mosaicker")
 def sequential(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     """Filters, registers and orders raw images, and aligns each, within its search zone, with the training
-    mosaic of the referenced images and what came before. Successes get bounds in metres."""
+    mosaic of the referenced images and what came before. Successes get bounds in metres; the mosaic is a
+    table of tiles."""
     t, o = inputs(spark, config), config["options"]
     model = rg.fit(t["referenced"])
     rows = t["metadata"].where(sc.altitude_filter(o["altitude"]) & sc.steady_filter(o["gyro"]))
@@ -119,9 +126,9 @@ def sequential(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     every = zone.withColumn("training", F.lit(False)).select(*box).unionByName(known.select(*box))
     raster = mo.extent(every.withColumns({"padding": F.lit(0.0), "pixel_width": F.lit(medians["pixel_width"]), "pixel_height": F.lit(medians["pixel_height"])})).first().asDict()
     placed = mo.pixel_rectangles(every, raster)
-    out = sq.sequential_mosaic(placed.join(t["pixels"], "image_id"), o["tile"])
+    out, tiles = sq.sequential_tiles(placed.join(t["pixels"], "image_id"), o["tile"])
     out = out.where(F.col("order") >= 0).withColumns(geo.to_bounds(raster))
-    return {"footprints": placed, "progress": out, "raster": spark.createDataFrame([raster])}
+    return {"footprints": placed, "progress": out, "mosaic": tiles, "raster": spark.createDataFrame([raster])}
 
 
 @stage("query_processor")

@@ -806,11 +806,6 @@ def i14_same_image(t):
     return s.select("vec_id", (c("score") > 0.99).alias("same"))
 
 
-@query(f"WITH {PIX_SQL} SELECT x, y, coalesce(arg_min(r, vec_id) FILTER (r > 0), 0) AS r, 255 AS alpha FROM pix GROUP BY x, y")
-def i16_mosaic(t):
-    return mo.blend(contributions(t).withColumn("order", c("vec_id")), ["r"])
-
-
 @query(REG_SQL + ' SELECT camera_num, count(*) AS n, round(avg(coalesce(mean_error, "mAltitude" * tan(radians(35.0)))), 3) AS spatial_error, round(avg(1.5 * coalesce(mean_error, "mAltitude" * tan(radians(35.0)))), 3) AS padding FROM rect LEFT JOIN err USING (camera_num) GROUP BY camera_num')
 def i18_registrar(t):
     rows = centred(t)

@@ -6,6 +6,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from skylattice.functions import dictionary
+from skylattice.operators import tiles
 from skylattice.plans import batches, stages
 from skylattice.sources import files as fs, logs as lg, sinks
 from skylattice.sources.tiff import encoded
@@ -197,7 +198,7 @@ def test_mosaic_stage_from_files(spark, tmp_path):
     (tmp_path / "img" / "plain.tif").write_bytes(encoded(full(1), 10, 10, 3))
     config = stages.merged({"options": stages.DEFAULTS["mosaicker"]}, {"stage": "mosaicker", "options": {"padding_fraction": 0.0}, "inputs": {"images": {"directory": str(tmp_path / "img"), "extension": r"\.tif"}}, "output": str(tmp_path / "out")})
     where = stages.run(spark, config)
-    got = {(r["x"], r["y"]): r["r"] for r in spark.read.parquet(where["mosaic"]).collect()}
+    got = {(r["x"], r["y"]): r["r"] for r in tiles.pixels_of(spark.read.parquet(where["mosaic"]), 256, ["r"]).collect()}
     assert len(got) == 150 and got[9, 0] == 40 and got[10, 9] == 90 and got[5, 5] == 40  # 2 m pixels: 15 x 10
     assert spark.read.parquet(where["footprints"]).count() == 2
     assert stages.run(spark, config | {"exists": "pass"}) == where
