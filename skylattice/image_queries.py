@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import dictionary, geo
-from .operators import kernels, mosaic as mo, order as od, sequential as sq, tiles as ti
+from .operators import features, kernels, mosaic as mo, order as od, sequential as sq, tiles as ti
 from .operators.graph import shared_folder
 from .plans import batches, stages
 from .queries import GREY_SQL, M_SQL, ORACLE_SQL, PIX_SQL, QUERIES, RECT_SQL, contributions, grey, homographies, query, rects, rounded
@@ -336,7 +336,7 @@ def i2_aligned(t):
             for r in p.itertuples():
                 whole = scene(r.data).astype(float)
                 try:
-                    m = kernels.align(whole[r.y : r.y + 65, r.x : r.x + 75], whole)
+                    m = features.align(whole[r.y : r.y + 65, r.x : r.x + 75], whole)
                     centre = m @ [37, 32, 1]  # of the crop
                     out.append((r.image_id, round(centre[0] / centre[2] - 37), round(centre[1] / centre[2] - 32), "success"))
                 except kernels.ImageError as e:
@@ -346,22 +346,28 @@ def i2_aligned(t):
     return shifted(t).mapInPandas(task, "image_id long, x_found long, y_found long, code string")
 
 
-@query("SELECT s_suppkey AS image_id, 4 AS n_corners FROM supplier")
-def i5_corners(t):
-    """A bright square on black, by supplier: corners are found within two pixels of its four."""
+@query(f"SELECT image_id, round(0.7 + image_id % 8 / 10.0, 1) AS scale, CAST((image_id % 7 - 3) * 10 AS DOUBLE) AS degrees FROM ({SCENE_SQL})")
+def i5_features(t):
+    """Each scene is turned and resized; features of both give the scale and direction back."""
 
     def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
             for r in p.itertuples():
-                m = np.zeros((60, 70))
-                m[12 + r.y : 27 + r.y, 12 + r.x : 30 + r.x] = 200
-                found = kernels.corners(m)[0]
-                real = np.array([(x, y) for x in (12 + r.x, 29 + r.x) for y in (12 + r.y, 26 + r.y)])
-                out.append((r.image_id, int((np.abs(found[:, None] - real[None]).max(2) <= 2).any(0).sum())))
-            yield pd.DataFrame(out, columns=["image_id", "n_corners"])
-
-    return shifted(t).mapInPandas(task, "image_id long, n_corners long")
+                whole, scale, angle = scene(r.data).astype(float), 0.7 + r.image_id % 8 / 10, np.radians((r.image_id % 7 - 3) * 10)
+                m = np.eye(3)
+                m[:2, :2] = scale * np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+                m[:2, 2] = [85, 80] - m[:2, :2] @ [56, 48]
+                (a, da), (b, db) = features.features(whole), features.features(kernels.warp(whole, m, 160, 170))
+                pair = features.matched(da, db)
+                found = kernels.consensus(a[pair[:, 0]], b[pair[:, 1]], 3.0)
+                turned = found @ np.array([[46.0, 48, 1], [66, 48, 1]]).T
+                (x, y) = np.diff(turned[:2] / turned[2], axis=1)[:, 0]
+                out.append((r.image_id, float(np.hypot(x, y) / 20), float(np.degrees(np.arctan2(y, x)))))
+            yield pd.DataFrame(out, columns=["image_id", "scale", "degrees"])
+
+    df = scenes(t).mapInPandas(task, "image_id long, scale double, degrees double")
+    return df.select("image_id", F.round("scale", 1).alias("scale"), (F.round(c("degrees") / 10) * 10 + F.lit(0.0)).alias("degrees"))
 
 
 def flight(t: Callable) -> DataFrame:

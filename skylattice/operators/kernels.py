@@ -94,65 +94,66 @@ def matches(a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray
     return np.stack([order, near[order]], 1)
 
 
+def normalised(points: np.ndarray) -> np.ndarray:
+    """The map of points to mean 0 and mean distance sqrt(2), as a 3 x 3 matrix."""
+    centre = points.mean(0)
+    s = np.sqrt(2) / max(np.hypot(*(points - centre).T).mean(), 1e-12)
+    return np.array([[s, 0, -s * centre[0]], [0, s, -s * centre[1]], [0, 0, 1]])
+
+
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """Direct linear transform of at least four point pairs, scaled to m[2, 2] = 1."""
-    x, y, (u, v), zero = src[:, 0], src[:, 1], dst.T, np.zeros(len(src))
-    one = np.ones(len(src))
+    """Direct linear transform of at least four point pairs, in normalised coordinates, scaled to m[2, 2] = 1."""
+    s, d = normalised(src), normalised(dst)
+    x, y = (src @ s[:2, :2] + s[:2, 2]).T
+    u, v = (dst @ d[:2, :2] + d[:2, 2]).T
+    one, zero = np.ones(len(src)), np.zeros(len(src))
     rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], 1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], 1)])
-    m = np.linalg.svd(rows)[2][-1].reshape(3, 3)
+    m = np.linalg.inv(d) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ s
     return m / m[2, 2]
 
 
+def through_four(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Homographies (n x 3 x 3) through four point pairs each (n x 4 x 2); those of degenerate fours are left out."""
+    (x, y), (u, v) = np.moveaxis(src, 2, 0), np.moveaxis(dst, 2, 0)
+    one, zero = np.ones_like(x), np.zeros_like(x)
+    rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], 2), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], 2)], 1)
+    scale = np.maximum(np.abs(rows).max(1, keepdims=True), 1e-12)  # of each unknown
+    with np.errstate(over="ignore", invalid="ignore"):
+        good = np.abs(np.linalg.det(rows / scale)) > 1e-9
+    h = np.linalg.solve((rows / scale)[good], np.concatenate([u, v], 1)[good][..., None])[..., 0] / scale[good][:, 0]
+    return np.concatenate([h, np.ones((len(h), 1))], 1).reshape(-1, 3, 3)
+
+
 def consensus(src: np.ndarray, dst: np.ndarray, pixels: float = 5.0, rounds: int = 500, seed: int = 0) -> np.ndarray:
-    """Homography with the most pairs within ``pixels``, refitted on them, and then, if there are enough,
-    on those within a fifth of that; seeded."""
-    rng, best = np.random.default_rng(seed), np.zeros(len(src), bool)
+    """Homography with the most pairs within ``pixels``, of those through ``rounds`` seeded fours, refitted on
+    them, and then, if there are enough, on those within a fifth of that."""
+    rng = np.random.default_rng(seed)
     if len(src) < 4:
         raise ImageError("opencv_err")
+    pick = rng.random((rounds, len(src))).argpartition(3, axis=1)[:, :4]
+    ones = np.concatenate([src, np.ones((len(src), 1))], 1)
 
     def within(m: np.ndarray, most: float) -> np.ndarray:
-        p = np.concatenate([src, np.ones((len(src), 1))], 1) @ m.T
+        p = ones @ m.swapaxes(-1, -2)
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.hypot(*(p[:, :2] / p[:, 2:] - dst).T) < most
+            return np.hypot(*np.moveaxis(p[..., :2] / p[..., 2:] - dst, -1, 0)) < most
 
-    for _ in range(rounds):
-        pick = rng.choice(len(src), 4, replace=False)
-        good = within(homography(src[pick], dst[pick]), pixels)
-        if good.sum() > best.sum():
-            best = good
+    found = through_four(src[pick], dst[pick])
+    good = within(found, pixels) if len(found) else np.zeros((1, len(src)), bool)
+    best = good[good.sum(1).argmax()]
     if best.sum() < 4:
         raise ImageError("linalg_err")
     m = homography(src[best], dst[best])
-    for most in (pixels / 2, pixels / 5):
+    for most in (pixels, pixels / 2, pixels / 5):
         good = within(m, most)
         if good.sum() >= 8:
             m = homography(src[good], dst[good])
     return m
 
 
-def align(src: np.ndarray, dst: np.ndarray, bright: int = 50, detector=corners) -> np.ndarray:
-    """Homography of src onto dst. Raises ImageError with the code of the first gate that fails."""
-    for image, code in ((src, "dark_frame"), (dst, "dst_dark_frame")):
-        if (image > 0.03 * 255).sum() < bright:
-            raise ImageError(code)
-    (a, da), (b, db) = detector(src), detector(dst)
-    if min(len(a), len(b)) < 4:
-        raise ImageError("opencv_err")
-    pair = matches(da, db)
-    m = consensus(a[pair[:, 0]], b[pair[:, 1]])
-    if not 0.6 < abs(np.linalg.det(m)) < 1.7:
-        raise ImageError("bad_det")
-    h, w = src.shape[:2]
-    p = np.array([[0, 0, 1], [w, 0, 1], [w, h, 1], [0, h, 1]]) @ m.T
-    p = p[:, :2] / p[:, 2:]
-    if (p < -1).any() or (p > [dst.shape[1] + 1, dst.shape[0] + 1]).any():
-        raise ImageError("out_of_bounds")
-    return m
-
-
 def blended(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """dst, with src where dst is empty."""
     return np.where((dst.sum(2) == 0)[..., None], src, dst)
 
 
-__all__ = ["ImageError", "align", "blended", "blur", "consensus", "corners", "homography", "matches", "reprojected", "resize", "sample", "warp"]
+__all__ = ["ImageError", "blended", "blur", "consensus", "corners", "homography", "matches", "reprojected", "resize", "sample", "warp"]

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import kernels, tiles as ti
+from . import features, kernels, tiles as ti
 from .graph import components, cut, discard
 from .mosaic import overlap_pairs
 
@@ -72,12 +72,12 @@ def runnable(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["image_id", "cell_x", "cell_y"])
 
 
-def sequential_mosaic(images: DataFrame, tile: int = 256, align: bool = True, aligner: Aligner = kernels.align) -> DataFrame:
+def sequential_mosaic(images: DataFrame, tile: int = 256, align: bool = True, aligner: Aligner = features.align) -> DataFrame:
     """The outcomes of ``sequential_tiles``."""
     return sequential_tiles(images, tile, aligner if align else None)[0]
 
 
-def sequential_tiles(images: DataFrame, tile: int = 256, aligner: Aligner | None = kernels.align) -> tuple[DataFrame, DataFrame]:
+def sequential_tiles(images: DataFrame, tile: int = 256, aligner: Aligner | None = features.align) -> tuple[DataFrame, DataFrame]:
     """Aligns each image with what earlier ones (by ``order``, then ``image_id``) wrote in its window, and
     blends it in: black pixels of the mosaic take the image's.
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo, predicate
-from skylattice.operators import correlate as co, interpolate as ip, kernels, mosaic as mo, order as od, registrar as rg, scores as sc, sequential as sq
+from skylattice.operators import correlate as co, features, interpolate as ip, kernels, mosaic as mo, order as od, registrar as rg, scores as sc, sequential as sq
 from skylattice.operators.graph import components
 
 RASTER = {"x_min": 0.0, "x_max": 100.0, "y_min": 0.0, "y_max": 80.0, "pixel_width": 0.5, "pixel_height": -0.5}
@@ -126,11 +126,11 @@ def scene(h=120, w=160, seed=3):
 
 def test_align_recovers_a_shift():
     full = scene()
-    m = kernels.align(full[20:100, 30:130], full)
+    m = features.align(full[20:100, 30:130], full)
     assert np.allclose(m[:2, 2], [30, 20], atol=1) and np.allclose(m[:2, :2], np.eye(2), atol=0.05)
     for src, dst, code in ((np.zeros((40, 40, 3)), full, "dark_frame"), (full, np.zeros((40, 40, 3)), "dst_dark_frame")):
         with pytest.raises(kernels.ImageError, match=code):
-            kernels.align(src, dst)
+            features.align(src, dst)
 
 
 def test_homography_and_resize():
