@@ -18,6 +18,7 @@ from .operators.graph import shared_folder
 from .plans import batches, stages
 from .queries import GREY_SQL, M_SQL, ORACLE_SQL, PIX_SQL, QUERIES, RECT_SQL, contributions, grey, homographies, query, rects, rounded
 from .sources import files as fs, sinks
+from .sources.tiff_source import register
 
 c = F.col
 _written: dict[tuple[str, int, str], str] = {}
@@ -159,6 +160,50 @@ def s13_reprojected_images(t):
     return rounded(rounded(df.join(sums, "vec_id"), "x_min", "x_max", "y_min", "y_max", digits=2), "column_sum", digits=0)
 
 
+def tiled(t: Callable) -> tuple[SparkSession, str]:
+    """The folder of the scenes' raw grids (48 x 56), as files of 16 x 16 tiles, LZW, with differences."""
+    held = grey(t).groupBy(F.floor(c("vec_id") / 42).alias("image_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "px"))).alias("parts")).where("size(parts) = 42")
+    at = lambda i: f"parts[int((i div 56) div 8) * 7 + int((i % 56) div 8)].px[int((i div 56) % 8) * 8 + int((i % 56) % 8)]".replace("i ", f"{i} ")
+    data = F.expr(f"unhex(array_join(transform(sequence(0, 48 * 56 - 1), i -> lpad(hex({at('i')}), 2, '0')), ''))")
+    size = {"rows": F.lit(48).cast("long"), "columns": F.lit(56).cast("long"), "bands": F.lit(1).cast("long")}
+    box = {"x_min": c("image_id") * 100.0, "x_max": c("image_id") * 100.0 + 112, "y_min": F.lit(0.0), "y_max": F.lit(96.0)}
+    df = held.select("image_id", F.concat(F.lit("scene"), c("image_id").cast("string"), F.lit(".tif")).alias("name"), data.alias("data")).withColumns(size | box)
+    folder = scratch(df)
+    sinks.save_images(df, folder, 16, "lzw", True).agg(F.sum("bytes")).collect()
+    register(df.sparkSession)
+    return df.sparkSession, folder
+
+
+def scene_id() -> Column:
+    return F.regexp_extract("filepath", r"scene(\d+)\.tif$", 1).cast("long").alias("image_id")
+
+
+@query(f"SELECT image_id, CAST(100 * image_id AS DOUBLE) AS x_min, CAST(96 AS DOUBLE) AS y_max, CAST(2 AS DOUBLE) AS pixel_width, 56 AS x_size, 48 AS y_size, 16 AS block_columns, true AS few_bytes FROM ({SCENE_SQL})")
+def s10_tiff_source(t):
+    """Headers through the data source: each file costs less than 64 kB, whatever it holds."""
+    spark, folder = tiled(t)
+    df = spark.read.format("tiff").load(folder)
+    return df.select(scene_id(), "x_min", "y_max", "pixel_width", "x_size", "y_size", "block_columns", (c("bytes_read") < 1 << 16).alias("few_bytes"))
+
+
+#: A window of the tiled scenes, and the tiles under it.
+WINDOW = (18, 5, 20, 14)
+
+
+@query(f"""WITH {GREY_SQL}, scene AS (SELECT image_id FROM ({SCENE_SQL}))
+SELECT image_id, x, y, px[y % 8 * 8 + x % 8 + 1] AS v FROM scene, range({WINDOW[0]}, {WINDOW[0] + WINDOW[2]}) AS a(x), range({WINDOW[1]}, {WINDOW[1] + WINDOW[3]}) AS b(y)
+JOIN grey ON vec_id = image_id * 42 + y // 8 * 7 + x // 8""")
+def s17_tiff_window(t):
+    """Only the tiles under a window of each file are read."""
+    spark, folder = tiled(t)
+    x, y, w, h = WINDOW
+    df = spark.read.format("tiff").option("rows", "blocks").option("window", f"{x},{y},{w},{h}").load(folder)
+    bytes_of = F.transform(F.sequence(F.lit(0), F.octet_length("data") - 1), lambda i: F.conv(F.hex(F.substr("data", i + 1, F.lit(1))), 16, 10).cast("int"))
+    df = df.select(scene_id(), "x_off", "y_off", "columns", F.posexplode(bytes_of).alias("i", "v"))
+    df = df.select("image_id", (c("x_off") + c("i") % c("columns")).alias("x"), (c("y_off") + F.floor(c("i") / c("columns"))).alias("y"), "v")
+    return df.where(c("x").between(x, x + w - 1) & c("y").between(y, y + h - 1))
+
+
 @query("SELECT event_id, event_type, value FROM events")
 def s15_csv_round_trip(t):
     df = t("events").select("event_id", "event_type", "value")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .tiff import Ranges, Tiff
+from .tiff_source import header
+
 
 def find_files(spark: SparkSession, directory: str) -> DataFrame:
     """All files below a directory; names only, no content is read. A missing directory is an error."""
@@ -99,61 +101,9 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-#: TIFF tags that are read: width, length, bits, compression, strip offsets, samples, rows per strip, strip sizes, planar
-#: configuration, model pixel scale, model tiepoint.
-WIDTH, LENGTH, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, SIZES, PLANAR, SCALE, TIEPOINT = 256, 257, 258, 259, 273, 277, 278, 279, 284, 33550, 33922
-TYPES = {1: "u1", 2: "S1", 3: "u2", 4: "u4", 5: "u8", 11: "f4", 12: "f8"}
-
-
-def tiff_tags(data: bytes) -> dict[int, np.ndarray]:
-    """Tags of the first directory of a classic TIFF; ValueError for anything else."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or np.frombuffer(data, f"{order}u2", 1, 2)[0] != 42:
-        raise ValueError("not a TIFF file")
-    at = int(np.frombuffer(data, f"{order}u4", 1, 4)[0])
-    tags = {}
-    for i in range(int(np.frombuffer(data, f"{order}u2", 1, at)[0])):
-        e = at + 2 + 12 * i
-        tag, kind = np.frombuffer(data, f"{order}u2", 2, e)
-        n = int(np.frombuffer(data, f"{order}u4", 1, e + 4)[0])
-        if int(kind) in TYPES:
-            t = np.dtype(TYPES[int(kind)]).newbyteorder(order)
-            where = e + 8 if t.itemsize * n <= 4 else int(np.frombuffer(data, f"{order}u4", 1, e + 8)[0])
-            tags[int(tag)] = np.frombuffer(data, t, n, where)
-    return tags
-
-
-def unpacked_bits(data: bytes) -> bytes:
-    """PackBits: a byte n below 128 and n + 1 bytes as they are, or one byte 257 - n times."""
-    out, i = bytearray(), 0
-    while i < len(data):
-        n = data[i]
-        if n < 128:
-            out += data[i + 1 : i + 2 + n]
-            i += 2 + n
-        else:
-            out += data[i + 1 : i + 2] * (257 - n if n > 128 else 0)
-            i += 2 if n > 128 else 1
-    return bytes(out)
-
-
-#: TIFF compression number: what makes bytes of a strip.
-STRIP_READERS = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpacked_bits}
-
-
 def tiff_pixels(data: bytes) -> np.ndarray:
-    """Pixels (rows, columns, bands) of a strip-organised TIFF: uncompressed, deflate or PackBits, with
-    bands side by side or plane by plane."""
-    tags = tiff_tags(data)
-    read = STRIP_READERS.get(int(tags.get(COMPRESSION, [1])[0]))
-    if read is None or int(tags.get(317, [1])[0]) != 1:
-        raise ValueError("TIFF files of this compression are not supported")
-    bands, bits = int(tags.get(SAMPLES, [1])[0]), int(tags.get(BITS, [8])[0])
-    raw = b"".join(read(data[o : o + n]) for o, n in zip(tags[STRIPS].tolist(), tags[SIZES].tolist(), strict=True))
-    kind, shape = np.dtype(f"u{bits // 8}").newbyteorder("<" if data[:2] == b"II" else ">"), (int(tags[LENGTH][0]), int(tags[WIDTH][0]))
-    planes = int(tags.get(PLANAR, [1])[0]) == 2
-    pixels = np.frombuffer(raw, kind).reshape((bands, *shape) if planes else (*shape, bands))
-    return (np.moveaxis(pixels, 0, 2) if planes else pixels).astype(f"u{bits // 8}")
+    """Pixels (rows, columns, bands) of a TIFF of strips or tiles."""
+    return Tiff(Ranges(data)).pixels()
 
 
 def rescaled(pixels: np.ndarray, kind: str) -> np.ndarray:
@@ -177,26 +127,20 @@ HEADER = "filepath string, x_min double, x_max double, y_min double, y_max doubl
 
 
 def geotiff_headers(files: DataFrame, padding_fraction: float = 0.1) -> DataFrame:
-    """Bounds, centre and padding of each image of a ``binaryFile`` table; an unreadable file is a row of nulls."""
+    """Bounds, centre and padding of each image of a ``binaryFile`` table, whose content is not read: tags come by
+    ranges of the file. An unreadable file, or one without a model, is a row of nulls."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in HEADER.split(", ")]
         for batch in batches:
-            rows = []
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    t = tiff_tags(data)
-                    (pw, ph), tie, w, h = t[SCALE][:2], t[TIEPOINT], int(t[WIDTH][0]), int(t[LENGTH][0])
-                    x, y = tie[3] - tie[0] * pw, tie[4] + tie[1] * ph
-                    rows.append((path, x, x + pw * w, y - ph * h, y, pw, -ph, 0.0, 0.0, w, h))
-                except (ValueError, KeyError, IndexError):
-                    rows.append((path, *[None] * 10))
+            rows = [header(path) for path in batch["path"]]
+            rows = [(r["filepath"], *(r.get(n) if "x_min" in r else None for n in names[1:7]), *((0.0, 0.0, r["x_size"], r["y_size"]) if "x_min" in r else [None] * 4)) for r in rows]
             yield pd.DataFrame(rows, columns=names).astype({"x_size": "Int64", "y_size": "Int64"})
 
     from ..functions import geo
 
     c = F.col
-    out = files.select("path", "content").mapInPandas(task, HEADER)
+    out = files.select("path").mapInPandas(task, HEADER)
     return out.withColumns({"x_center": geo.centre(c("x_min"), c("x_max")), "y_center": geo.centre(c("y_min"), c("y_max")), "padding": geo.padding(c("x_min"), c("x_max"), c("y_min"), c("y_max"), padding_fraction)})
 
 
@@ -238,14 +182,10 @@ def load_referenced(files: DataFrame, source: str = "EPSG:3857", target: str | N
         for batch in batches:
             rows = []
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                t, m = tiff_tags(data), rescaled(tiff_pixels(data), "u1")
-                bounds = [None] * 4
-                if SCALE in t and TIEPOINT in t:
-                    (pw, ph), tie = t[SCALE][:2], t[TIEPOINT]
-                    x, y = tie[3] - tie[0] * pw, tie[4] + tie[1] * ph
-                    bounds = [x, x + pw * m.shape[1], y - ph * m.shape[0], y]
-                    if target and target != source:
-                        m, bounds = kernels.reprojected(m, bounds, source, target)
+                t = Tiff(Ranges(data))
+                m, bounds = rescaled(t.pixels(), "u1"), t.bounds() or [None] * 4
+                if t.bounds() and target and target != source:
+                    m, bounds = kernels.reprojected(m, bounds, source, target)
                 rows.append((path, *m.shape, np.ascontiguousarray(m).tobytes(), *bounds))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in REFERENCED.split(", ")])
 

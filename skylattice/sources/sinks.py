@@ -66,10 +66,11 @@ def save_settings(settings: dict, path: str) -> None:
 BOUNDS = ("x_min", "x_max", "y_min", "y_max")
 
 
-def save_images(images: DataFrame, directory: str) -> DataFrame:
+def save_images(images: DataFrame, directory: str, tile: int | None = None, compression: str = "none", predictor: bool = False) -> DataFrame:
     """Writes pixels (name, rows, columns, bands, data: uint8) as TIFF files below a directory that all
-    executors share, with pixel size and place where the table has bounds; returns (name, path,
-    bytes) of what was written. Runs when it is read."""
+    executors share, with pixel size and place where the table has bounds; of one strip or of square
+    tiles, ``compression`` none, lzw or deflate. Returns (name, path, bytes) of what was written.
+    Runs when it is read."""
     own = [F.col(c).cast("double").alias(c) if c in images.columns else F.lit(None).cast("double").alias(c) for c in BOUNDS]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +80,7 @@ def save_images(images: DataFrame, directory: str) -> DataFrame:
             rows = []
             for r in batch.itertuples():
                 bounds = tuple(getattr(r, c) for c in BOUNDS)
-                data = encoded(r.data, r.rows, r.columns, r.bands, None if any(pd.isna(x) for x in bounds) else bounds)
+                data = encoded(r.data, r.rows, r.columns, r.bands, None if any(pd.isna(x) for x in bounds) else bounds, tile, compression, predictor)
                 write_file(f"{directory}/{r.name}", data)
                 rows.append((r.name, f"{directory}/{r.name}", len(data)))
             yield pd.DataFrame(rows, columns=["name", "path", "bytes"])
