@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geo import determinant, hypot
@@ -89,38 +86,6 @@ def geometric_differences(predicted: DataFrame, true: DataFrame, key: str = "ima
     return out.select(key, *(v.alias(k) for k, v in diff.items()), (0.5 * hypot(x, y)).alias("center_diff"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """For each query vector the nearest other row (Euclidean, to six digits), ties to the least key.
-
-    Queries and rows are dealt to blocks of about ``block``. A pair of blocks is a group of its own,
-    compared as matrices; it returns one row per query, and the best of all blocks is found by
-    an aggregation with partial results. Rows are sent once per block of queries.
-    """
-    side = lambda df, name: df.select(F.lit(name).alias("side"), F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("id is not null and v is not null")
-    q, r = side(queries, 0), side(rows, 1)
-    nq, nr = (-(-max(df.count(), 1) // block) for df in (q, r))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    both = q.withColumn("a", own(nq)).withColumn("b", every(nr)).unionByName(r.withColumn("a", every(nq)).withColumn("b", own(nr)))
-
-    def compare(table: pa.Table) -> pa.Table:
-        part = [table.filter(pc.equal(table["side"], k)).sort_by("id").combine_chunks() for k in (0, 1)]
-        out = {"src": [], "r": [], "dst": [], "distance": []}
-        if all(p.num_rows for p in part):
-            ids, flat = [p["id"].to_numpy() for p in part], [np.stack(p["v"].to_numpy(zero_copy_only=False)) for p in part]
-            for i, x in enumerate(flat[0]):
-                d = np.sqrt(((flat[1] - x) ** 2).sum(1))
-                d[ids[1] == ids[0][i]] = np.inf
-                j = int(np.round(d, 6).argmin())  # the first of equal ones has the least id
-                if np.isfinite(d[j]):
-                    for c, v in zip(out, (int(ids[0][i]), round(float(d[j]), 6), int(ids[1][j]), float(d[j])), strict=True):
-                        out[c].append(v)
-        return pa.table({c: pa.array(v, pa.float64() if c in ("r", "distance") else pa.int64()) for c, v in out.items()})
-
-    found = both.groupBy("a", "b").applyInArrow(compare, "src long, r double, dst long, distance double")
-    return found.groupBy("src").agg(F.min(F.struct("r", "dst", "distance")).alias("k")).select("src", "k.dst", "k.distance")
-
-
 def grid(a: DataFrame, b: DataFrame) -> DataFrame:
     """All combinations of two parameter lists."""
     return a.crossJoin(b)

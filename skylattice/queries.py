@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import geo, pixels as px, predicate, text as tx
-from .operators import correlate as co, histogram as hi, interpolate as ip, mosaic as mo, order as od, registrar as rg, scores as sc
+from .operators import correlate as co, histogram as hi, interpolate as ip, mosaic as mo, neighbours as nn, order as od, registrar as rg, scores as sc
 from .operators.quantiles import exact_quantiles
 from .sources import files as fs, logs as lg
 
@@ -265,7 +265,7 @@ NN = "SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(list_sum(list_transform(list
 def j12_nearest_neighbour(t):
     """Stated query set: every vector whose id is divisible by 50, against all."""
     v = t("embeddings").select("vec_id", "embedding")
-    return rounded(sc.nearest(v.where("vec_id % 50 = 0"), v).select("src", "dst", "distance"), "distance")
+    return rounded(nn.nearest(v.where("vec_id % 50 = 0"), v).select("src", "dst", "distance"), "distance")
 
 
 PIXEL_SQL = f"pixel AS (SELECT image_id, CAST(round_even((x_min - 0.0) / 0.5, 0) AS BIGINT) AS x_off, CAST(round_even((y_max - 2100.0) / -0.5, 0) AS BIGINT) AS y_off, CAST(round_even((x_max - x_min) / 0.5, 0) AS BIGINT) AS x_size, CAST(round_even((y_min - y_max) / -0.5, 0) AS BIGINT) AS y_size FROM rect)"
