@@ -244,6 +244,13 @@ def _long(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, marks
 
 
+def deal(docs: DataFrame, n: int) -> DataFrame:
+    """Rows in ``n`` groups by id and text, so that rows without an id, or with one that repeats, spread as
+    others do. ``tie`` orders texts of one id within a group."""
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    return docs.select(group.alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+
+
 def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: tuple[Callable, Callable] | None = None) -> DataFrame:
     """``docs`` has doc_id and text; ``finish(block, intervals)`` yields Arrow tables by ``schema``.
 
@@ -253,8 +260,7 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
-    # md5-free tie-break: repeated ids with different texts get a stable order inside a group
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(4 * n)).cast("int").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    dealt = deal(docs, 4 * n)
 
     def send_anchors(docs: pa.Table) -> pa.Table:
         out = []

@@ -1,4 +1,4 @@
-"""Substring dedup over words: De Bruijn paths of token k-mers, compacted and checked at their sources."""
+"""Substring dedup over words: De Bruijn paths of token k-mers, compacted to entries of their first sources."""
 
 from __future__ import annotations
 
@@ -21,8 +21,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, keep_tex
 
     Windows are the edges of a De Bruijn graph on word k-mers. Occurrences that share an anchor
     form one path; a path that never branches is compacted to a single entry, branching ones are
-    split into their edges (``repeats``). Source coordinates (document and place) travel with
-    every entry, so the earliest occurrence is known and no other one is kept.
+    split into their edges (``repeats``). The source document travels with every entry, so the
+    earliest one is known; identity is two 64-bit hashes, and words at the source are not read again.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Null text has no words. Documents shorter than the window
     lose nothing; very long texts are read whole, each by one task. Repeated rows (the same

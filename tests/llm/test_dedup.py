@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from skylattice.llm import textops as T
+from skylattice.llm import repeats, textops as T
 from skylattice.llm.embedding_dedup import Forest, embedding_dedup
 from skylattice.llm.minhash_dedup import log_likelihood, minhash_dedup, plausible, registers
 from skylattice.llm.substring_dedup import substring_dedup
@@ -80,6 +80,18 @@ def brute_bytes(rows, n):
     return out
 
 
+def test_rows_without_an_id_spread(spark, text_of):
+    """5,000 rows without an id, and as many with one id, are dealt like others; each is judged by its text."""
+    for doc in (None, 7):
+        rows = [(doc, text_of(i, 6)) for i in range(5000)]
+        sizes = [r["count"] for r in repeats.deal(spark.createDataFrame(rows, "doc_id long, text string"), 64).groupBy("grp").count().collect()]
+        assert len(sizes) == 64 and max(sizes) < 3 * 5000 / 64
+    passage = text_of(70, 20)
+    rows = [(None, f"{text_of(100 + i, 10)} {passage}") for i in range(300)] + [(1, passage)]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 301 and {(r["doc_id"], r["n_removed"]) for r in got} == {(1, 0), (None, 20)}
+
+
 def test_suffix_dedup(odd, odd_texts, no_docs):
     got = {r[0]: tuple(r)[1:] for r in suffix_dedup(odd).collect()}
     assert got == brute_bytes(odd_texts, 100)
