@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from . import projection
+
 #: Sphere of the web projection, metres.
 RADIUS = 6378137.0
 
@@ -126,18 +128,6 @@ def trimmed(x_size: int, y_size: int) -> dict[str, Column]:
 
 
 def reprojected(source: str, target: str) -> dict[str, Column]:
-    """Bounds (x_min, x_max, y_min, y_max) in another system; EPSG:4326 and EPSG:3857 only.
-
-    Both corners are transformed, and pixel sizes follow from the bounds, so the stretch by
-    latitude is kept.
-    """
-    c, names = F.col, ("x_min", "x_max", "y_min", "y_max")
-    if source == target:
-        return {n: c(n) for n in names}
-    if (source, target) == ("EPSG:4326", "EPSG:3857"):
-        (x0, y0), (x1, y1) = mercator(c("y_min"), c("x_min")), mercator(c("y_max"), c("x_max"))
-    elif (source, target) == ("EPSG:3857", "EPSG:4326"):
-        (y0, x0), (y1, x1) = inverse_mercator(c("x_min"), c("y_min")), inverse_mercator(c("x_max"), c("y_max"))
-    else:
-        raise ValueError(f"no transformation from {source} to {target}")
-    return dict(zip(names, (x0, x1, y0, y1), strict=True))
+    """Bounds (x_min, x_max, y_min, y_max) in another system of ``projection``. Pixel sizes follow from the
+    bounds, so the stretch by latitude is kept."""
+    return projection.bounds(source, target)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..functions import projection as pr
+
 
 class ImageError(Exception):
     """Carries the return code of an image that could not be aligned."""
@@ -34,24 +36,27 @@ def warp(image: np.ndarray, m: np.ndarray, rows: int, columns: int) -> np.ndarra
     return sample(image, (p[0] / p[2]).reshape(x.shape), (p[1] / p[2]).reshape(x.shape))
 
 
-#: Radius of the web projection's sphere, metres.
-RADIUS = 6378137.0
-TO_MERCATOR = (lambda x: RADIUS * np.radians(x), lambda y: RADIUS * np.log(np.tan(np.pi / 4 + np.radians(y) / 2)))
-TO_DEGREES = (lambda x: np.degrees(x / RADIUS), lambda y: np.degrees(2 * np.arctan(np.exp(y / RADIUS)) - np.pi / 2))
-
-
 def reprojected(image: np.ndarray, bounds: list[float], source: str, target: str) -> tuple[np.ndarray, list[float]]:
-    """The image on an even grid of another system; EPSG:4326 and EPSG:3857, whose axes go apart."""
-    ways = {("EPSG:4326", "EPSG:3857"): (TO_MERCATOR, TO_DEGREES), ("EPSG:3857", "EPSG:4326"): (TO_DEGREES, TO_MERCATOR)}
-    if (source, target) not in ways:
-        raise ValueError(f"no transformation from {source} to {target}")
-    (fx, fy), (bx, by) = ways[source, target]
+    """The image on an even grid of another system, each pixel the bilinear value at its place in the source,
+    and 0 where that lies outside.
+
+    Between systems whose axes go apart the grid has the same rows and columns. Otherwise it has pixels of
+    about the size that keeps the diagonal's number of pixels, and so a shape of its own.
+    """
     h, w = image.shape[:2]
-    x_min, x_max, y_min, y_max = float(fx(bounds[0])), float(fx(bounds[1])), float(fy(bounds[2])), float(fy(bounds[3]))
-    x = (bx(x_min + (np.arange(w) + 0.5) * (x_max - x_min) / w) - bounds[0]) / (bounds[1] - bounds[0]) * w - 0.5
-    y = (bounds[3] - by(y_max - (np.arange(h) + 0.5) * (y_max - y_min) / h)) / (bounds[3] - bounds[2]) * h - 0.5
-    grid = np.meshgrid(np.clip(x, 0, w - 1), np.clip(y, 0, h - 1))
-    return sample(image.astype(float), *grid).round().astype(image.dtype), [x_min, x_max, y_min, y_max]
+    to = pr.bounds_of(bounds, source, target)
+    rows, columns = h, w
+    if not pr.straight(source, target):
+        size = np.hypot(to[1] - to[0], to[3] - to[2]) / np.hypot(h, w)
+        rows, columns = max(1, round((to[3] - to[2]) / size)), max(1, round((to[1] - to[0]) / size))
+    u = to[0] + (np.arange(columns) + 0.5) * (to[1] - to[0]) / columns
+    v = to[3] - (np.arange(rows) + 0.5) * (to[3] - to[2]) / rows
+    x, y = pr.transformed(target, source, *np.meshgrid(u, v), pr.ARRAYS)
+    x = (x - bounds[0]) / (bounds[1] - bounds[0]) * w - 0.5
+    y = (bounds[3] - y) / (bounds[3] - bounds[2]) * h - 0.5
+    out = sample(image.astype(float), np.clip(x, 0, w - 1), np.clip(y, 0, h - 1))
+    out[(x < -0.5 - 1e-6) | (x > w - 0.5 + 1e-6) | (y < -0.5 - 1e-6) | (y > h - 0.5 + 1e-6)] = 0
+    return out.round().astype(image.dtype), to
 
 
 def blur(grey: np.ndarray, sigma: float) -> np.ndarray:

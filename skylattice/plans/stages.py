@@ -16,7 +16,7 @@ from ..sources import files as fs, logs as lg, sinks
 #: Stage name to function of (spark, config); more can be registered.
 STAGES: dict[str, Callable[[SparkSession, dict], dict[str, DataFrame]]] = {}
 DEFAULTS = {
-    "metadata_processor": {"tz_offset_in_hr": 5.0, "unmatched": "drop", "patterns": [], "use_cached_output": True},
+    "metadata_processor": {"tz_offset_in_hr": 5.0, "unmatched": "drop", "patterns": [], "use_cached_output": True, "crs": "EPSG:3857"},
     "mosaicker": {"padding_fraction": 0.1, "crs": "EPSG:3857", "tile": 256},
     "sequential_mosaicker": {"altitude": 13000.0, "gyro": 0.075, "sensors": {0: 1, 1: 0, 2: 2}, "angles": {0: 30.0, 1: 0.0, 2: 30.0}, "tile": 256},
     "query_processor": {"condition": "image_id >= 0"},
@@ -75,7 +75,7 @@ def metadata(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     t, o = inputs(spark, config), config["options"]
     images = lg.image_log(t["img_log"]) if "img_log" in t else lg.log_from_names(t["images"])
     imu = lg.imu_log(t["imu_log"]).withColumnRenamed("CurrTimestamp", "timestamp")
-    gps = lg.gps_log(t["gps_log"]).withColumnRenamed("CurrTimestamp", "timestamp")
+    gps = lg.gps_log(t["gps_log"], crs=o["crs"]).withColumnRenamed("CurrTimestamp", "timestamp")
     shift = lambda df: df.withColumn("timestamp", F.expr(f"timestamp - make_dt_interval(0, 0, 0, {float(o['tz_offset_in_hr']) * 3600})"))
     images = ip.interpolate_logs(images, [(shift(log), [n for n, k in log.dtypes if k == "double"]) for log in (imu, gps)], "timestamp")
     files = t["images"] if "file_id" in t["images"].columns else fs.select_files(t["images"])

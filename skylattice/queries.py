@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import geo, pixels as px, predicate, text as tx
+from .functions import geo, pixels as px, predicate, projection as pr, text as tx
 from .operators import correlate as co, histogram as hi, interpolate as ip, mosaic as mo, neighbours as nn, order as od, registrar as rg, scores as sc
 from .operators.quantiles import exact_quantiles
 from .sources import files as fs, logs as lg
@@ -634,6 +634,37 @@ def x7_mercator(t):
     return rounded(t("events").select("event_id", x.alias("x"), y.alias("y")), "x", "y", digits=3)
 
 
+def grid_sql(table: str, lon: str, lat: str, meridian: int) -> str:
+    """Rows of a table with east and north of a point in a zone's grid, as DuckDB SQL."""
+    e, steps = pr.ECCENTRICITY, list(enumerate(pr.TO_GRID, 1))
+    return f"""(SELECT *, 500000 + {pr.MERIDIAN!r} * (eta + {" + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in steps)}) AS east,
+      {pr.MERIDIAN!r} * (xi + {" + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in steps)}) AS north
+    FROM (SELECT *, atan2(t, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + t * t)) AS eta
+    FROM (SELECT *, sinh(atanh(sin(phi)) - {e!r} * atanh({e!r} * sin(phi))) AS t FROM (SELECT *, radians(CAST({lat} AS DOUBLE)) AS phi, radians(CAST({lon} AS DOUBLE) - {meridian}) AS away FROM {table}))))"""
+
+
+@query(f"SELECT event_id, round(east, 3) AS east, round(north, 3) AS north, round(CAST(value / 100 AS DOUBLE), 8) AS lon, CAST(user_id % 80 AS DOUBLE) AS lat FROM {grid_sql('events', 'value / 100', 'user_id % 80', 3)}")
+def x7_transverse(t):
+    """Points in zone 31, to the millimetre, and back in degrees."""
+    df = t("events").select("event_id", (c("value") / 100).alias("lon"), (c("user_id") % 80).cast("double").alias("lat"))
+    east, north = pr.transformed("EPSG:4326", "EPSG:32631", c("lon"), c("lat"))
+    df = df.select("event_id", east.alias("east"), north.alias("north"))
+    lon, lat = pr.transformed("EPSG:32631", "EPSG:4326", c("east"), c("north"))
+    df = df.select("event_id", "east", "north", lon.alias("lon"), lat.alias("lat"))
+    return rounded(rounded(df, "east", "north", digits=3), "lon", "lat", digits=8)
+
+
+EDGE_SQL = "(SELECT vec_id, CASE side WHEN 0 THEN x_min + k / 8.0 * (x_max - x_min) WHEN 1 THEN x_max WHEN 2 THEN x_max - k / 8.0 * (x_max - x_min) ELSE x_min END AS px, CASE side WHEN 0 THEN y_min WHEN 1 THEN y_min + k / 8.0 * (y_max - y_min) WHEN 2 THEN y_max ELSE y_max - k / 8.0 * (y_max - y_min) END AS py FROM box, range(0, 8) AS a(k), range(0, 4) AS b(side))"
+DEGREES = {"x_min": "CAST(vec_id % 300 AS DOUBLE) / 50 - 90", "x_max": "CAST(vec_id % 300 AS DOUBLE) / 50 - 89", "y_min": "CAST(vec_id % 70 AS DOUBLE)", "y_max": "CAST(vec_id % 70 AS DOUBLE) + 2"}
+
+
+@query(f"WITH box AS (SELECT vec_id, {', '.join(f'{e} AS {n}' for n, e in DEGREES.items())} FROM embeddings) SELECT vec_id, round(min(east), 3) AS x_min, round(max(east), 3) AS x_max, round(min(north), 3) AS y_min, round(max(north), 3) AS y_max FROM {grid_sql(EDGE_SQL, 'px', 'py', -87)} GROUP BY vec_id")
+def x8_transverse_bounds(t):
+    """Bounds in degrees as bounds in zone 16, whose sides are curves."""
+    df = t("embeddings").selectExpr("vec_id", *(f"{e} AS {n}" for n, e in DEGREES.items()))
+    return rounded(df.select("vec_id", *(v.alias(k) for k, v in geo.reprojected("EPSG:4326", "EPSG:32616").items())), "x_min", "x_max", "y_min", "y_max", digits=3)
+
+
 @query("SELECT event_id, ts - INTERVAL 5 HOUR AS ts FROM events")
 def x9_shifted(t):
     return t("events").select("event_id", tx.shifted(c("ts").cast("timestamp"), 5).cast("timestamp_ntz").alias("ts"))

@@ -173,9 +173,8 @@ def load_referenced(files: DataFrame, source: str = "EPSG:3857", target: str | N
     """Pixels (uint8) and bounds of each georeferenced TIFF of a ``binaryFile`` table, in one row a file; a
     file without a reference has null bounds.
 
-    With another ``target`` system, bounds are transformed (``geo.reprojected``) and the pixels are
-    resampled: each pixel of the new grid, which has as many rows and columns, takes the
-    bilinear value at its place in the source.
+    With another ``target`` system of ``functions.projection``, bounds are transformed and the pixels are
+    resampled (``kernels.reprojected``).
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

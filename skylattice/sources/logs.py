@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import geo, text as tx
+from ..functions import geo, projection, text as tx
 
 IMAGE_LOG = ("odroid_timestamp", "obc_timestamp", "camera_num", "serial_num", "exposure_time", "sequence_ind", "internal_temp", "filename")
 IMU_NUMBERS = ("TempC", "pressure", "mAltitude", "imuAccelX", "imuAccelY", "imuAccelZ", "imuGyroX", "imuGyroY", "imuGyroZ", "imuMagX", "imuMagY", "imuMagZ", "imuRoll", "imuPitch", "imuYaw", "VoltageV", "PiCurrentA", "PiPowerW")
@@ -48,9 +48,9 @@ def imu_log(rows: DataFrame) -> DataFrame:
     return rows.withColumn("imuGyroMag", geo.norm(F.col("imuGyroX"), F.col("imuGyroY"), F.col("imuGyroZ")))
 
 
-def gps_log(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Text rows of the position log: headers and rows without a fix go; adds projected metres."""
+def gps_log(rows: DataFrame, keep: list[str] | None = None, crs: str = "EPSG:3857") -> DataFrame:
+    """Text rows of the position log: headers and rows without a fix go; adds coordinates in ``crs``."""
     rows = rows.where(F.col("CurrTimestamp").isNotNull() & ~F.col("CurrTimestamp").isin("CurrTimestamp", NO_FIX)).drop("GPSTime")
     rows = numbers(rows, GPS_NUMBERS).withColumn("CurrTimestamp", F.expr("try_cast(CurrTimestamp AS timestamp)"))
-    x, y = geo.mercator(F.col("GPSLat"), F.col("GPSLong"))
+    x, y = projection.transformed("EPSG:4326", crs, F.col("GPSLong"), F.col("GPSLat"))
     return rows.withColumns({"sensor_x": x, "sensor_y": y})

@@ -167,7 +167,7 @@ def test_bounds_there_and_back(spark):
     back = there.select(*(v.alias(k) for k, v in geo.reprojected("EPSG:3857", "EPSG:4326").items()))
     assert np.allclose(back.toPandas(), df.toPandas(), atol=1e-9) and abs(there.first()["x_min"]) > 1e6
     with pytest.raises(ValueError):
-        geo.reprojected("EPSG:4326", "EPSG:32616")
+        geo.reprojected("EPSG:4326", "EPSG:2154")
 
 
 def test_progress_images(spark, tmp_path):
