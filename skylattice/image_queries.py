@@ -134,6 +134,36 @@ def s11_rescaled_images(t):
     return fs.load_images(content(t), kind="<u2").select(vec().alias("vec_id"), F.hex("data").alias("data"))
 
 
+#: A mirrored place on a side of eight.
+MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+
+
+@query(f"""WITH {GREY_SQL}, near AS (
+  SELECT vec_id, y, x, band, px[({MIRROR.format("y + dy")}) * 8 + {MIRROR.format("x + dx")} + 1] * 16 AS v, CASE WHEN band = 1 AND (y + x) % 2 = 1 THEN CAST(dy = 0 AND dx = 0 AS INT) WHEN band = 1 THEN 1 - abs(dy * dx) ELSE (2 - abs(dy)) * (2 - abs(dx)) END AS w
+  FROM grey, range(0, 8) AS a(y), range(0, 8) AS b(x), range(0, 3) AS c(band), range(-1, 2) AS d(dy), range(-1, 2) AS e(dx)
+  WHERE CASE band WHEN 0 THEN (y + dy) % 2 = 0 AND (x + dx) % 2 = 0 WHEN 1 THEN abs((y + dy) + (x + dx)) % 2 = 1 ELSE abs((y + dy) % 2) = 1 AND abs((x + dx) % 2) = 1 END
+)
+SELECT vec_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(band AS INT) AS band, CAST(floor(v / 4095 * 255) AS INT) AS v FROM (SELECT vec_id, y, x, band, CAST(sum(w * v) AS DOUBLE) / sum(w) AS v FROM near WHERE w > 0 GROUP BY ALL)""")
+def s11_raw_images(t):
+    """Sensor frames of 12 bits, written as raw files and read as RGB with colours interpolated."""
+    frame = F.unhex(F.array_join(F.transform("px", lambda v: F.concat(F.lpad(F.hex((v * 16) % 256), 2, "0"), F.lpad(F.hex(F.floor(v * 16 / 256)), 2, "0"))), ""))
+    df = grey(t).select("vec_id", frame.alias("data"))
+    folder = scratch(df)
+
+    def store(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.itertuples():
+                sinks.write_file(f"{folder}/v{r.vec_id}.raw", r.data)
+            yield p[["vec_id"]]
+
+    df.mapInPandas(store, "vec_id long").agg(F.count("*")).collect()
+    back = fs.load_images(df.sparkSession.read.format("binaryFile").load(folder), (8, 8))
+    values = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: F.conv(F.hex(F.substr("data", i + 1, F.lit(1))), 16, 10).cast("int"))
+    out = back.select(F.regexp_extract("filepath", r"v(\d+)\.raw$", 1).cast("long").alias("vec_id"), F.posexplode(values).alias("i", "v"))
+    place = {"y": F.floor(c("i") / 24), "x": F.floor(c("i") / 3) % 8, "band": c("i") % 3}
+    return out.select("vec_id", *(e.cast("int").alias(n) for n, e in place.items()), "v")
+
+
 @query(f"WITH {GREY_SQL}, {BOX_SQL} SELECT vec_id, {HEX_SQL} AS data, round(x_min, 6) AS x_min, round(x_max, 6) AS x_max, round(y_min, 6) AS y_min, round(y_max, 6) AS y_max FROM box")
 def s12_referenced_images(t):
     return rounded(fs.load_referenced(content(t)).select(vec().alias("vec_id"), F.hex("data").alias("data"), "x_min", "x_max", "y_min", "y_max"), "x_min", "x_max", "y_min", "y_max", digits=6)

@@ -117,10 +117,26 @@ def rescaled(pixels: np.ndarray, kind: str) -> np.ndarray:
 
 
 def raw_pixels(data: bytes, rows: int = 1200, columns: int = 1920, bits: int = 12) -> np.ndarray:
-    """RGB of a raw RGGB sensor image: each 2 x 2 cell gives its red, mean green and blue, scaled to 8 bits."""
-    cell = np.frombuffer(data, "<u2").reshape(rows // 2, 2, columns // 2, 2).astype(np.float64)
-    rgb = np.stack([cell[:, 0, :, 0], (cell[:, 0, :, 1] + cell[:, 1, :, 0]) / 2, cell[:, 1, :, 1]], 2)
-    return np.repeat(np.repeat((rgb / ((1 << bits) - 1) * 255).astype(np.uint8), 2, 0), 2, 1)
+    """RGB of a raw RGGB sensor image, scaled to 8 bits.
+
+    Each colour is known at some sites; elsewhere it is the mean of the nearest ones that have it: two beside,
+    or four around, by bilinear weights over shifted planes. The border is mirrored, so sites keep
+    their colours.
+    """
+    sensor = np.pad(np.frombuffer(data, "<u2").reshape(rows, columns).astype(np.float64), 1, "reflect")
+    y, x = np.mgrid[-1 : rows + 1, -1 : columns + 1] % 2
+    out = np.empty((rows, columns, 3))
+    for band, site in enumerate(((y == 0) & (x == 0), y != x, (y == 1) & (x == 1))):
+        value = weight = 0.0
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                w = (2 - abs(dy)) * (2 - abs(dx)) if band != 1 else 1 - abs(dy * dx)
+                part = (slice(1 + dy, rows + 1 + dy), slice(1 + dx, columns + 1 + dx))
+                value, weight = value + w * np.where(site, sensor, 0)[part], weight + w * site[part]
+        if band == 1:  # green keeps its own sites
+            value, weight = np.where(site[1:-1, 1:-1], sensor[1:-1, 1:-1], value), np.where(site[1:-1, 1:-1], 1, weight)
+        out[..., band] = value / weight
+    return (out / ((1 << bits) - 1) * 255).astype(np.uint8)
 
 
 HEADER = "filepath string, x_min double, x_max double, y_min double, y_max double, pixel_width double, pixel_height double, x_rot double, y_rot double, x_size long, y_size long"

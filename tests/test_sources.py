@@ -266,3 +266,16 @@ def test_sql_source(spark):
     url = "jdbc:derby:memory:sky;create=true"
     spark.range(4).write.jdbc(url, "t", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
     assert fs.read_jdbc(spark, url, "t", driver="org.apache.derby.jdbc.EmbeddedDriver").count() == 4
+
+
+def test_colours_are_interpolated():
+    """A flat field stays flat, each site keeps its own colour, and a ramp is followed inside."""
+    flat = fs.raw_pixels(np.full((6, 8), 4095, "<u2").tobytes(), 6, 8)
+    assert flat.shape == (6, 8, 3) and (flat == 255).all()
+    y, x = np.mgrid[:10, :12]
+    ramp = (100 * x + 60 * y).astype("<u2")
+    m = fs.raw_pixels(ramp.tobytes(), 10, 12).astype(int)
+    want = (ramp.astype(float) / 4095 * 255).astype(np.uint8).astype(int)
+    assert np.abs(m - want[..., None])[1:-1, 1:-1].max() <= 1
+    own = np.where((y % 2 == 0) & (x % 2 == 0), 0, np.where(y % 2 != x % 2, 1, 2))
+    assert (np.take_along_axis(m, own[..., None], 2)[..., 0] == want).all()
