@@ -17,7 +17,7 @@ from .operators import features, kernels, mosaic as mo, order as od, sequential
 from .operators.graph import shared_folder
 from .plans import batches, stages
 from .queries import GREY_SQL, M_SQL, ORACLE_SQL, PIX_SQL, QUERIES, RECT_SQL, contributions, grey, homographies, query, rects, rounded
-from .sources import files as fs, sinks
+from .sources import files as fs, hdf5, sinks
 from .sources.tiff_source import register
 
 c = F.col
@@ -191,19 +191,25 @@ def s13_reprojected_images(t):
 
 
 def tiled(t: Callable) -> tuple[SparkSession, str]:
-    """The folder of the scenes' raw grids (48 x 56), as files of 16 x 16 tiles, LZW, with differences."""
-    held = grey(t).groupBy(F.floor(c("vec_id") / 42).alias("image_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "px"))).alias("parts")).where("size(parts) = 42")
-    at = lambda i: f"parts[int((i div 56) div 8) * 7 + int((i % 56) div 8)].px[int((i div 56) % 8) * 8 + int((i % 56) % 8)]".replace("i ", f"{i} ")
-    data = F.expr(f"unhex(array_join(transform(sequence(0, 48 * 56 - 1), i -> lpad(hex({at('i')}), 2, '0')), ''))")
+    """The folder of the scenes' raw grids, as files of 16 x 16 tiles, LZW, with differences."""
+    df = raw_scenes(t)
     size = {"rows": F.lit(48).cast("long"), "columns": F.lit(56).cast("long"), "bands": F.lit(1).cast("long")}
     box = {"x_min": c("image_id") * 100.0, "x_max": c("image_id") * 100.0 + 112, "y_min": F.lit(0.0), "y_max": F.lit(96.0)}
-    df = held.select("image_id", F.concat(F.lit("scene"), c("image_id").cast("string"), F.lit(".tif")).alias("name"), data.alias("data")).withColumns(size | box)
+    df = df.withColumn("name", F.concat(F.lit("scene"), c("image_id").cast("string"), F.lit(".tif"))).withColumns(size | box)
     folder = scratch(df)
     sinks.save_images(df, folder, 16, "lzw", True).agg(F.sum("bytes")).collect()
     register(df.sparkSession)
     return df.sparkSession, folder
 
 
+def raw_scenes(t: Callable) -> DataFrame:
+    """(image_id, data: 48 x 56 bytes): 42 images each, side by side."""
+    held = grey(t).groupBy(F.floor(c("vec_id") / 42).alias("image_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "px"))).alias("parts")).where("size(parts) = 42")
+    at = lambda i: f"parts[int((i div 56) div 8) * 7 + int((i % 56) div 8)].px[int((i div 56) % 8) * 8 + int((i % 56) % 8)]".replace("i ", f"{i} ")
+    data = F.expr(f"unhex(array_join(transform(sequence(0, 48 * 56 - 1), i -> lpad(hex({at('i')}), 2, '0')), ''))")
+    return held.select("image_id", data.alias("data"))
+
+
 def scene_id() -> Column:
     return F.regexp_extract("filepath", r"scene(\d+)\.tif$", 1).cast("long").alias("image_id")
 
@@ -234,6 +240,29 @@ def s17_tiff_window(t):
     return df.where(c("x").between(x, x + w - 1) & c("y").between(y, y + h - 1))
 
 
+@query(f"""WITH {GREY_SQL}, scene AS (SELECT image_id FROM ({SCENE_SQL}))
+SELECT image_id, y // 16 * 16 AS y_off, x // 16 * 16 AS x_off, round(10.0 * (image_id % 36) - 180 + x // 16 * 16 * 10 / 56.0, 6) AS x_min, round(90 - 10.0 * (image_id % 18) - y // 16 * 16 * 10 / 56.0, 6) AS y_max, CAST(sum(px[y % 8 * 8 + x % 8 + 1]) AS BIGINT) AS total
+FROM scene, range(0, 56) AS a(x), range(16, 48) AS b(y) JOIN grey ON vec_id = image_id * 42 + y // 8 * 7 + x // 8 GROUP BY ALL""")
+def s14_satellite_tiles(t):
+    """Chunks of satellite products under a window (rows 16 to 39), with bounds from the tile's name."""
+    df = raw_scenes(t)
+    folder = scratch(df)
+
+    def store(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.itertuples():
+                m = np.frombuffer(r.data, np.uint8).reshape(48, 56).astype("<u2")
+                sinks.write_file(f"{folder}/P{r.image_id}.h{r.image_id % 36:02d}v{r.image_id % 18:02d}.h5", hdf5.encoded(m, "grids/day/light", (16, 16)))
+            yield p[["image_id"]]
+
+    df.mapInPandas(store, "image_id long").agg(F.count("*")).collect()
+    files = fs.find_files(df.sparkSession, folder).withColumnRenamed("filepath", "path")
+    out = hdf5.satellite_tiles(files, "grids/day/light", 56, (0, 16, 56, 24))
+    total = F.aggregate(F.sequence(F.lit(0), c("rows") * c("columns") - 1), F.lit(0).cast("long"), lambda a, i: a + F.conv(F.hex(F.substr("data", 2 * i + 1, F.lit(1))), 16, 10).cast("long"))
+    out = out.select(F.regexp_extract("filepath", r"P(\d+)\.", 1).cast("long").alias("image_id"), "y_off", "x_off", "x_min", "y_max", total.alias("total"))
+    return rounded(out, "x_min", "y_max", digits=6)
+
+
 @query("SELECT event_id, event_type, value FROM events")
 def s15_csv_round_trip(t):
     df = t("events").select("event_id", "event_type", "value")
