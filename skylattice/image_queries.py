@@ -13,12 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import dictionary, geo
-from .operators import features, kernels, mosaic as mo, order as od, sequential as sq, tiles as ti
+from .operators import features, image_ops, kernels, mosaic as mo, order as od, sequential as sq, tiles as ti
 from .operators.graph import shared_folder
 from .plans import batches, stages
 from .queries import GREY_SQL, M_SQL, ORACLE_SQL, PIX_SQL, QUERIES, RECT_SQL, contributions, grey, homographies, query, rects, rounded
 from .sources import files as fs, hdf5, sinks
 from .sources.tiff_source import register
+from .streaming import incremental, mosaics as streamed
 
 c = F.col
 _written: dict[tuple[str, int, str], str] = {}
@@ -531,6 +532,36 @@ def i11_referencer(t):
     return back.select(F.regexp_extract("filepath", r"(\d+)\.tif$", 1).cast("long").alias("image_id"), "x_min", "y_max", short().alias("file"))
 
 
+@query(f"SELECT image_id, 'success' AS code, true AS close, 1 AS variation FROM ({SCENE_SQL})")
+def i3_aligned_blend(t):
+    """A piece is warped onto its scene, by the second of two variations: where it has pixels they are the scene's."""
+    operate = image_ops.variations({"pixels": 3.0}, [{"det": (5.0, 6.0)}, {}])
+
+    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for r in p.itertuples():
+                whole = scene(r.data)
+                done = operate(whole[r.y : r.y + 65, r.x : r.x + 75], whole)
+                drawn = done.get("image", np.zeros_like(whole)).astype(float)
+                out.append((r.image_id, done["return_code"], bool(np.abs(drawn - whole)[2:-2, 2:-2][drawn[2:-2, 2:-2] > 40].mean() < 6), int(done["i_operator"])))
+            yield pd.DataFrame(out, columns=["image_id", "code", "close", "variation"])
+
+    return shifted(t).mapInPandas(task, "image_id long, code string, close boolean, variation int")
+
+
+@query(f"WITH {PIX_SQL} SELECT x, y, CAST(coalesce(arg_min(v, ord) FILTER (v > 0), 0) AS INT) AS r FROM pix GROUP BY x, y")
+def i10_streamed_mosaic(t):
+    """A stream of new image files, in two runs with every third image late: tiles are state that the second goes on with."""
+    df = images(t).join(grey(t).select("vec_id", "label"), "vec_id").select(c("vec_id").alias("image_id"), (c("label") * 1000000 + c("vec_id")).cast("long").alias("order"), (c("vec_id") * 7 % 57).cast("long").alias("x_off"), (c("vec_id") * 13 % 57).cast("long").alias("y_off"), F.lit(8).cast("long").alias("x_size"), F.lit(8).cast("long").alias("y_size"), "rows", "columns", "bands", "data")
+    spark, folder = df.sparkSession, scratch(df)
+    for late in (False, True):
+        df.where((c("image_id") % 3 == 1) == F.lit(late)).write.mode("append").parquet(f"{folder}/in")
+        stream = incremental.read_new_files(spark, f"{folder}/in", df._jdf.schema().toDDL())
+        incremental.run_to_end(streamed.mosaic_updates(stream, 16), f"{folder}/out", f"{folder}/state")
+    return ti.pixels_of(streamed.newest(spark, f"{folder}/out"), 16, ["r"])
+
+
 #: Images of two pixel sizes, whose bounds lie on a grid of two metres.
 PATCH = {"x_min": "CAST(vec_id * 7 % 57 * 2 AS DOUBLE)", "y_max": "CAST(400 - vec_id * 13 % 57 * 2 AS DOUBLE)", "pixel": "CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 2 END"}
 

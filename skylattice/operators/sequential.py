@@ -10,11 +10,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import features, kernels, tiles as ti
+from . import features, image_ops, tiles as ti
 from .graph import components, cut, discard
+from .image_ops import Operator
 from .mosaic import overlap_pairs
 
-OUT = "image_id long, order long, return_code string, x_off long, y_off long, x_size long, y_size long, duration double, data binary"
+OUT = "image_id long, order long, return_code string, x_off long, y_off long, x_size long, y_size long, duration double, data binary, log map<string,double>"
 OUT_NAMES = [f.split()[0] for f in OUT.split(", ")]
 #: Tiles along the side of a cell, at least, and bytes and number of images of a cell in one wave, at most.
 CELL, CELL_BYTES, CELL_IMAGES = 16, 64 << 20, 256
@@ -23,6 +24,7 @@ BROADCAST_IMAGES = 100_000
 #: Waves after which tiles that no later image touches are put aside and the others are written anew.
 TIDY = 8
 Aligner = Callable[[np.ndarray, np.ndarray], np.ndarray]
+ALIGNED = image_ops.aligner_blender()
 
 
 def fold_groups(images: DataFrame, tile: int = 256) -> DataFrame:
@@ -31,23 +33,15 @@ def fold_groups(images: DataFrame, tile: int = 256) -> DataFrame:
     return images.join(parts, "image_id", "left").withColumn("component", F.coalesce("component", "image_id"))
 
 
-def fold_step(image: np.ndarray, held: np.ndarray, aligner: Aligner | None, strict: bool) -> tuple[str, np.ndarray | None]:
-    """Return code of one image over its window, and its pixels there (uint8)."""
-    try:
-        if aligner and (strict or held.any()):
-            warped = kernels.warp(image.astype(float), aligner(image.astype(float), held.astype(float)), *held.shape[:2])
-        elif image.shape[:2] == held.shape[:2]:
-            return "success", image
-        else:
-            warped = kernels.resize(image.astype(float), *held.shape[:2])
-        return "success", np.clip(warped.round(), 0, 255).astype(np.uint8)
-    except kernels.ImageError as e:
-        return str(e), None
-    except np.linalg.LinAlgError:
-        return "linalg_err", None
+def fold_step(image: np.ndarray, held: np.ndarray, operator: Operator | None, strict: bool) -> tuple[str, np.ndarray | None, dict[str, float]]:
+    """Return code of one image over its window, its pixels there (uint8), and what else its operator said."""
+    out = operator(image, held) if operator and (strict or held.any()) else image_ops.blender(image, held)
+    code, drawn = out["return_code"], out.get("image")
+    log = {k: float(v) for k, v in out.items() if k not in ("return_code", "image")}
+    return code, image_ops.pixels(drawn) if code == "success" and drawn is not None else None, log
 
 
-def outcome(image_id: int, order: int, code: str, x: int, y: int, drawn: np.ndarray | None, began: float) -> tuple:
+def outcome(image_id: int, order: int, code: str, x: int, y: int, drawn: np.ndarray | None, log: dict[str, float], began: float) -> tuple:
     """A row of OUT: the box of what an image drew that isn't black, and the pixels in it."""
     place, data = (None,) * 4, None
     if drawn is not None:
@@ -55,7 +49,7 @@ def outcome(image_id: int, order: int, code: str, x: int, y: int, drawn: np.ndar
         if len(xs):
             a, b, c, d = xs.min(), xs.max() + 1, ys.min(), ys.max() + 1
             place, data = (int(x + a), int(y + c), int(b - a), int(d - c)), drawn[c:d, a:b].tobytes()
-    return image_id, order, code, *place, time.perf_counter() - began, data
+    return image_id, order, code, *place, time.perf_counter() - began, data, log
 
 
 def runnable(rows: pd.DataFrame) -> pd.DataFrame:
@@ -74,10 +68,10 @@ def runnable(rows: pd.DataFrame) -> pd.DataFrame:
 
 def sequential_mosaic(images: DataFrame, tile: int = 256, align: bool = True, aligner: Aligner = features.align) -> DataFrame:
     """The outcomes of ``sequential_tiles``."""
-    return sequential_tiles(images, tile, aligner if align else None)[0]
+    return sequential_tiles(images, tile, image_ops.aligner_blender(aligner) if align else None)[0]
 
 
-def sequential_tiles(images: DataFrame, tile: int = 256, aligner: Aligner | None = features.align) -> tuple[DataFrame, DataFrame]:
+def sequential_tiles(images: DataFrame, tile: int = 256, operator: Operator | None = ALIGNED) -> tuple[DataFrame, DataFrame]:
     """Aligns each image with what earlier ones (by ``order``, then ``image_id``) wrote in its window, and
     blends it in: black pixels of the mosaic take the image's.
 
@@ -86,8 +80,8 @@ def sequential_tiles(images: DataFrame, tile: int = 256, aligner: Aligner | None
     fill their windows and are drawn first, unaligned and set-based; all others are aligned within their
     windows (search zones), and where nothing lies there their code is ``dst_dark_frame``. Without
     that column an image that meets nothing is drawn as it stands, to begin a mosaic. An empty window
-    is ``out_of_bounds``. ``aligner`` gives the homography of an image onto its window, or raises
-    ``kernels.ImageError`` with a return code; without one, images fill their windows.
+    is ``out_of_bounds``. ``operator`` (``image_ops``) places an image in its window; without one, images
+    fill their windows.
 
     An image depends only on earlier ones that share a tile with it, so the flight is folded in waves.
     In a wave the plane is dealt into square cells, shifted by half a cell from one wave to the next in
@@ -98,8 +92,8 @@ def sequential_tiles(images: DataFrame, tile: int = 256, aligner: Aligner | None
     and a task holds the images of one cell (bounded in number and bytes) and the tiles under them,
     however long or dense the flight is.
 
-    Returns (one row per image: its code, its place after alignment and its warped pixels; the tiles of
-    the mosaic).
+    Returns (one row per image: its code, its place after alignment, its warped pixels and the numbers
+    its operator logged; the tiles of the mosaic).
     """
     strict = "training" in images.columns
     window = ["x_off", "y_off", "x_size", "y_size"]
@@ -112,8 +106,8 @@ def sequential_tiles(images: DataFrame, tile: int = 256, aligner: Aligner | None
         for batch in batches:
             for r in batch.itertuples():
                 began, image = time.perf_counter(), np.frombuffer(r.data, np.uint8).reshape(r.rows, r.columns, r.bands)
-                code, drawn = fold_step(image, np.zeros((r.y_size, r.x_size, r.bands), np.uint8), None, strict)
-                yield frame([outcome(r.image_id, r.order, code, r.x_off, r.y_off, drawn, began)])
+                code, drawn, log = fold_step(image, np.zeros((r.y_size, r.x_size, r.bands), np.uint8), None, strict)
+                yield frame([outcome(r.image_id, r.order, code, r.x_off, r.y_off, drawn, log, began)])
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=OUT_NAMES).astype({n: "Int64" for n in OUT_NAMES[3:7]})
@@ -142,17 +136,17 @@ def sequential_tiles(images: DataFrame, tile: int = 256, aligner: Aligner | None
                 if (tx, ty) in held:
                     u, v = tx * tile + a - x, ty * tile + b - y
                     canvas[v : v + part.shape[0], u : u + part.shape[1]] = held[tx, ty][0][b : b + part.shape[0], a : a + part.shape[1]]
-            code, drawn = fold_step(np.frombuffer(r["data"], np.uint8).reshape(r["rows"], r["columns"], r["bands"]), canvas, aligner, strict)
-            out.append(outcome(r["image_id"], r["order"], code, x, y, drawn, began))
+            code, drawn, log = fold_step(np.frombuffer(r["data"], np.uint8).reshape(r["rows"], r["columns"], r["bands"]), canvas, operator, strict)
+            out.append(outcome(r["image_id"], r["order"], code, x, y, drawn, log, began))
             for tx, ty, a, b, part in ti.cut_along(drawn, x, y, tile) if drawn is not None else ():
                 data, mask = held.setdefault((tx, ty), (np.zeros((tile, tile, r["bands"]), np.uint8), np.zeros((tile, tile), np.uint8)))
                 ti.lay(data, mask, part, a, b, False)
                 changed.add((tx, ty))
-        done = [dict(zip(OUT_NAMES, x, strict=True)) for x in out]
+        done = [dict(zip(OUT_NAMES, (*x[:-1], list(x[-1].items())), strict=True)) for x in out]
         wrote = [{"tile_x": k[0], "tile_y": k[1], "tile_bands": held[k][0].shape[2], "tile_data": held[k][0].tobytes(), "mask": held[k][1].tobytes()} for k in sorted(changed)]
         return pa.Table.from_pylist(done + wrote, schema=mixed)
 
-    mixed = pa.schema([("image_id", pa.int64()), ("order", pa.int64()), ("return_code", pa.string()), *((n, pa.int64()) for n in window), ("duration", pa.float64()), ("data", pa.binary()), ("tile_x", pa.int64()), ("tile_y", pa.int64()), ("tile_bands", pa.int32()), ("tile_data", pa.binary()), ("mask", pa.binary())])
+    mixed = pa.schema([("image_id", pa.int64()), ("order", pa.int64()), ("return_code", pa.string()), *((n, pa.int64()) for n in window), ("duration", pa.float64()), ("data", pa.binary()), ("log", pa.map_(pa.string(), pa.float64())), ("tile_x", pa.int64()), ("tile_y", pa.int64()), ("tile_bands", pa.int32()), ("tile_data", pa.binary()), ("mask", pa.binary())])
 
     def latest() -> DataFrame:
         """The newest row of each tile: of the recent waves', by wave, or else of those before."""

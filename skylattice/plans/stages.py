@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import argparse
-import copy
 from collections.abc import Callable
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo, predicate
-from ..operators import correlate as co, interpolate as ip, mosaic as mo, order as od, registrar as rg, scores as sc, sequential as sq, tiles as ti
+from ..operators import correlate as co, image_ops, interpolate as ip, mosaic as mo, order as od, registrar as rg, scores as sc, sequential as sq, tiles as ti
 from ..sources import files as fs, logs as lg, sinks
+from .services import Services, merged, parsed
 
 #: Stage name to function of (spark, config); more can be registered.
 STAGES: dict[str, Callable[[SparkSession, dict], dict[str, DataFrame]]] = {}
 DEFAULTS = {
     "metadata_processor": {"tz_offset_in_hr": 5.0, "unmatched": "drop", "patterns": [], "use_cached_output": True, "crs": "EPSG:3857"},
     "mosaicker": {"padding_fraction": 0.1, "crs": "EPSG:3857", "tile": 256},
-    "sequential_mosaicker": {"altitude": 13000.0, "gyro": 0.075, "sensors": {0: 1, 1: 0, 2: 2}, "angles": {0: 30.0, 1: 0.0, 2: 30.0}, "tile": 256},
+    "sequential_mosaicker": {"altitude": 13000.0, "gyro": 0.075, "sensors": {0: 1, 1: 0, 2: 2}, "angles": {0: 30.0, 1: 0.0, 2: 30.0}, "tile": 256, "steps": ["altitude_filter", "steady_filter", "registrar", "order"], "aligner": {}, "variations": []},
     "query_processor": {"condition": "image_id >= 0"},
     "base": {},
 }
@@ -32,18 +32,10 @@ def stage(name: str) -> Callable:
     return add
 
 
-def merged(base: dict, over: dict) -> dict:
-    """Deep merge; the second wins."""
-    out = copy.deepcopy(base)
-    for k, v in over.items():
-        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else copy.deepcopy(v)
-    return out
-
-
 def load_config(path: str, local: dict | None = None) -> dict:
     with open(path) as f:
         config = merged(yaml.safe_load(f), local or {})
-    return merged({"options": DEFAULTS.get(config.get("stage", "base"), {})}, config)
+    return parsed(merged({"options": DEFAULTS.get(config.get("stage", "base"), {})}, config))
 
 
 def inputs(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
@@ -111,23 +103,51 @@ def mosaicker(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     return {"footprints": placed.drop("data"), "mosaic": tiles, "raster": spark.createDataFrame([raster])}
 
 
+def numbers(d: dict) -> dict:
+    return {int(k): v for k, v in d.items()}
+
+
+#: Steps from metadata to placed images, by name: functions of (rows, referenced images, options). More
+#: can be registered, and the option ``steps`` says which are taken and in what order.
+STEPS: dict[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {
+    "altitude_filter": lambda rows, known, o: rows.where(sc.altitude_filter(o["altitude"])),
+    "steady_filter": lambda rows, known, o: rows.where(sc.steady_filter(o["gyro"])),
+    "registrar": lambda rows, known, o: rg.fit(known).transform(rows, numbers(o["angles"])),
+    "order": lambda rows, known, o: od.sensor_and_distance(rows, numbers(o["sensors"])),
+}
+
+
+def prepared(rows: DataFrame, known: DataFrame, options: dict) -> DataFrame:
+    """Metadata after the named steps."""
+    for name in options["steps"]:
+        if name not in STEPS:
+            raise ValueError(f"unknown step {name!r}")
+        rows = STEPS[name](rows, known, options)
+    return rows
+
+
 @stage("sequential_mosaicker")
 def sequential(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """Filters, registers and orders raw images, and aligns each, within its search zone, with the training
-    mosaic of the referenced images and what came before. Successes get bounds in metres; the mosaic is a
-    table of tiles."""
+    """Filters, registers and orders raw images by the named steps, and aligns each, within its search zone,
+    with the training mosaic of the referenced images and what came before; aligners that vary in their
+    options are tried in turn. Successes get bounds in metres; the mosaic is a table of tiles. With a
+    table ``test`` of true bounds, images in it get the differences from them beside their outcome."""
     t, o = inputs(spark, config), config["options"]
     model = rg.fit(t["referenced"])
-    rows = t["metadata"].where(sc.altitude_filter(o["altitude"]) & sc.steady_filter(o["gyro"]))
-    rows = od.sensor_and_distance(model.transform(rows, {int(k): v for k, v in o["angles"].items()}), {int(k): v for k, v in o["sensors"].items()})
+    rows = prepared(t["metadata"], t["referenced"], o)
     zone = rows.withColumns(geo.search_zone(F.col("padding")))
     box, medians = ["image_id", "order", "x_min", "x_max", "y_min", "y_max", "training"], model.medians
     known = t["referenced"].withColumns({"order": F.lit(-1).cast("long"), "training": F.lit(True)})
     every = zone.withColumn("training", F.lit(False)).select(*box).unionByName(known.select(*box))
     raster = mo.extent(every.withColumns({"padding": F.lit(0.0), "pixel_width": F.lit(medians["pixel_width"]), "pixel_height": F.lit(medians["pixel_height"])})).first().asDict()
     placed = mo.pixel_rectangles(every, raster)
-    out, tiles = sq.sequential_tiles(placed.join(t["pixels"], "image_id"), o["tile"])
+    services = Services(config.get("services"))
+    services.register("image_operator", image_ops.variations)
+    operator = services.get("image_operator", defaults=o["aligner"], changes=o["variations"])
+    out, tiles = sq.sequential_tiles(placed.join(t["pixels"], "image_id"), o["tile"], operator)
     out = out.where(F.col("order") >= 0).withColumns(geo.to_bounds(raster))
+    if "test" in t:
+        out = sc.combine_first(out, sc.geometric_differences(out, t["test"], how="inner"), ["image_id"])
     return {"footprints": placed, "progress": out, "mosaic": tiles, "raster": spark.createDataFrame([raster])}
 
 

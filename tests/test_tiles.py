@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.operators import kernels, mosaic as mo, sequential as sq, tiles as ti
+from skylattice.operators import image_ops, kernels, mosaic as mo, sequential as sq, tiles as ti
 
 IMAGES = "image_id long, order long, x_off long, y_off long, x_size long, y_size long, rows long, columns long, bands long, data binary"
 
@@ -27,7 +27,7 @@ def plain_fold(rows, aligner=None, strict=(), lo=-40, hi=200):
     for r in sorted(rows, key=lambda r: (r[0] not in strict, r[1], r[0])):
         i, _, x, y, w, h, rr, cc, b, data = r
         held = canvas[y - lo : y - lo + h, x - lo : x - lo + w]
-        code, drawn = sq.fold_step(np.frombuffer(bytes(data), np.uint8).reshape(rr, cc, b), held, None if i in strict else aligner, bool(strict))
+        code, drawn, _ = sq.fold_step(np.frombuffer(bytes(data), np.uint8).reshape(rr, cc, b), held, None if i in strict else aligner, bool(strict))
         codes[i] = code
         if drawn is not None:
             free = held.sum(2, dtype=int) == 0
@@ -89,7 +89,7 @@ def by_shift():
             raise kernels.ImageError("bad_det")
         return np.array([[1.0, 0, total % 3], [0, 1, total % 2], [0, 0, 1]])
 
-    return aligner
+    return image_ops.aligner_blender(aligner)
 
 
 @pytest.mark.parametrize("strict", [(), (0, 7, 9, 21)])
