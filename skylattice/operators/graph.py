@@ -7,13 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: The temporary folder of each local application.
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one in local mode, in
     which all threads share a disk, and else one in the warehouse, which all executors reach."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        folder = tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        local, app = spark.sparkContext.master.split("[")[0] == "local", spark.sparkContext.applicationId
+        if local and app not in _folders:
+            _folders[app] = tempfile.mkdtemp(prefix="checkpoints-")
+        folder = _folders[app] if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     return folder
 
 

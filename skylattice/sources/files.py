@@ -160,6 +160,24 @@ def geotiff_headers(files: DataFrame, padding_fraction: float = 0.1) -> DataFram
     return out.withColumns({"x_center": geo.centre(c("x_min"), c("x_max")), "y_center": geo.centre(c("y_min"), c("y_max")), "padding": geo.padding(c("x_min"), c("x_max"), c("y_min"), c("y_max"), padding_fraction)})
 
 
+#: Bytes of pixels that are handed on at once.
+HANDED_ON = 32 << 20
+
+
+def in_parts(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of a few images, by the bytes of their pixels (column ``data``), so that a task never holds
+    the decoded images of a whole batch."""
+    held, size, at = [], 0, names.index("data")
+    for row in rows:
+        held.append(row)
+        size += len(row[at])
+        if size >= HANDED_ON:
+            yield pd.DataFrame(held, columns=names)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
 PIXELS = "filepath string, rows long, columns long, bands long, data binary"
 
 
@@ -167,19 +185,17 @@ def load_images(files: DataFrame, raw_shape: tuple[int, int] = (1200, 1920), kin
     """Pixels of a ``binaryFile`` table as bytes, row by row; ``.raw`` and ``.tif``/``.tiff`` only.
     ``kind``: a NumPy type all images are rescaled to, else each keeps its own."""
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            rows = []
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 end = path.rpartition(".")[2].lower()
                 if end not in ("raw", "tif", "tiff"):
                     raise OSError(f"cannot read images of type {end!r}")
                 m = raw_pixels(data, *raw_shape) if end == "raw" else tiff_pixels(data)
                 m = rescaled(m, kind) if kind else m
-                rows.append((path, *m.shape, np.ascontiguousarray(m).tobytes()))
-            yield pd.DataFrame(rows, columns=["filepath", "rows", "columns", "bands", "data"])
+                yield path, *m.shape, np.ascontiguousarray(m).tobytes()
 
-    return files.select("path", "content").mapInPandas(task, PIXELS)
+    return files.select("path", "content").mapInPandas(lambda batches: in_parts(decoded(batches), [f.split()[0] for f in PIXELS.split(", ")]), PIXELS)
 
 
 REFERENCED = PIXELS + ", x_min double, x_max double, y_min double, y_max double"
@@ -193,18 +209,16 @@ def load_referenced(files: DataFrame, source: str = "EPSG:3857", target: str | N
     resampled (``kernels.reprojected``).
     """
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            rows = []
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 t = Tiff(Ranges(data))
                 m, bounds = rescaled(t.pixels(), "u1"), t.bounds() or [None] * 4
                 if t.bounds() and target and target != source:
                     m, bounds = kernels.reprojected(m, bounds, source, target)
-                rows.append((path, *m.shape, np.ascontiguousarray(m).tobytes(), *bounds))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in REFERENCED.split(", ")])
+                yield path, *m.shape, np.ascontiguousarray(m).tobytes(), *bounds
 
     from ..operators import kernels
 
-    return files.select("path", "content").mapInPandas(task, REFERENCED)
+    return files.select("path", "content").mapInPandas(lambda batches: in_parts(decoded(batches), [f.split()[0] for f in REFERENCED.split(", ")]), REFERENCED)
 
