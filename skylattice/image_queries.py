@@ -532,6 +532,24 @@ def i11_referencer(t):
     return back.select(F.regexp_extract("filepath", r"(\d+)\.tif$", 1).cast("long").alias("image_id"), "x_min", "y_max", short().alias("file"))
 
 
+@query(f"""WITH {PIX_SQL}, mosaic AS (SELECT x, y, arg_min(v, ord) FILTER (v > 0) AS m FROM pix GROUP BY x, y),
+both_sides AS (SELECT vec_id, CAST(v AS DOUBLE) AS v, CAST(m AS DOUBLE) AS m FROM pix JOIN mosaic USING (x, y) WHERE v > 0 AND m > 0),
+sums AS (SELECT vec_id, count(*) AS n, sum(v) AS a, sum(m) AS b, sum(v * m) AS ab, sum(v * v) AS aa, sum(m * m) AS bb FROM both_sides GROUP BY vec_id)
+SELECT vec_id AS image_id, round((ab - a * b / n) / sqrt((aa - a * a / n) * (bb - b * b / n)), 4) AS score FROM sums WHERE aa - a * a / n > 0 AND bb - b * b / n > 0""")
+def i12_mosaic_scores(t):
+    """Each image against the mosaic of all, tile by tile."""
+    df = on_mosaic(t)
+    raster = ti.merged(ti.pieces(df, 16), 16)
+    return rounded(ti.scores(df, raster, 16).where("score is not null"), "score")
+
+
+def on_mosaic(t: Callable) -> DataFrame:
+    """The images with their places in a mosaic of 64 x 64 and their order, by label and number."""
+    df = images(t).join(grey(t).select("vec_id", "label"), "vec_id")
+    place = {"order": c("label") * 1000000 + c("vec_id"), "x_off": c("vec_id") * 7 % 57, "y_off": c("vec_id") * 13 % 57, "x_size": F.lit(8), "y_size": F.lit(8)}
+    return df.select(c("vec_id").alias("image_id"), *(e.cast("long").alias(n) for n, e in place.items()), "rows", "columns", "bands", "data")
+
+
 @query(f"SELECT image_id, 'success' AS code, true AS close, 1 AS variation FROM ({SCENE_SQL})")
 def i3_aligned_blend(t):
     """A piece is warped onto its scene, by the second of two variations: where it has pixels they are the scene's."""
@@ -553,7 +571,7 @@ def i3_aligned_blend(t):
 @query(f"WITH {PIX_SQL} SELECT x, y, CAST(coalesce(arg_min(v, ord) FILTER (v > 0), 0) AS INT) AS r FROM pix GROUP BY x, y")
 def i10_streamed_mosaic(t):
     """A stream of new image files, in two runs with every third image late: tiles are state that the second goes on with."""
-    df = images(t).join(grey(t).select("vec_id", "label"), "vec_id").select(c("vec_id").alias("image_id"), (c("label") * 1000000 + c("vec_id")).cast("long").alias("order"), (c("vec_id") * 7 % 57).cast("long").alias("x_off"), (c("vec_id") * 13 % 57).cast("long").alias("y_off"), F.lit(8).cast("long").alias("x_size"), F.lit(8).cast("long").alias("y_size"), "rows", "columns", "bands", "data")
+    df = on_mosaic(t)
     spark, folder = df.sparkSession, scratch(df)
     for late in (False, True):
         df.where((c("image_id") % 3 == 1) == F.lit(late)).write.mode("append").parquet(f"{folder}/in")
@@ -585,9 +603,7 @@ def i16_mosaic(t):
 @query(f"WITH {PIX_SQL} SELECT x, y, CAST(coalesce(arg_min(v, ord) FILTER (v > 0), 0) AS INT) AS r FROM pix GROUP BY x, y")
 def i10_mosaic_update(t):
     """Images that are known to fill their windows update a mosaic one after the other, in waves of cells."""
-    df = images(t).join(grey(t).select("vec_id", "label"), "vec_id").select(c("vec_id").alias("image_id"), c("vec_id"), "label", *(c(n) for n in ("rows", "columns", "bands", "data")))
-    df = od.ordered(df.select("image_id", "label"), ["label"]).select("image_id", "order").join(df, "image_id")
-    df = df.withColumns({"x_off": c("vec_id") * 7 % 57, "y_off": c("vec_id") * 13 % 57, "x_size": F.lit(8).cast("long"), "y_size": F.lit(8).cast("long")})
+    df = od.ordered(on_mosaic(t).withColumnRenamed("order", "rank"), ["rank"])
     return ti.pixels_of(sq.sequential_tiles(df, 16, None)[1], 16, ["r"])
 
 

@@ -116,3 +116,33 @@ def window(raster: DataFrame, rect: tuple[int, int, int, int], tile: int) -> Dat
     """The tiles under (x_off, y_off, x_size, y_size); a range filter that reaches the scan."""
     x, y, w, h = rect
     return raster.where(F.col("tile_x").between(x // tile, (x + w - 1) // tile) & F.col("tile_y").between(y // tile, (y + h - 1) // tile))
+
+
+SUMS = "image_id long, band int, n double, x double, y double, xy double, xx double, yy double"
+
+
+def scores(images: DataFrame, raster: DataFrame, tile: int) -> DataFrame:
+    """(image_id, score): normalised correlation coefficient of each image with the raster under it, bands
+    centred each by its own mean, over values where neither is 0; null without two such values.
+
+    Images are cut along tiles, and each piece meets its tile once; what is sent on are six sums a piece
+    and band, which an aggregation with partial results adds up.
+    """
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                part = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, r.bands).astype(float)
+                under = np.frombuffer(r.under, np.uint8).reshape(tile, tile, r.bands)[r.y : r.y + r.h, r.x : r.x + r.w].astype(float)
+                for b in range(r.bands):
+                    both = (part[..., b] != 0) & (under[..., b] != 0)
+                    u, v = part[..., b][both], under[..., b][both]
+                    rows.append((r.image_id, b, float(len(u)), u.sum(), v.sum(), (u * v).sum(), (u * u).sum(), (v * v).sum()))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in SUMS.split(", ")])
+
+    met = pieces(images, tile).join(raster.select("tile_x", "tile_y", F.col("data").alias("under")), ["tile_x", "tile_y"])
+    sums = met.select("image_id", "x", "y", "w", "h", "bands", "data", "under").mapInPandas(task, SUMS)
+    per_band = sums.groupBy("image_id", "band").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy"))).where("n > 0")
+    cross, left, right = F.sum(F.expr("xy - x * y / n")), F.sum(F.expr("xx - x * x / n")), F.sum(F.expr("yy - y * y / n"))
+    return per_band.groupBy("image_id").agg(F.when((left > 0) & (right > 0), cross / F.sqrt(left * right)).alias("score"))

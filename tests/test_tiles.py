@@ -132,6 +132,28 @@ def test_a_chained_flight_takes_bounded_tasks(spark, by_shift, monkeypatch):
     assert (canvas_of(raster, 16, 1, hi=900) == canvas).all() and seen.value > 10
 
 
+def test_scores_against_a_raster(spark):
+    """By tiles as by rows of pixels, and 1 for an image that lies on top."""
+    rows = random_images(25, 6)
+    images = spark.createDataFrame(rows, IMAGES)
+    raster = ti.merged(ti.pieces(images, 16), 16)
+    got = {r.image_id: r.score for r in ti.scores(images, raster, 16).collect()}
+    canvas = canvas_of(raster, 16, 2)
+    for r in rows:
+        m = np.frombuffer(bytes(r[9]), np.uint8).reshape(r[7 - 1], r[7], 2).astype(float)
+        under = canvas[r[3] + 40 : r[3] + 40 + r[5], r[2] + 40 : r[2] + 40 + r[4]].astype(float)
+        cross = left = right = 0.0
+        for b in (0, 1):
+            both = (m[..., b] != 0) & (under[..., b] != 0)
+            if both.any():
+                u, v = m[..., b][both] - m[..., b][both].mean(), under[..., b][both] - under[..., b][both].mean()
+                cross, left, right = cross + u @ v, left + u @ u, right + v @ v
+        if left > 1e-9 and right > 1e-9:
+            assert got[r[0]] == pytest.approx(cross / np.sqrt(left * right), abs=1e-9)
+    first = min(rows, key=lambda r: (r[1], r[0]))
+    assert got[first[0]] is None or got[first[0]] == pytest.approx(1)
+
+
 def test_no_images(spark):
     out, raster = sq.sequential_tiles(spark.createDataFrame([], IMAGES), 16)
     assert out.count() == raster.count() == 0
