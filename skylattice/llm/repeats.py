@@ -44,6 +44,8 @@ SCHEMA = pa.schema([("route", pa.int32()), ("grp", pa.int32()), ("blk", pa.int32
 NO_ID = np.iinfo(np.int64).max
 #: Tokens of the second hash of bytes.
 BYTE_TOKENS = T.mix(np.arange(1, 257).astype(T.U64))
+#: Parts in which a key range sorts its keys, one after the other.
+PARTS = 16
 #: Bytes of text for each key range; a group of texts has a quarter of that.
 RANGE_BYTES = 16 << 20
 
@@ -190,8 +192,14 @@ def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 def _joined(table: pa.Table, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    parts = table["payload"].to_pylist()
-    return np.frombuffer(b"".join(parts), dtype), np.array([len(p) // dtype.itemsize for p in parts], np.int64)
+    """All payloads of a table as one array, read in place, and the rows of each."""
+    column = table["payload"].combine_chunks()
+    if isinstance(column, pa.ChunkedArray):  # none, or beyond what one array holds
+        column = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1] or bytes(8), kind)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data.view(dtype), np.diff(ends).astype(np.int64) // dtype.itemsize
 
 
 def _replies(table: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
@@ -273,13 +281,19 @@ def find(docs: DataFrame, plan: Plan, finish: Callable, schema: str, branches: t
 
     def answer_anchors(table: pa.Table) -> pa.Table:
         raw, sizes = _joined(table, SHORT)
-        keys, marks = _long(raw)
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-        count = np.diff(np.append(first, len(keys)))
-        low, high = np.minimum.reduceat(marks[order], first), np.maximum.reduceat(marks[order], first)
-        bits = np.empty((len(keys), 3), bool)
-        bits[order] = np.repeat(np.stack([count > 1, (low == 0) | (low != high), count > plan.hot_blocks], 1), count, axis=0)
+        bits, part = np.empty((len(raw), 3), bool), raw.view(np.uint8).reshape(-1, SHORT.itemsize)[:, 0] % PARTS
+        for p in range(PARTS):  # by the last bits of the key, so that only a part is sorted at once
+            at = np.flatnonzero(part == p)
+            if not len(at):
+                continue
+            keys, marks = _long(raw[at])
+            order = np.argsort(keys, kind="stable")
+            keys, marks, at = keys[order], marks[order], at[order]
+            del order
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            count = np.diff(np.append(first, len(keys)))
+            low, high = np.minimum.reduceat(marks, first), np.maximum.reduceat(marks, first)
+            bits[at] = np.repeat(np.stack([count > 1, (low == 0) | (low != high), count > plan.hot_blocks], 1), count, axis=0)
         return _answer(table, sizes, bits)
 
     def send_contexts(docs: pa.Table, replies: pa.Table) -> pa.Table:
