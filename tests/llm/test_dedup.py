@@ -266,3 +266,22 @@ def test_forest_finds_links_at_depth(depth):
     of = lambda x: [set(leaf[lo:hi]) for row, leaf in [forest.leaves(x)] for lo, hi in zip(*(np.searchsorted(row, np.arange(len(x)), s) for s in ("left", "right")))]
     met = [bool(x & y) for x, y in zip(of(a[pairs]), of(b[pairs]))]
     assert len(pairs) > 50 and np.mean(met) >= 0.999
+
+
+def test_embedding_dedup_at_depth(spark):
+    """The whole operator with trees of several levels, on planted twins of one label: every row equals brute force."""
+    r = np.random.default_rng(11)
+    v = r.standard_normal((4000, 24)).astype(np.float32)
+    v[2000:3500] = v[:1500] + (r.standard_normal((1500, 24)) * 0.25).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert near.sum() > 1000
+    least, before = np.arange(len(v)), None
+    while before is None or (before != least).any():
+        before = least.copy()
+        for i, j in zip(*np.nonzero(near), strict=True):
+            least[i] = min(least[i], least[j])
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embedding_dedup(df, leaf=64, per_leaf=16).collect()}
+    assert got == {i: (int(near[i].sum()), int(least[i])) for i in range(len(v))}
