@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textops as T
-from .components import cut, discard
+from .components import cut, discard, shared_folder
 
 #: Ids of a family of conversations, and one more than the most turns they take from its first one.
 FAMILY, SHARED = 100, 6
@@ -131,7 +132,7 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
         alone.append(level.where("classes = 1").select("rep", "node", F.lit(depth).cast("long").alias("since")))
         ending.append(level.where(F.col("n") == depth).select("rep", F.col("n").alias("depth"), F.col("child").alias("conv_id")))
         if depth % BAND == 0:
-            alone, ending = ([cut(union(x))] for x in (alone, ending))
+            alone, ending = ([stored(union(x))] for x in (alone, ending))
         live = level.where(F.col("classes") > 1).where(F.col("n") > depth).select("rep", F.col("child").alias("node"))
 
     ends = [classes.where("n = 0").select("rep", F.col("n").alias("depth"), F.lit(root).alias("conv_id")), *ending]
@@ -141,7 +142,7 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
         path = every.join(union(alone), "rep").where("depth >= since").withColumn("saves", (F.col("copies") - 1) * F.col("length"))
         many = before(path.where("copies > 1"), "rep", F.floor(F.col("depth") / BLOCK), [F.desc("depth")], F.col("saves"), "saved_tokens", last_first=True)
         path = path.where("copies = 1").withColumn("saved_tokens", zero).unionByName(many)
-        paths = cut(path.select(F.col("rep").alias("conv_id"), "depth", F.when(F.col("depth") == F.col("since"), F.col("node")).otherwise(F.col("rep")).alias("parent_conv_id"), F.col("copies").alias("n_convs"), (F.col("depth") < F.col("n")).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), "saved_tokens", "since"))
+        paths = stored(path.select(F.col("rep").alias("conv_id"), "depth", F.when(F.col("depth") == F.col("since"), F.col("node")).otherwise(F.col("rep")).alias("parent_conv_id"), F.col("copies").alias("n_convs"), (F.col("depth") < F.col("n")).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), "saved_tokens", "since"))
         ends.append(union(alone).join(classes, "rep").where("n > since").select("rep", F.col("n").alias("depth"), F.col("rep").alias("conv_id")))
 
     out, below = [], None
@@ -158,7 +159,7 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
         below = cut(nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", zero).alias("n_children"), F.coalesce("n_leaves", F.lit(1).cast("long")).alias("n_leaves"), (F.col("saves") + F.coalesce("below", zero)).alias("saved_tokens")))
         out.append(below)
         if len(out) % BAND == 0:
-            out = [cut(union(out))]
+            out = [stored(union(out))]
 
     hashed = classes.where("copies = 1").select("rep", F.sha2(F.col("rep").cast("string").cast("binary"), 256).alias("sha"))
     copies = sign.join(classes.where("copies > 1").drop("copies"), ["n", "s1", "s2"]).select("rep", "conv_id")
@@ -168,6 +169,14 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("sha", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder. What a checkpoint of a union remembers of its columns
+    can name some of another table, at which a union with it then fails."""
+    folder = f"{shared_folder(df.sparkSession)}/trie-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def union(tables: list[DataFrame]) -> DataFrame:
     first, *rest = tables
     for x in rest:
