@@ -602,7 +602,7 @@ def i16_mosaic(t):
 
 @query(f"WITH {PIX_SQL} SELECT x, y, CAST(coalesce(arg_min(v, ord) FILTER (v > 0), 0) AS INT) AS r FROM pix GROUP BY x, y")
 def i10_mosaic_update(t):
-    """Images that are known to fill their windows update a mosaic one after the other, in waves of cells."""
+    """Images that are known to fill their windows update a mosaic in order; none looks at what lies there, so they are merged set-based."""
     df = od.ordered(on_mosaic(t).withColumnRenamed("order", "rank"), ["rank"])
     return ti.pixels_of(sq.sequential_tiles(df, 16, None)[1], 16, ["r"])
 

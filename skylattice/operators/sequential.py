@@ -23,6 +23,8 @@ CELL, CELL_BYTES, CELL_IMAGES = 16, 64 << 20, 256
 BROADCAST_IMAGES = 100_000
 #: Waves after which tiles that no later image touches are put aside and the others are written anew.
 TIDY = 8
+#: What training images, where none is aligned, are put before the others by.
+TRAINED = 1 << 62
 Aligner = Callable[[np.ndarray, np.ndarray], np.ndarray]
 ALIGNED = image_ops.aligner_blender()
 
@@ -81,9 +83,9 @@ def sequential_tiles(images: DataFrame, tile: int = 256, operator: Operator | No
     windows (search zones), and where nothing lies there their code is ``dst_dark_frame``. Without
     that column an image that meets nothing is drawn as it stands, to begin a mosaic. An empty window
     is ``out_of_bounds``. ``operator`` (``image_ops``) places an image in its window; without one, images
-    fill their windows.
+    fill their windows whatever lies there, so all are drawn side by side and merged set-based.
 
-    An image depends only on earlier ones that share a tile with it, so the flight is folded in waves.
+    With an operator an image depends only on earlier ones that share a tile with it, so the flight is folded in waves.
     In a wave the plane is dealt into square cells, shifted by half a cell from one wave to the next in
     either direction. Of its first images in order a cell may fold those that lie inside it and meet no
     earlier image that must wait; which ones these are follows from windows alone. Then pixels and
@@ -113,6 +115,11 @@ def sequential_tiles(images: DataFrame, tile: int = 256, operator: Operator | No
         return pd.DataFrame(rows, columns=OUT_NAMES).astype({n: "Int64" for n in OUT_NAMES[3:7]})
 
     pixel = ["image_id", "order", *window, "rows", "columns", "bands", "data"]
+    if operator is None:
+        every = images.where(some)
+        first = F.when(F.col("training"), F.col("order") - TRAINED).otherwise(F.col("order")) if strict else F.col("order")
+        raster = ti.merged(ti.pieces(every.withColumn("order", first), tile), tile)
+        return united([void, every.select(*pixel).mapInPandas(draw, OUT)]), raster
     done = [void, known.select(*pixel).mapInPandas(draw, OUT)]
     base = cut(ti.merged(ti.pieces(known, tile), tile)) if strict else images.sparkSession.createDataFrame([], ti.TILE)
 

@@ -20,6 +20,8 @@ PIECE = "tile_x long, tile_y long, order long, image_id long, x int, y int, w in
 TILE = "tile_x long, tile_y long, bands int, data binary, mask binary"
 #: Orders of one block, whose pieces of a tile are merged before blocks are.
 BLOCK = 64
+#: Bytes of pixels after which a task hands its pieces on.
+HANDED_ON = 4 << 20
 
 
 def cut_along(image: np.ndarray, x_off: int, y_off: int, tile: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
@@ -34,9 +36,11 @@ def cut_along(image: np.ndarray, x_off: int, y_off: int, tile: int) -> Iterator[
 
 def pieces(images: DataFrame, tile: int) -> DataFrame:
     """Images (image_id, order, rows, columns, bands, data: uint8) resized to their pixel rectangles (x_off, y_off,
-    x_size, y_size) and cut along tiles, one image at a time. Empty rectangles have none."""
+    x_size, y_size) and cut along tiles, and handed on by bytes. Empty rectangles have none."""
+    frame = lambda rows: pd.DataFrame(rows, columns=[f.split()[0] for f in PIECE.split(", ")])
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, size = [], 0
         for batch in batches:
             for r in batch.itertuples():
                 if r.x_size < 1 or r.y_size < 1:
@@ -44,8 +48,13 @@ def pieces(images: DataFrame, tile: int) -> DataFrame:
                 image = np.frombuffer(r.data, np.uint8).reshape(r.rows, r.columns, r.bands)
                 if image.shape[:2] != (r.y_size, r.x_size):
                     image = kernels.resize(image.astype(float), r.y_size, r.x_size).round().astype(np.uint8)
-                found = [(tx, ty, r.order, r.image_id, x, y, p.shape[1], p.shape[0], r.bands, p.tobytes()) for tx, ty, x, y, p in cut_along(image, r.x_off, r.y_off, tile)]
-                yield pd.DataFrame(found, columns=[f.split()[0] for f in PIECE.split(", ")])
+                found += [(tx, ty, r.order, r.image_id, x, y, p.shape[1], p.shape[0], r.bands, p.tobytes()) for tx, ty, x, y, p in cut_along(image, r.x_off, r.y_off, tile)]
+                size += image.nbytes
+                if size >= HANDED_ON or len(found) >= 1000:
+                    yield frame(found)
+                    found, size = [], 0
+        if found:
+            yield frame(found)
 
     return images.select("image_id", "order", "x_off", "y_off", "x_size", "y_size", "rows", "columns", "bands", "data").mapInPandas(task, PIECE)
 

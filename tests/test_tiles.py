@@ -77,6 +77,28 @@ def test_waves_equal_the_plain_fold(spark, seed, most, monkeypatch):
     assert (canvas_of(raster, 8, 2) == canvas).all()
 
 
+@pytest.mark.parametrize("strict", [(), (3, 8, 30)])
+def test_unaligned_images_take_no_waves(spark, strict, monkeypatch):
+    """Six times the images over one place take as many jobs, and give the plain fold."""
+    monkeypatch.setattr(sq, "CELL_IMAGES", 2)
+    monkeypatch.setattr(ti, "BLOCK", 7)
+    jobs = []
+    for n in (10, 60):
+        rows = random_images(n, 9, span=12)
+        df = spark.createDataFrame(rows, IMAGES)
+        df = df.withColumn("training", F.col("image_id").isin(*strict)) if strict else df
+        spark.sparkContext.setJobGroup(f"unaligned {strict} {n}", "")
+        try:
+            out, raster = sq.sequential_tiles(df, 8, None)
+            codes, canvas = plain_fold(rows, strict=strict)
+            assert {r.image_id: r.return_code for r in out.collect()} == codes
+            assert (canvas_of(raster, 8, 2) == canvas).all()
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"unaligned {strict} {n}")))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
 @pytest.fixture
 def by_shift():
     """A quick aligner that depends on all of the window, to tell one order of folding from another."""
