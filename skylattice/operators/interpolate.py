@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 PER_BUCKET = 50_000
 
 
+def clock_micros(t: Column) -> Column:
+    """Microseconds from 1970 of a time without a zone, as its clock says: the session's zone and its
+    changes of the hour play no part."""
+    return F.unix_date(t.cast("date")) * F.lit(86_400_000_000) + (F.hour(t) * 3600 + F.minute(t) * 60) * F.lit(1_000_000).cast("long") + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
 def interpolate_at(rows: DataFrame, log: DataFrame, time: str, values: list[str], by: list[str] | None = None, bucket_us: int | None = None) -> DataFrame:
     """``interpolate_logs`` of a single log."""
     return interpolate_logs(rows, [(log, values)], time, by, bucket_us)
@@ -22,10 +28,12 @@ def interpolate_logs(rows: DataFrame, logs: list[tuple[DataFrame, list[str]]], t
     goes forward and another one backward in time, each with a frame that ends at its row, so a
     bucket costs two sorts and two passes whatever it holds. The first and last log rows of each
     bucket are carried across buckets over one row a bucket. Without ``bucket_us`` buckets are so
-    wide that they hold PER_BUCKET rows of all tables on average.
+    wide that they hold PER_BUCKET rows of all tables on average. Times without a zone are taken
+    as they stand; only where some have one are the others read in the session's zone.
     """
     by = by or []
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    plain = all(dict(df.dtypes)[time] == "timestamp_ntz" for df in (rows, *(log for log, _ in logs)))
+    micros = lambda c: clock_micros(F.col(c)) if plain else F.unix_micros(F.col(c).cast("timestamp"))
     both = rows.withColumns({"_t": micros(time), "_row": F.lit(True)})
     marks = [f"_k{j}" for j in range(len(logs))]
     for mark, (log, values) in zip(marks, logs, strict=True):

@@ -68,3 +68,19 @@ def test_cost_of_one_full_bucket_is_linear(spark):
 
     seconds(1000)
     assert seconds(200_000) <= 3 * max(seconds(100_000), 0.5)
+
+
+def test_times_without_a_zone_do_not_depend_on_the_session(spark):
+    """An hour that the session's zone skips, or has twice, counts as any other."""
+    log = [("2024-03-10 01:00:00", 0.0), ("2024-03-10 05:00:00", 4.0), ("2024-11-03 00:00:00", 0.0), ("2024-11-03 04:00:00", 4.0)]
+    at = [("2024-03-10 02:30:00.5", 1.5 + 0.5 / 3600), ("2024-03-10 03:30:00", 2.5), ("2024-11-03 02:00:00", 2.0), ("2024-03-10 01:00:00", 0.0)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        times = lambda pairs, name: spark.createDataFrame(pairs, f"t string, {name} double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+        got = ip.interpolate_at(times(at, "want"), times(log, "a"), "t", ["a"]).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert len(got) == len(at)
+    for r in got:
+        assert r.a == pytest.approx(r.want, abs=1e-9), r
