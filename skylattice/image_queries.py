@@ -184,7 +184,7 @@ def s13_reprojected_images(t):
 
     def first_column(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = [kernels.reprojected(np.frombuffer(r.data, np.uint8).reshape(8, 8, 1).astype(float) * 1e6, [r.s_x_min, r.s_x_max, r.s_y_min, r.s_y_max], "EPSG:4326", "EPSG:3857")[0][:, 0].sum() / 1e6 for r in p.itertuples()]
+            out = [kernels.reprojected(np.frombuffer(r.data, np.uint8).reshape(8, 8, 1).astype(float), [r.s_x_min, r.s_x_max, r.s_y_min, r.s_y_max], "EPSG:4326", "EPSG:3857")[0][:, 0].sum() for r in p.itertuples()]
             yield pd.DataFrame({"vec_id": p["vec_id"], "column_sum": out})
 
     sums = box.mapInPandas(first_column, "vec_id long, column_sum double")

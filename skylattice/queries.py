@@ -50,7 +50,9 @@ RASTER = {"x_min": 0.0, "x_max": 1100.0, "y_min": 0.0, "y_max": 2100.0, "pixel_w
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
-    return df.withColumns({x: F.round(c(x).cast("double"), digits) for x in columns})
+    """Rounded as SQL engines round doubles: the value is scaled in double precision before halves go away
+    from zero. ``F.round`` with digits rounds the shortest decimal form, which differs for halves."""
+    return df.withColumns({x: F.round(c(x).cast("double") * 10.0**digits, 0) / 10.0**digits for x in columns})
 
 
 def images(t: Callable) -> DataFrame:

@@ -63,3 +63,20 @@ def test_rasters_on_a_grid_of_their_own():
     assert np.abs(m[..., 0] - shade(*there))[inside].max() < 1 and (m[..., 0][(there[0] < 12.99) | (there[1] > 52.01)] == 0).all()
     back, box2 = kernels.reprojected(m, to, "EPSG:32633", "EPSG:4326")
     assert box2[0] <= 13 and box2[3] >= 52
+
+
+def test_halves_are_rounded_as_sql_does(spark):
+    import duckdb
+
+    from skylattice.queries import rounded
+
+    values = [(k + 0.5) / 10**4 for k in range(-3000, 3000, 7)] + [1e9 + 0.00005, 0.0]
+    got = [r.v for r in rounded(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()]
+    assert got == [r[0] for v in values for r in duckdb.sql(f"SELECT round({v!r}::DOUBLE, 4)").fetchall()]
+
+
+def test_floating_pixels_are_not_rounded():
+    m = np.linspace(0.0, 1.0, 64).reshape(8, 8, 1)
+    got, _ = kernels.reprojected(m, [10.0, 12.0, 40.0, 44.0], "EPSG:4326", "EPSG:3857")
+    assert got.dtype == float and got[0, 0, 0] == pytest.approx(0.0, abs=0.02) and 0 < got[3, 3, 0] < 1
+    assert kernels.reprojected((m * 200).astype(np.uint8), [10.0, 12.0, 40.0, 44.0], "EPSG:4326", "EPSG:3857")[0].dtype == np.uint8
