@@ -22,6 +22,8 @@ from .sources.tiff_source import register
 from .streaming import incremental, mosaics as streamed
 
 c = F.col
+#: Bytes of pictures that a task hands on at once.
+HANDED_ON = 4 << 20
 _written: dict[tuple[str, int, str], str] = {}
 
 
@@ -71,14 +73,16 @@ def vec() -> Column:
 
 def scenes(t: Callable) -> DataFrame:
     """Pictures (image_id, data: 96 x 112 bytes) of 42 images each, side by side and twice as large."""
-    held = grey(t).groupBy(F.floor(c("vec_id") / 42).alias("image_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "px"))).alias("parts")).where("size(parts) = 42")
+    held = images(t).groupBy(F.floor(c("vec_id") / 42).alias("image_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", F.hex("data").alias("h")))).alias("parts")).where("size(parts) = 42")
+    held = held.select("image_id", F.unhex(F.array_join("parts.h", "")).alias("data"))  # bytes, as lists of numbers take many times as much in a task
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for p in batches:
-            grids = [np.array([list(x["px"]) for x in parts]).reshape(6, 7, 8, 8).swapaxes(1, 2).reshape(48, 56, 1) for parts in p["parts"]]
-            yield pd.DataFrame({"image_id": p["image_id"], "data": [kernels.resize(g.astype(float), 96, 112).round().astype(np.uint8).tobytes() for g in grids]})
+            for r in p.itertuples():
+                grid = np.frombuffer(r.data, np.uint8).reshape(6, 7, 8, 8).swapaxes(1, 2).reshape(48, 56, 1)
+                yield r.image_id, kernels.resize(grid.astype(float), 96, 112).round().astype(np.uint8).tobytes()
 
-    return held.mapInPandas(task, "image_id long, data binary")
+    return held.mapInPandas(lambda batches: fs.in_parts(drawn(batches), ["image_id", "data"], HANDED_ON), "image_id long, data binary")
 
 
 def scene(data: bytes) -> np.ndarray:
@@ -479,17 +483,16 @@ def flight(t: Callable) -> DataFrame:
     """Per scene a training image, a piece of it whose search zone is the whole, a dark frame, and an
     image in whose zone nothing lies; each scene's place is apart from the others'."""
 
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flown(parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for p in parts:
-            out = []
             for r in p.itertuples():
                 whole, off, i = scene(r.data), 400 * r.image_id, 10 * r.image_id
                 piece = np.ascontiguousarray(whole[r.y : r.y + 65, r.x : r.x + 75])
                 for k, image, training, x in ((0, whole, True, off), (1, piece, False, off), (2, np.zeros_like(piece), False, off), (3, piece, False, off + 200)):
-                    out.append((i + k, k - 1, training, x, 0, 112, 96, *image.shape, image.tobytes()))
-            yield pd.DataFrame(out, columns=["image_id", "order", "training", "x_off", "y_off", "x_size", "y_size", "rows", "columns", "bands", "data"])
+                    yield i + k, k - 1, training, x, 0, 112, 96, *image.shape, image.tobytes()
 
-    return shifted(t).mapInPandas(task, "image_id long, order long, training boolean, x_off long, y_off long, x_size long, y_size long, rows long, columns long, bands long, data binary")
+    schema = "image_id long, order long, training boolean, x_off long, y_off long, x_size long, y_size long, rows long, columns long, bands long, data binary"
+    return shifted(t).mapInPandas(lambda parts: fs.in_parts(flown(parts), [f.split()[0] for f in schema.split(", ")], HANDED_ON), schema)
 
 
 FLIGHT_SQL = f"""SELECT 10 * image_id + k AS image_id, CASE k WHEN 2 THEN 'dark_frame' WHEN 3 THEN 'dst_dark_frame' ELSE 'success' END AS return_code,

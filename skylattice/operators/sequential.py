@@ -105,11 +105,18 @@ def sequential_tiles(images: DataFrame, tile: int = 256, operator: Operator | No
     rest = images.where(some & ~F.coalesce("training", F.lit(False))) if strict else images.where(some)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for r in batch.itertuples():
                 began, image = time.perf_counter(), np.frombuffer(r.data, np.uint8).reshape(r.rows, r.columns, r.bands)
                 code, drawn, log = fold_step(image, np.zeros((r.y_size, r.x_size, r.bands), np.uint8), None, strict)
-                yield frame([outcome(r.image_id, r.order, code, r.x_off, r.y_off, drawn, log, began)])
+                held.append(outcome(r.image_id, r.order, code, r.x_off, r.y_off, drawn, log, began))
+                size += r.y_size * r.x_size * r.bands
+                if size >= ti.HANDED_ON or len(held) >= 1000:
+                    yield frame(held)
+                    held, size = [], 0
+        if held:
+            yield frame(held)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=OUT_NAMES).astype({n: "Int64" for n in OUT_NAMES[3:7]})

@@ -164,14 +164,14 @@ def geotiff_headers(files: DataFrame, padding_fraction: float = 0.1) -> DataFram
 HANDED_ON = 32 << 20
 
 
-def in_parts(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
-    """Frames of a few images, by the bytes of their pixels (column ``data``), so that a task never holds
-    the decoded images of a whole batch."""
+def in_parts(rows: Iterator[tuple], names: list[str], most: int = HANDED_ON) -> Iterator[pd.DataFrame]:
+    """Frames of a few images, by the bytes of their pixels (column ``data``, which may be null), so that a task
+    never holds the decoded images of a whole batch."""
     held, size, at = [], 0, names.index("data")
     for row in rows:
         held.append(row)
-        size += len(row[at])
-        if size >= HANDED_ON:
+        size += len(row[at] or b"")
+        if size >= most:
             yield pd.DataFrame(held, columns=names)
             held, size = [], 0
     if held:

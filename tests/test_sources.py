@@ -279,3 +279,10 @@ def test_colours_are_interpolated():
     assert np.abs(m - want[..., None])[1:-1, 1:-1].max() <= 1
     own = np.where((y % 2 == 0) & (x % 2 == 0), 0, np.where(y % 2 != x % 2, 1, 2))
     assert (np.take_along_axis(m, own[..., None], 2)[..., 0] == want).all()
+
+
+def test_images_are_handed_on_by_bytes():
+    rows = [(i, bytes(10) if i % 3 else None) for i in range(20)]
+    parts = list(fs.in_parts(iter(rows), ["i", "data"], 30))
+    assert [r for p in parts for r in p["i"]] == list(range(20))
+    assert all(sum(len(x or b"") for x in p["data"]) <= 30 for p in parts) and len(parts) > 3
