@@ -290,6 +290,106 @@ def test_lm_gradient_and_learning():
     assert abs(total - 1) < 1e-3
 
 
+def lm_net(seed: int = 3) -> lm.Network:
+    r = np.random.default_rng(seed)
+    net = lm.Network.new(1e6 / np.arange(1, lm.BUCKETS + 1), seed)
+    for a in net.arrays.values():
+        a += (r.standard_normal(a.shape) * 0.1).astype(np.float32)
+    return net
+
+
+def lm_windows(n: int, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(seed)
+    return (r.random((n, 2 * lm.SIDE)) ** 8 * (lm.BUCKETS + 1)).astype(int), (r.random(n) ** 8 * lm.BUCKETS).astype(int)
+
+
+def test_lm_exponentials_of_a_minibatch_are_taken_at_once(monkeypatch):
+    """Not class by class, which made training and scoring cost twice the CPU seconds."""
+    net, (context, word), calls = lm_net(), lm_windows(3 * lm.BATCH), []
+    assert len(set(net.target(word)[1])) > lm.CLASSES // 2
+    exp = np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    net.train(context, word, 0.1, lm.BATCH)
+    assert len(calls) <= 3 * (lm.BATCH // lm.PART + 1)
+
+
+def test_lm_train_equals_plain_adagrad():
+    """Two minibatches, window by window in doubles."""
+    net, (context, word) = lm_net(), lm_windows(60)
+    p = {k: v.astype(float) for k, v in net.params.items()}
+    past = {k: np.full_like(v, 1e-2) for k, v in p.items()}
+    rank, word_class = net.target(word)
+    for i in (0, 30):
+        d, backs = {k: np.zeros_like(v) for k, v in p.items()}, []
+        for c, k, own in zip(context[i : i + 30], rank[i : i + 30], word_class[i : i + 30]):
+            x = np.concatenate([p["words"][j] for j in c])
+            h = np.tanh(x @ p["mix"] + p["bias"])
+            inside = slice(net.cut[own], net.cut[own + 1])
+            g, e = np.exp(h @ p["out"] + p["out_bias"]), np.exp(p["within"][inside] @ h + p["within_bias"][inside])
+            g, e = g / g.sum() / 30, e / e.sum() / 30
+            g[own] -= 1 / 30
+            e[k - inside.start] -= 1 / 30
+            back = (p["out"] @ g + e @ p["within"][inside]) * (1 - h * h)
+            for name, at, slope in (("out", ..., np.outer(h, g)), ("out_bias", ..., g), ("within", inside, np.outer(e, h)), ("within_bias", inside, e), ("mix", ..., np.outer(x, back)), ("bias", ..., back)):
+                d[name][at] += slope
+            backs.append((c, back))
+
+        def step(k: str) -> None:
+            past[k] += d[k] ** 2
+            p[k] -= 0.1 * d[k] / np.sqrt(past[k])
+
+        for k in ("out", "out_bias", "within", "within_bias", "mix", "bias"):
+            step(k)
+        for c, back in backs:  # words are moved last
+            for j, row in zip(c, (p["mix"] @ back).reshape(-1, lm.DIM)):
+                d["words"][j] += row
+        step("words")
+    net.train(context, word, 0.1, 30)
+    for k, v in net.params.items():
+        assert np.allclose(v, p[k], atol=2e-5), k
+
+
+def test_lm_scores_beyond_the_range_of_exponentials():
+    net, (context, word) = lm_net(), lm_windows(500)
+    net.arrays["out"] *= 300
+    net.arrays["within"] *= -300
+    p, (rank, word_class), want = {k: v.astype(float) for k, v in net.params.items()}, net.target(word), []
+    for c, k, own in zip(context, rank, word_class):
+        h = np.tanh(p["words"][c].ravel() @ p["mix"] + p["bias"])
+        inside = slice(net.cut[own], net.cut[own + 1])
+        z, y = h @ p["out"] + p["out_bias"], p["within"][inside] @ h + p["within_bias"][inside]
+        want.append(z[own] - z.max() - np.log(np.exp(z - z.max()).sum()) + y[k - inside.start] - y.max() - np.log(np.exp(y - y.max()).sum()))
+    assert min(want) < -100 and np.allclose(net.log_prob(context, word), want, rtol=1e-3, atol=2e-2)
+    net.train(context, word, 0.1, lm.BATCH)
+    assert all(np.isfinite(v).all() for v in net.arrays.values())
+
+
+def test_lm_equal_windows_are_scored_once_and_alike(monkeypatch):
+    net, (context, word), seen = lm_net(), lm_windows(300), []
+    scored = lm.Network.sorted_log_prob
+    monkeypatch.setattr(lm.Network, "sorted_log_prob", lambda self, c, r: seen.append(len(c)) or scored(self, c, r))
+    got = net.log_prob(np.tile(context, (40, 1)), np.tile(word, 40)).reshape(40, -1)
+    assert sum(seen) == len({(*c, w) for c, w in zip(context.tolist(), word.tolist())}) and (got == got[0]).all()
+    assert np.allclose(got[0], [net.log_prob(context[i : i + 1], word[i : i + 1])[0] for i in range(300)], rtol=1e-4)
+    assert len(net.log_prob(context[:0], word[:0])) == 0
+
+
+def test_lm_learned_network_is_the_one_that_scores(spark):
+    """Pairs of words that always stand together become likelier than by their counts."""
+    r = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, " ".join(f"a{x} b{x}" for x in r.integers(0, 20, 400))) for i in range(40)], "doc_id long, text string")
+    score = [lm.apply(docs, lm.learn(docs, rounds, 0.1, 1)).agg(F.avg("score")).first()[0] for rounds in (0, 1)]
+    assert score[1] > score[0] + 0.05
+
+
+def test_lm_places_of_hashes_with_equal_first_bits():
+    r = np.random.default_rng(5)
+    pool = np.unique(np.concatenate([r.integers(0, 1 << 64, 3000, np.uint64), (np.uint64(7) << np.uint64(48)) + np.arange(50, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+    for vocabulary in (pool[::2], pool[1::2], pool[:1], pool[:0]):
+        at = {int(h): i for i, h in enumerate(vocabulary)}
+        assert lm.places(pool, vocabulary).tolist() == [at.get(int(h), lm.UNKNOWN) for h in pool]
+
+
 def test_lm_scores(spark, odd, no_docs):
     rows = {r["doc_id"]: r for r in lm.lm_scores(odd).collect()}
     assert len(rows) == 18 and rows[3]["n_words"] == 0 and rows[3]["score"] is None and rows[3]["log_prob"] == 0
